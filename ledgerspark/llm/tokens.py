@@ -7,11 +7,12 @@ after another. A word's ids are looked up; words not met yet are encoded togethe
 from __future__ import annotations
 
 import os
+from itertools import accumulate, chain, compress
 
 import numpy as np
 
-#: Words a worker remembers before it starts anew; bounds its memory.
-MOST_WORDS = 500_000
+#: When a worker has met so many words, those it has not met again since the last time are forgotten; bounds its memory.
+MOST_WORDS = 600_000
 
 
 class WordCoder:
@@ -23,25 +24,46 @@ class WordCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _learn(self, new: list[bytes]) -> None:
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+        """Remembers new words. Those of Latin letters alone are one piece of text to the tokenizer each, so that many
+        can be encoded as one text and told apart afterwards."""
+        known, texts = self.known, [w.decode() for w in new]
+        one = [w.lower().isalpha() and max(w) < "\u0250" for w in texts]
+        letters, others = list(compress(texts, one)), [w for w, x in zip(texts, one) if not x]
+        for k in range(0, len(letters), 2000):
+            some = letters[k : k + 2000]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids)
+            cuts = [0, *(4 * (np.flatnonzero(of[1:] != of[:-1]) + 1)).tolist(), len(ids)]
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the tokenizer parts words of letters")
+            known.update(zip((w.encode() for w in some), map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:]))))
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            known[w.encode()] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.lower().split() for t in texts]  # of bytes: only ASCII letters and ASCII white space
-        met = set().union(*split)
-        known = self.known
-        if len(known) + len(met) > MOST_WORDS:
-            known.clear()
+        words = list(chain.from_iterable(split))
+        if len(self.known) > MOST_WORDS:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        codes = list(map(known.get, words))
+        unknown = [i for i, c in enumerate(codes) if c is None]
+        new = {words[i] for i in unknown}
+        known.update([(w, older[w]) for w in new.intersection(older)])
+        new = new.difference(older)
         # a word with one stop or comma at its end is the word and the mark
-        new = [w for w in met if w not in known]
         tails = [w for w in new if w[-1] in b".," and len(w) > 1 and w[-2:-1].isalnum()]
-        plain = set(new).difference(tails).union(w[:-1] for w in tails)
-        self._learn([w for w in plain.union((b".", b",")) if w not in known])
+        plain = new.difference(tails).union(w[:-1] for w in tails).union((b".", b","))
+        self._learn([w for w in plain if w not in known])
         for w in tails:
             known[w] = known[w[:-1]] + known[w[-1:]]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        for i in unknown:
+            codes[i] = known[words[i]]
+        ends = list(accumulate(map(len, split)))
+        return [b"".join(codes[a:b]) for a, b in zip([0, *ends], ends)]
 
 
 _CODERS: dict[str, WordCoder] = {}
