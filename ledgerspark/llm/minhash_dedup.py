@@ -7,9 +7,11 @@ similarity, concentrated as for independent places. Documents whose sketches agr
 are candidates. With 32 bands of 4 places, a pair of similarity 0.75 is missed with probability 6e-6.
 
 Exact copies are one class from the start. In each bucket of a band every member is held against the first
-one; where that leaves a bucket in several parts, small buckets compare all members of different parts and
-larger ones are split by a second band and treated the same way, so that no bucket is ever paired in full
-while its members agree.
+one. Where that leaves a bucket in several parts, the members outside its largest part are compared in tiles
+with all others of the buckets that have this largest part: tile against tile by longer sketches of one byte a
+place, first for the likeliest partners of each member, then, for members that are still apart, for all that
+the sketches do not rule out (FINE_SLOTS places and 4 standard deviations). Every link is confirmed on the full
+sets, and a family of near copies is never paired in full.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import components, stored, table
 
 SLOTS, BANDS, WIDTH, PERCENT = 128, 32, 5, 75
+FINE_SLOTS, TILE = 512, 256
+FINE_LEAST = PERCENT / 100 - 4 * (PERCENT / 100 * (1 - PERCENT / 100) / FINE_SLOTS) ** 0.5
 CHUNK = 1 << 20
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -148,10 +152,52 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for ids, texts in chunks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), longs(shingles(texts, powers))], ["doc_id", "s"])
-
-
-def near_duplicates(docs: DataFrame, small: int = 24, levels: int = 3) -> DataFrame:
+        sets = shingles(texts, powers)
+        fine = [x.tobytes() for x in mix(sketches(sets, FINE_SLOTS)).astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), longs(sets), pa.array(fine, pa.binary())], ["doc_id", "s", "fine"])
+
+
+def _likely(best: int):
+    """Pairs of two tiles' members that differ in root, at least one of them outside its family's main part, whose
+    sketches allow a link; for each such member the `best` likeliest only, unless 0."""
+
+    def of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for x, y, same in zip(*(batch.column(i) for i in range(3))):
+                (ax, nx, rx, mx, fx), (ay, ny, ry, my, fy) = (_members(t.values) for t in (x, y))
+                take = np.flatnonzero(mx)
+                size = np.minimum(nx[take, None], ny) * 100 >= PERCENT * np.maximum(nx[take, None], ny)
+                ok = size & (rx[take, None] != ry)
+                if same.as_py():  # both orders of a pair of outside members are there
+                    ok &= ~my | (ax[take, None] < ay)
+                i, j = np.nonzero(ok)
+                like = np.concatenate([(fx[take[i[k : k + 4096]]] == fy[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
+                like = (like - 1 / 256) / (1 - 1 / 256)
+                keep = like >= FINE_LEAST
+                i, j, like = i[keep], j[keep], like[keep]
+                if best:
+                    order = np.lexsort((-like, i))
+                    i, j = i[order], j[order]
+                    keep = np.arange(len(i)) - np.searchsorted(i, i) < best
+                    i, j = i[keep], j[keep]
+                i = take[i]
+                swap = ax[i] > ay[j]
+                pair = [np.where(swap, ay[j], ax[i]), np.where(swap, ny[j], nx[i]), np.where(swap, ax[i], ay[j]), np.where(swap, nx[i], ny[j])]
+                out.append(np.array(pair).T)
+            out = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], ["a", "na", "b", "nb"])
+
+    return of_tiles
+
+
+def _members(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    ids, n, root, outside = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "n", "root", "outside"))
+    fine = np.frombuffer(b"".join(rows.field("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
+    return ids, n, root, outside, fine
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Linked are documents with 100 * shared shingles >= PERCENT * shingles of either. Null, empty and blank
@@ -166,48 +212,47 @@ def near_duplicates(docs: DataFrame, small: int = 24, levels: int = 3) -> DataFr
     alone = of.where("bands is not null").dropDuplicates(["doc_id"])
     keys = alone.select(F.explode("bands").alias("key"), "doc_id", "n")
     shared = stored(keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1"))
-    keys = stored(keys.join(shared.select("key"), "key", "left_semi"))
+    keys = stored(keys.join(shared, "key").select("key", "doc_id", "n", "m", "c"))
     wanted = stored(keys.select("doc_id").distinct())
-    sets = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s array<long>").dropDuplicates(["doc_id"]))
-    other = alone.join(wanted, "doc_id", "left_semi").select("doc_id", "bands")
-
-    links, checked = None, None
-    for level in range(levels):
-        pairs = keys.join(shared, "key").where("doc_id <> c.doc_id").select(F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-        links, checked, root = _linked(pairs, sets, links, checked)
-        # buckets of more than two that are still in several parts
-        parts = keys.join(shared.where("m > 2").select("key", "m", F.col("c.doc_id").alias("c")), "key").join(root, F.col("doc_id") == F.col("node"), "left").select("key", "m", "c", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        parts = stored(parts)
-        split = stored(parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"))
-        parts = stored(parts.join(split, "key", "left_semi"))
-        little = parts if level == levels - 1 else parts.where(F.col("m") <= small)
-        x, y = little.alias("x"), little.alias("y")
-        pairs = x.join(y, F.col("x.key") == F.col("y.key")).where("x.doc_id < y.doc_id and x.root <> y.root and x.doc_id <> x.c").select(F.col("x.doc_id").alias("a"), F.col("x.n").alias("na"), F.col("y.doc_id").alias("b"), F.col("y.n").alias("nb"))
-        links, checked, root = _linked(pairs, sets, links, checked)
-        rest = parts.where(F.col("m") > small)
-        if level == levels - 1 or rest.isEmpty():
-            break
-        finer = rest.join(other, "doc_id").select(F.explode("bands").alias("band"), "key", "doc_id", "n").where("band <> key").select(F.xxhash64("key", "band").alias("key"), "doc_id", "n")
-        finer = stored(finer)
-        shared = stored(finer.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1"))
-        keys = stored(finer.join(shared.select("key"), "key", "left_semi"))
+    sets = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s array<long>, fine binary").dropDuplicates(["doc_id"]))
+
+    pairs = keys.where("doc_id <> c.doc_id").select(F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
+    checked, root = _linked(pairs, sets, None, None)
+    parts = keys.where("m > 2").select("key", "doc_id", "n")
+    for best in (2, 0):
+        tiles = _tiles(parts, root, sets)
+        x, y = (tiles.select("family", *(F.col(c).alias(f"{c}{side}") for c in ("tile", "some", "rows"))) for side in "xy")
+        pairs = x.where("somex").join(y, "family").where("tilex <= tiley or not somey").select(F.col("rowsx"), F.col("rowsy"), (F.col("tilex") == F.col("tiley")).alias("same"))
+        checked, root = _linked(pairs.mapInArrow(_likely(best), "a long, na long, b long, nb long"), sets, checked, root)
 
     out = of.join(root, F.col("head") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "head", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, links: DataFrame | None, checked: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Adds those of pairs (a, na, b, nb) that share enough: all links, all pairs checked, and each node's root."""
+def _tiles(parts: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
+    """The members of buckets in several parts, by family (the root of a bucket's largest part) in tiles of about TILE."""
+    parts = stored(parts.join(root, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")))
+    main = parts.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("family"), F.count("*").alias("parts")).where("parts > 1")
+    family = stored(parts.join(stored(main), "key").select("family", "doc_id", "n", "root").distinct())
+    counts = stored(family.groupBy("family").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
+    member = F.struct("doc_id", "n", "root", (F.col("root") != F.col("family")).alias("outside"), "fine")
+    tiled = family.join(counts, "family").join(sets.select("doc_id", "fine"), "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles"))
+    return stored(tiled.groupBy("family", "tile").agg(F.collect_list(member).alias("rows"), F.max(F.col("root") != F.col("family")).alias("some")))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, checked: DataFrame | None, root: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All pairs checked, and each node's root, with those of pairs (a, na, b, nb) that share enough added."""
     pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").distinct()
     if checked is not None:
         pairs = pairs.join(checked, ["a", "b"], "left_anti")
     pairs = stored(pairs)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    new = stored(both.where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b"))
-    links = new if links is None else links.union(new)
+    links = both.where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b")
+    if root is not None:  # what is linked already counts as one edge to its root
+        links = links.union(root.where("node <> root"))
     checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
-    return links, checked, stored(components(links))
+    return checked, stored(components(links))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
