@@ -62,8 +62,8 @@ class Powers:
             self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)])) for x in (BASE, INVERSE))
 
 
-def shingles(texts: list[bytes], powers: Powers, width: int = WIDTH) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its `width`-word shingles; of all words, if it has fewer."""
+def hashed_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, ASCII letters in either case alike, and each text's first word and the end."""
     data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     space = np.concatenate([[True], IS_SPACE[data]])
@@ -72,7 +72,12 @@ def shingles(texts: list[bytes], powers: Powers, width: int = WIDTH) -> list[np.
     powers.to(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers.up[: len(data)])])
     hashed = mix((sums[ends] - sums[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64))
-    first = np.searchsorted(starts, bounds)
+    return hashed, np.searchsorted(starts, bounds)
+
+
+def shingles(texts: list[bytes], powers: Powers, width: int = WIDTH) -> list[np.ndarray]:
+    """For each text the sorted distinct hashes of its `width`-word shingles; of all words, if it has fewer."""
+    hashed, first = hashed_words(texts, powers)
     n = len(hashed) - width + 1
     rolled = np.zeros(max(n, 0), np.uint64)
     for k in range(width if n > 0 else 0):

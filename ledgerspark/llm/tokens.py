@@ -44,6 +44,12 @@ class WordCoder:
             known[w.encode()] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        codes, ends = self.codes(texts)
+        return [b"".join(codes[a:b]) for a, b in zip([0, *ends], ends)]
+
+    def codes(self, texts: list[bytes]) -> tuple[list[bytes], list[int]]:
+        """The ids of each word of all texts, and where each text's words end."""
         split = [t.lower().split() for t in texts]  # of bytes: only ASCII letters and ASCII white space
         words = list(chain.from_iterable(split))
         if len(self.known) > MOST_WORDS:
@@ -62,8 +68,7 @@ class WordCoder:
             known[w] = known[w[:-1]] + known[w[-1:]]
         for i in unknown:
             codes[i] = known[words[i]]
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(codes[a:b]) for a, b in zip([0, *ends], ends)]
+        return codes, list(accumulate(map(len, split)))
 
 
 _CODERS: dict[str, WordCoder] = {}
