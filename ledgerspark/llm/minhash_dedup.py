@@ -62,9 +62,11 @@ class Powers:
             self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, x, np.uint64)])) for x in (BASE, INVERSE))
 
 
-def hashed_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of all texts, ASCII letters in either case alike, and each text's first word and the end."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+def located_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, ASCII letters in either case alike; each text's first word and the end;
+    the joined texts and where in them each word starts and ends."""
+    joined = b" ".join([*texts, b""])
+    data = np.frombuffer(joined, np.uint8)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     space = np.concatenate([[True], IS_SPACE[data]])
     turn = np.flatnonzero(space[1:] != space[:-1])
@@ -72,7 +74,12 @@ def hashed_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.nda
     powers.to(len(data) + 1)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE[data] * powers.up[: len(data)])])
     hashed = mix((sums[ends] - sums[starts]) * powers.down[starts] + (ends - starts).astype(np.uint64))
-    return hashed, np.searchsorted(starts, bounds)
+    return hashed, np.searchsorted(starts, bounds), joined, starts, ends
+
+
+def hashed_words(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of all texts, and each text's first word and the end."""
+    return located_words(texts, powers)[:2]
 
 
 def shingles(texts: list[bytes], powers: Powers, width: int = WIDTH) -> list[np.ndarray]:
