@@ -122,8 +122,8 @@ def sketches(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     return table_.reshape(len(sets), slots)
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
-    """(ids, texts as bytes; null: empty), about CHUNK bytes at a time."""
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[tuple[list, list[bytes]]]:
+    """(ids, texts as bytes; null: empty), about `most` bytes at a time."""
     for batch in batches:
         ids, texts, size, all_ids = [], [], 0, batch.column(0).to_pylist()
         column = batch.column(1)
@@ -133,7 +133,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes
             ids.append(i)
             texts.append(t)
             size += len(t)
-            if size >= CHUNK:
+            if size >= most:
                 yield ids, texts
                 ids, texts, size = [], [], 0
         if ids:

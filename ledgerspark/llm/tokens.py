@@ -14,7 +14,7 @@ import numpy as np
 from .minhash_dedup import Powers, located_words
 
 #: When a worker has met so many words, those met in one chunk alone are forgotten; bounds its memory.
-MOST_WORDS = 1_500_000
+MOST_WORDS = 700_000
 
 
 class WordCoder:
@@ -35,17 +35,17 @@ class WordCoder:
     def _forget(self, kept: np.ndarray) -> None:
         """Keeps the words at `kept` of the table only: keys in order, ids from starts on, sizes, chunks that met them."""
         if not len(kept):
-            self.keys, self.starts, self.sizes, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+            self.keys, self.starts, self.sizes, self.met = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int8)
             self.ids = np.zeros(0, "<u4")
             return
         ids = self._gathered(kept)
         self.keys, self.sizes = self.keys[kept], self.sizes[kept]
-        self.starts, self.met, self.ids = np.cumsum(self.sizes) - self.sizes, np.zeros(len(kept), np.int32), ids
+        self.starts, self.met, self.ids = (np.cumsum(self.sizes) - self.sizes).astype(np.int32), np.zeros(len(kept), np.int8), ids
 
     def _gathered(self, at: np.ndarray) -> np.ndarray:
         """The ids of the table's words at `at`, one after another."""
         sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         return self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[at] - (ends - sizes), sizes)]
 
     def _encoded(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ class WordCoder:
         order = np.argsort(keys)
         at = np.searchsorted(self.keys, keys[order])
         starts = np.cumsum(sizes) - sizes + len(self.ids)
-        self.keys, self.starts, self.sizes, self.met = (np.insert(a, at, b) for a, b in ((self.keys, keys[order]), (self.starts, starts[order]), (self.sizes, sizes[order]), (self.met, np.int32(0))))
+        self.keys, self.starts, self.sizes, self.met = (np.insert(a, at, b) for a, b in ((self.keys, keys[order]), (self.starts, starts[order]), (self.sizes, sizes[order]), (self.met, np.int8(0))))
         self.ids = np.concatenate([self.ids, ids])
 
     def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
@@ -116,9 +116,9 @@ class WordCoder:
             at = some[new]
             self._learn(keys[new], [joined[a:b].lower() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
         at = self._place(keys)[0]
-        self.met[at] += 1
+        self.met[at] = np.minimum(self.met[at], 1) + 1
         at = at[back]
-        return self._gathered(at), self.sizes[at], first
+        return self._gathered(at), self.sizes[at].astype(np.int64), first
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as bytes."""
