@@ -1,6 +1,382 @@
-"""The queries of the catalogue and their DuckDB counterparts."""
+"""The queries of the catalogue and their DuckDB counterparts, over the shared tables.
+
+events are a ledger (user_id the key, event_id the append order, ts the clock), documents are postings (first line
+the title, source the board), labels are decisions (toxic: kill, else pass; quality: a score), conversations are
+timelines, pages raw postings with a URL, orders and lineitem measures and intervals.
+"""
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerspark.functions import text
+from ledgerspark.operators import entries as E
+from ledgerspark.operators import ledger, lifecycle, temporal
+from ledgerspark.streaming.lifecycle import fold_stream
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+STATES = {"click": "approved", "view": "rejected", "purchase": "submitted", "signup": "queued"}
+STATE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATES.items()) + " END"
+
+
+def query(sql: str):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+# Ledgers
+
+
+@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL")
+def ledger_latest_append(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.latest(table(spark, d, "events").select("user_id", "event_type", "value", "event_id"), ["user_id", "event_type"], "event_id")
+
+
+@query("SELECT user_id, ts, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def ledger_latest_time(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.latest(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], "ts", "event_id")
+
+
+@query("""
+WITH f AS (SELECT user_id, max(event_id) AS s FROM events WHERE event_type = 'error' GROUP BY user_id),
+e AS (SELECT v.* FROM events v JOIN f USING (user_id) WHERE event_id >= s),
+o AS (SELECT user_id, event_id, event_type AS field, value::VARCHAR AS value, 0 AS gone FROM e WHERE event_type <> 'signup'
+  UNION ALL SELECT user_id, event_id, 'click', NULL, 1 FROM e WHERE event_type = 'signup')
+SELECT user_id, field, value FROM o QUALIFY row_number() OVER (PARTITION BY user_id, field ORDER BY event_id DESC, gone DESC) = 1 AND gone = 0
+""".replace("value::VARCHAR", "(value * 100)::BIGINT::VARCHAR"))
+def ledger_delta_replay(spark: SparkSession, d: str) -> DataFrame:
+    """error rows are full, signup removes the field click, every other type sets the field of its name."""
+    e, kind = table(spark, d, "events"), F.col("event_type")
+    value = F.round(F.col("value") * 100).cast("long").cast("string")
+    fields = F.when(kind != "signup", F.create_map(kind, value)).otherwise(F.create_map().cast("map<string,string>"))
+    removed = F.when(kind == "signup", F.array(F.lit("click"))).otherwise(F.array().cast("array<string>"))
+    deltas = e.join(e.where(kind == "error").select("user_id").distinct(), "user_id", "left_semi")
+    return ledger.replay(deltas.select("user_id", "event_id", (kind == "error").alias("full"), fields.alias("fields"), removed.alias("removed")), "user_id", "event_id")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type")
+def ledger_changed_only(spark: SparkSession, d: str) -> DataFrame:
+    return ledger.changed_only(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", ["event_type"])
+
+
+@query("SELECT DISTINCT user_id, event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS level FROM events")
+def ledger_union_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    """Two overlapping ledgers joined by content: events of high value, and all."""
+    e = table(spark, d, "events").select("user_id", "event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("level"))
+    return ledger.appended(e.where("level = 'high'").distinct(), e, ["user_id", "event_type", "level"])
+
+
+@query("""
+SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN CASE WHEN d.n_chars % 10 = 0 THEN 'closed' ELSE 'unknown' END
+  WHEN l.toxic = 1 THEN 'closed' ELSE 'open' END AS status,
+  CASE WHEN l.doc_id IS NOT NULL THEN 'refreshed' WHEN d.n_chars % 10 = 0 THEN 'kept' ELSE 'unknown' END AS action
+FROM documents d LEFT JOIN labels l USING (doc_id)
+""")
+def snapshot_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    prior = table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") % 10 == 0, "closed").otherwise("open").alias("status"))
+    incoming = table(spark, d, "labels").select("doc_id", F.when(F.col("toxic") == 1, "closed").otherwise("open").alias("status"))
+    return ledger.reconciled(prior, incoming, "doc_id")
+
+
+# Lifecycle
+
+FOLD_SQL = f"SELECT user_id, arg_max({STATE_SQL}, event_id) AS state, max(event_id) AS seq FROM events WHERE {STATE_SQL} IS NOT NULL GROUP BY user_id"
+
+
+@query(FOLD_SQL)
+def lifecycle_fold(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.fold(table(spark, d, "events"), STATES, "user_id", "event_id", "event_type")
+
+
+@query(f"""
+WITH f AS (SELECT user_id, arg_max({STATE_SQL}, event_id) AS state, max(event_id) AS seq FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id),
+q AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND user_id NOT IN (
+  SELECT user_id FROM events WHERE event_type = 'error' GROUP BY user_id HAVING arg_max(value, event_id) > 20))
+SELECT user_id, coalesce(f.state, 'queued') AS state, f.seq FROM f FULL JOIN q USING (user_id)
+""")
+def lifecycle_with_queue_layer(spark: SparkSession, d: str) -> DataFrame:
+    """Users with a view are queued unless their last error vetoes it; click and purchase stand above."""
+    e = table(spark, d, "events")
+    veto = ledger.latest(e.where("event_type = 'error'").select("user_id", "event_id", "value"), ["user_id"], "event_id").where("value > 20")
+    queued = e.where("event_type = 'view'").select("user_id").distinct().join(veto, "user_id", "left_anti")
+    return lifecycle.fold(e, {k: STATES[k] for k in ("click", "purchase")}, "user_id", "event_id", "event_type", queued)
+
+
+@query("""
+SELECT user_id, CASE WHEN bool_or(event_type = 'purchase' AND value > 100) THEN 1
+  ELSE arg_max(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 ELSE -1 END, event_id) FILTER (event_type IN ('click', 'view', 'signup')) END::INT AS label
+FROM events GROUP BY user_id HAVING label >= 0
+""")
+def label_fold_sticky(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").withColumn("kind", F.when((F.col("event_type") == "purchase") & (F.col("value") <= 100), "small").otherwise(F.col("event_type")))
+    return lifecycle.sticky_labels(e, "purchase", {"click": 1, "view": 0}, "signup", "user_id", "event_id", "kind")
+
+
+@query(FOLD_SQL)
+def stream_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """The fold as a stream that runs until it has read what is there."""
+    source = table(spark, d, "events").schema
+    name = f"lifecycle_{uuid.uuid4().hex}"
+    events = spark.readStream.schema(source).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet*")
+    run = fold_stream(events, STATES, "user_id", "event_id", "event_type").writeStream.outputMode("complete").format("memory").queryName(name)
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        run = run.option("checkpointLocation", f"{shared.rstrip('/')}/{name}")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
+# Entries
+
+
+def all_entries(spark: SparkSession, d: str) -> DataFrame:
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    turns = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", "role")
+    last = ledger.latest(turns, ["doc_id"], "turn").select("doc_id", F.when(F.col("role") == "assistant", "submitted").when(F.col("role") == "user", "saved").otherwise("dismissed").alias("state"))
+    clock = table(spark, d, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("discovered"))
+    fetches = table(spark, d, "events").where("event_type = 'signup'").join(docs.select(F.col("doc_id").alias("event_id")), "event_id", "left_semi")
+    window = E.fetch_window(fetches, "ts")
+    e = docs.join(labels, "doc_id", "left").join(last, "doc_id", "left").join(clock, "doc_id", "left").crossJoin(window)
+    verdict = F.when(F.col("toxic") == 1, "kill").when(F.col("toxic") == 0, "pass")
+    listing = F.when(F.col("n_chars") % 10 == 0, "closed").otherwise("open")
+    p = F.when((verdict == "pass") & (F.col("n_chars") % 7 != 0), F.when(F.col("quality") == 1, 0.8).when(F.col("n_chars") % 3 == 0, 0.05).otherwise(0.3))
+    return e.select(
+        "doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("source").alias("board"), "lang", F.col("n_chars").alias("verified"), "discovered",
+        F.coalesce("state", F.lit("none")).alias("state"), E.status(F.col("state"), verdict, listing, p, verdict == "pass").alias("status"),
+        p.alias("probability"), E.is_new(F.col("discovered"), F.col("previous"), F.col("last")).cast("int").alias("is_new"),
+    )
+
+
+ENTRIES_SQL = """
+WITH last AS (SELECT conv_id AS doc_id, CASE arg_max(role, turn) WHEN 'assistant' THEN 'submitted' WHEN 'user' THEN 'saved' ELSE 'dismissed' END AS state FROM conversations GROUP BY conv_id),
+fetches AS (SELECT ts FROM events WHERE event_type = 'signup' AND event_id IN (SELECT doc_id FROM documents) ORDER BY ts DESC LIMIT 2),
+win AS (SELECT CASE WHEN count(*) > 1 THEN min(ts) END AS previous, max(ts) AS last FROM fetches),
+raw AS (SELECT d.doc_id, split_part(text, chr(10), 1) AS title, source AS board, lang, n_chars AS verified, ev.ts AS discovered, state,
+  CASE toxic WHEN 1 THEN 'kill' WHEN 0 THEN 'pass' END AS verdict, n_chars % 10 = 0 AS closed,
+  CASE WHEN toxic = 0 AND n_chars % 7 <> 0 THEN CASE WHEN quality = 1 THEN 0.8::DOUBLE WHEN n_chars % 3 = 0 THEN 0.05::DOUBLE ELSE 0.3::DOUBLE END END AS probability,
+  coalesce(ev.ts > win.previous AND ev.ts <= win.last, false)::INT AS is_new
+  FROM documents d LEFT JOIN labels USING (doc_id) LEFT JOIN last USING (doc_id) LEFT JOIN events ev ON ev.event_id = d.doc_id, win),
+entries AS (SELECT doc_id, title, board, lang, verified, discovered, coalesce(state, 'none') AS state,
+  CASE WHEN state = 'submitted' THEN 'applied' WHEN verdict = 'kill' THEN 'hard-killed' WHEN closed THEN 'closed' WHEN probability >= 0.5 THEN 'queued'
+    WHEN probability < 0.1 THEN 'hard-killed' WHEN probability IS NOT NULL THEN 'needs-review' WHEN verdict = 'pass' THEN 'unscored' ELSE 'not-filtered' END AS status,
+  probability, is_new FROM raw),
+ranked AS (SELECT *, row_number() OVER (g ORDER BY probability DESC NULLS LAST, verified DESC, doc_id) AS rank, count(*) OVER g AS group_size, max(is_new) OVER g AS group_is_new
+  FROM (SELECT *, CASE WHEN trim(title) = '' OR trim(board) = '' THEN '#' || doc_id ELSE lower(trim(title)) || chr(31) || lower(trim(board)) END AS group_id FROM entries)
+  WINDOW g AS (PARTITION BY group_id))
+"""
+
+
+def heads(spark: SparkSession, d: str) -> DataFrame:
+    order = [F.desc_nulls_last("probability"), F.desc("verified"), F.col("doc_id")]
+    return E.grouped(all_entries(spark, d), E.title_group(F.col("title"), F.col("board"), F.col("doc_id")), order)
+
+
+@query(ENTRIES_SQL + "SELECT * FROM entries")
+def entries_projection(spark: SparkSession, d: str) -> DataFrame:
+    return all_entries(spark, d)
+
+
+@query(ENTRIES_SQL + "SELECT " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.replace('-', '_')}" for s in E.STATUSES) + " FROM entries")
+def funnel_counts(spark: SparkSession, d: str) -> DataFrame:
+    return E.funnel(all_entries(spark, d))
+
+
+@query(ENTRIES_SQL + "SELECT group_id, doc_id, group_size, group_is_new, status FROM ranked WHERE rank = 1")
+def grouped_heads(spark: SparkSession, d: str) -> DataFrame:
+    return heads(spark, d).where("rank = 1").select("group_id", "doc_id", "group_size", "group_is_new", "status")
+
+
+@query(ENTRIES_SQL + "SELECT group_id, string_agg(doc_id::VARCHAR, ',' ORDER BY rank) AS members FROM ranked GROUP BY group_id")
+def group_members(spark: SparkSession, d: str) -> DataFrame:
+    members = F.transform(F.sort_array(F.collect_list(F.struct("rank", "doc_id"))), lambda m: m["doc_id"].cast("string"))
+    return heads(spark, d).groupBy("group_id").agg(F.array_join(members, ",").alias("members"))
+
+
+@query(ENTRIES_SQL + "SELECT count(*) AS total, coalesce(sum(group_is_new), 0)::BIGINT AS new_groups FROM ranked WHERE rank = 1")
+def page_totals(spark: SparkSession, d: str) -> DataFrame:
+    return heads(spark, d).where("rank = 1").agg(F.count("*").alias("total"), F.coalesce(F.sum("group_is_new"), F.lit(0)).alias("new_groups"))
+
+
+@query(ENTRIES_SQL + "SELECT doc_id, title, board, status, verified, group_size FROM ranked WHERE rank = 1 AND status = 'queued' ORDER BY verified DESC NULLS LAST, doc_id LIMIT 50 OFFSET 10")
+def postings_page(spark: SparkSession, d: str) -> DataFrame:
+    """The second page of ten on, of queued heads, latest verified first: a limit is what a page is."""
+    first = heads(spark, d).where("rank = 1")
+    return E.page(first, E.Page(status="queued", offset=10), "doc_id", ["title"]).select("doc_id", "title", "board", "status", "verified", "group_size")
+
+
+@query("SELECT doc_id FROM documents WHERE contains(lower(text), '%') OR contains(lower(source), '%')")
+def search_literal(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where(E.contains("%", F.col("text"), F.col("source"))).select("doc_id")
+
+
+@query(ENTRIES_SQL + "SELECT doc_id, title, board FROM entries WHERE is_new = 0 AND status = 'queued' AND state = 'none'")
+def notify_picks(spark: SparkSession, d: str) -> DataFrame:
+    return all_entries(spark, d).where("is_new = 0 and status = 'queued' and state = 'none'").select("doc_id", "title", "board")
+
+
+@query("SELECT conv_id, turn, role, turn = max(turn) OVER (PARTITION BY conv_id, role) AS latest FROM conversations")
+def timeline_with_latest_flag(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "conversations")
+    return t.select("conv_id", "turn", "role", (F.col("turn") == F.max("turn").over(Window.partitionBy("conv_id", "role"))).alias("latest"))
+
+
+# Joins, counts and sets
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS k, count(*) AS known, count(*) FILTER (c_acctbal > 0) AS verified FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1),
+s AS (SELECT s_nationkey AS k, count(*) AS boards FROM supplier GROUP BY 1)
+SELECT k, coalesce(known, 0) AS known, coalesce(verified, 0) AS verified, coalesce(known, 0) - coalesce(verified, 0) AS needs_check, coalesce(boards, 0) AS boards FROM c FULL JOIN s USING (k)
+""")
+def coverage_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("known"), F.count_if(F.col("c_acctbal") > 0).alias("verified"))
+    s = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("boards"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return c.join(s, "k", "full").select("k", zero("known").alias("known"), zero("verified").alias("verified"), (zero("known") - zero("verified")).alias("needs_check"), zero("boards").alias("boards"))
+
+
+@query("SELECT facet, count(*) AS n FROM (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS facet FROM part) GROUP BY facet")
+def facet_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.explode(F.array_distinct(F.split("p_name", " "))).alias("facet")).groupBy("facet").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderdate::DATE AS day, strftime(o_orderdate, '%Y-%m') AS month, round(sum(o_totalprice), 2) AS spent FROM orders GROUP BY ALL")
+def spend_by_day_month(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders")
+    return o.groupBy(F.to_date("o_orderdate").alias("day"), F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.round(F.sum("o_totalprice"), 2).alias("spent"))
+
+
+@query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AS open FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def semi_anti_keys(spark: SparkSession, d: str) -> DataFrame:
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    keys = lambda df: df.select(F.col("o_custkey").alias("c_custkey")).distinct()
+    rest = c.join(keys(o.where("o_orderpriority = '1-URGENT'")), "c_custkey", "left_anti")
+    return rest.join(keys(o.where("o_orderstatus = 'O'")).withColumn("o", F.lit(True)), "c_custkey", "left").select("c_custkey", F.coalesce("o", F.lit(False)).alias("open"))
+
+
+@query("SELECT event_type, (props::JSON ->> 'k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL")
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
+
+
+# Text and identity
+
+_URL_SQL = """
+WITH u AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS b FROM pages),
+p AS (SELECT page_id, split_part(b, '?', 1) AS base, list_filter(string_split(CASE WHEN contains(b, '?') THEN regexp_replace(b, '^[^?]*\\?', '') ELSE '' END, '&'),
+  lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND lower(split_part(x, '=', 1)) NOT IN ('fbclid', 'gclid', 'ref', 'source')) AS q FROM u),
+c AS (SELECT page_id, regexp_replace(regexp_replace(lower(regexp_extract(base, '^([A-Za-z]+://[^/]*)', 1)), '^(http://[^:]*):80$', '\\1'), '^(https://[^:]*):443$', '\\1')
+  || regexp_replace(regexp_replace(base, '^[A-Za-z]+://[^/]*', ''), '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS destination FROM p)
+"""
+
+
+@query(_URL_SQL + "SELECT page_id, destination FROM c")
+def canonical_destination(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.destination(F.col("url")).alias("destination"))
+
+
+@query(_URL_SQL + "SELECT page_id, min(page_id) OVER (PARTITION BY destination) AS winner, page_id <> min(page_id) OVER (PARTITION BY destination) AS loser FROM c")
+def duplicate_losers(spark: SparkSession, d: str) -> DataFrame:
+    """Equal destinations are one posting; the smallest page_id wins. The winner is a combined aggregate, joined back."""
+    p = table(spark, d, "pages").select("page_id", text.destination(F.col("url")).alias("destination"))
+    first = p.groupBy("destination").agg(F.min("page_id").alias("winner"))
+    return p.join(first, "destination").select("page_id", "winner", (F.col("page_id") != F.col("winner")).alias("loser"))
+
+
+@query("SELECT sha256(trim(regexp_replace(lower(text), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS content, min(doc_id) AS first_doc, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_text_groups(spark: SparkSession, d: str) -> DataFrame:
+    key = F.sha2(text.folded(F.col("text")), 256)
+    return table(spark, d, "documents").groupBy(key.alias("content")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+
+
+@query("SELECT doc_id, trim(trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), ' -–—:;,.|/') AS title FROM documents")
+def title_normalize(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.title(F.substring_index("text", "\n", 1)).alias("title"))
+
+
+_HTML_SQL = reduce(lambda s, e: f"replace({s}, '{e[0]}', '{e[1]}')", [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")],
+                   "regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
+
+
+@query(f"SELECT page_id, trim(regexp_replace({_HTML_SQL}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS body FROM pages")
+def html_text_native(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))
+
+
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^ \t\n\r\f\v]+', '[url]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[email]', 'g'), '\+?[0-9][0-9 ()-]{7,}[0-9]', '[phone]', 'g') AS text FROM documents")
+def pii_scrub(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", text.scrubbed(F.col("text")).alias("text"))
+
+
+# Rules
+
+
+@query(f"""
+SELECT doc_id, CASE WHEN source = 'src3' THEN 'kill' WHEN regexp_matches(text, '(?i)\\b(the|and)\\b') AND n_chars < 300 THEN 'kill' WHEN toxic = 1 THEN 'kill' ELSE 'pass' END AS verdict,
+  CASE WHEN source = 'src3' THEN 'employer' WHEN regexp_matches(text, '(?i)\\b(the|and)\\b') AND n_chars < 300 THEN 'short' WHEN toxic = 1 THEN 'toxic' END AS rule
+FROM documents LEFT JOIN labels USING (doc_id)
+""")
+def rules_first_kill(spark: SparkSession, d: str) -> DataFrame:
+    """Rules in order; the first that holds kills and gives the reason."""
+    rules: list[tuple[str, Column]] = [("employer", F.col("source") == "src3"), ("short", F.col("text").rlike(r"(?i)\b(the|and)\b") & (F.col("n_chars") < 300)), ("toxic", F.col("toxic") == 1)]
+    rule = reduce(lambda rest, r: F.when(r[1], r[0]).otherwise(rest), reversed(rules), F.lit(None).cast("string"))
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", rule.alias("rule"))
+    return j.select("doc_id", F.when(F.col("rule").isNull(), "pass").otherwise("kill").alias("verdict"), "rule")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN o_totalprice < 50000 THEN 'kill' ELSE 'pass' END AS finding FROM orders")
+def rules_salary_three_valued(spark: SparkSession, d: str) -> DataFrame:
+    """A floor that only stated amounts can miss: what is not stated is unknown and never kills."""
+    stated = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice"))
+    return table(spark, d, "orders").select("o_orderkey", F.when(stated.isNull(), "unknown").when(stated < 50000, "kill").otherwise("pass").alias("finding"))
+
+
+# Time and order
+
+_MONTHS_SQL = """
+WITH i AS (SELECT o_custkey AS k, min(year(l_shipdate) * 12 + month(l_shipdate) - 1) AS a, max(year(l_shipdate) * 12 + month(l_shipdate) - 1) AS b
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_custkey, o_orderkey),
+m AS (SELECT DISTINCT k, unnest(generate_series(a, b)) AS m FROM i)
+"""
+
+
+def _intervals(spark: SparkSession, d: str) -> DataFrame:
+    line = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(temporal.month(F.col("l_shipdate"))).alias("start"), F.max(temporal.month(F.col("l_shipdate"))).alias("end"))
+    return table(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("k"), "start", "end")
+
+
+@query(_MONTHS_SQL + "SELECT k, count(*) AS months FROM m GROUP BY k")
+def month_intervals(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.occupied_months(_intervals(spark, d), ["k"])
+
+
+@query(_MONTHS_SQL + "SELECT k, min(m)::INT AS first, max(m)::INT AS last FROM (SELECT k, m, m - row_number() OVER (PARTITION BY k ORDER BY m) AS g FROM m) GROUP BY k, g")
+def month_segments(spark: SparkSession, d: str) -> DataFrame:
+    months = _intervals(spark, d).select("k", F.explode(F.sequence("start", "end")).alias("month")).distinct().withColumn("members", F.lit(""))
+    return temporal.segments(months, ["k"]).select("k", "first", "last")
+
+
+@query("SELECT doc_id, source, spent FROM (SELECT doc_id, source, sum(64 * ((n_chars + 255) // 256)) OVER (PARTITION BY source ORDER BY doc_id DESC)::BIGINT AS spent FROM documents) WHERE spent <= 500000")
+def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """The newest of each source that fit a budget of padded tokens."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return temporal.running_total(docs, "source", [F.desc("doc_id")], F.expr("64 * ((n_chars + 255) div 256)")).where("spent <= 500000").select("doc_id", "source", "spent")
+
+
+@query("SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS turn FROM documents")
+def round_robin(spark: SparkSession, d: str) -> DataFrame:
+    return temporal.interleaved(table(spark, d, "documents").select("doc_id", "source"), "source", [F.col("doc_id")])
