@@ -21,9 +21,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id."""
-    kept = stored(near_duplicates(docs).where("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each near-duplicate class, the one with the smallest doc_id. Rows that repeat its doc_id stay with
+    it, and rows without a doc_id stay, as no class can name them."""
+    kept = stored(near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct())
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -76,33 +76,33 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _cholesky(params: DataFrame, names: list[str], floors: list[float], factor: float) -> DataFrame:
-    """Adds l_i_j, the lower triangle of factor * covariance + squared floors."""
+    """Adds __l_i_j, the lower triangle of factor * covariance + squared floors."""
     for i in range(len(names)):
         for j in range(i + 1):
             v = F.col(f"c_{j}_{i}") * factor + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
-                v = v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            params = params.withColumn(f"l_{i}_{j}", F.sqrt(v) if i == j else v / F.col(f"l_{j}_{j}"))
-    return params.select("g", *(f"m_{i}" for i in range(len(names))), *(f"l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)))
+                v = v - F.col(f"__l_{i}_{k}") * F.col(f"__l_{j}_{k}")
+            params = params.withColumn(f"__l_{i}_{j}", F.sqrt(v) if i == j else v / F.col(f"__l_{j}_{j}"))
+    return params.select("__g", *(f"__m_{i}" for i in range(len(names))), *(f"__l_{i}_{j}" for i in range(len(names)) for j in range(i + 1)))
 
 
 def _fit(rows: DataFrame, names: list[str], floors: list[float], factor: float = 1.0) -> DataFrame:
     """Mean and covariance of each group of rows, stored."""
     n = range(len(names))
-    moments = rows.groupBy("g").agg(*(F.avg(names[i]).alias(f"m_{i}") for i in n), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in n for j in range(i, len(names))))
+    moments = rows.groupBy("__g").agg(*(F.avg(names[i]).alias(f"__m_{i}") for i in n), *(F.covar_pop(names[i], names[j]).alias(f"c_{i}_{j}") for i in n for j in range(i, len(names))))
     return stored(_cholesky(stored(moments), names, floors, factor))
 
 
 def _distance(rows: DataFrame, params: DataFrame, names: list[str]) -> DataFrame:
-    """rows with d2; the parameters are joined as their size allows."""
-    rows = rows.join(params, "g", "left")
+    """rows with __d2; the parameters are joined as their size allows."""
+    rows = rows.join(params, "__g", "left")
     for i, name in enumerate(names):
-        v = F.col(name) - F.col(f"m_{i}")
+        v = F.col(name) - F.col(f"__m_{i}")
         for j in range(i):
-            v = v - F.col(f"l_{i}_{j}") * F.col(f"y_{j}")
-        rows = rows.withColumn(f"y_{i}", v / F.col(f"l_{i}_{i}"))
-    d2 = sum((F.col(f"y_{i}") ** 2 for i in range(len(names))), F.lit(0.0))
-    return rows.withColumn("d2", d2).drop(*params.columns[1:], *(f"y_{i}" for i in range(len(names))))
+            v = v - F.col(f"__l_{i}_{j}") * F.col(f"__y_{j}")
+        rows = rows.withColumn(f"__y_{i}", v / F.col(f"__l_{i}_{i}"))
+    d2 = sum((F.col(f"__y_{i}") ** 2 for i in range(len(names))), F.lit(0.0))
+    return rows.withColumn("__d2", d2).drop(*params.columns[1:], *(f"__y_{i}" for i in range(len(names))))
 
 
 def quality_rules(docs: DataFrame, carry: list[str] | None = None, core: float = 0.75, steps: int = 3, cut: float = 0.99999, least_group: int = 60, out: str = "quality") -> DataFrame:
@@ -121,27 +121,27 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None, core: float =
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
     seen = seen.withColumn("__lang", named("__lang")).withColumn("__source", named("__source"))
     counts = stored(seen.where(~F.col("__bad")).groupBy("__lang", "__source").agg(F.count("*").alias("__n")))
-    of = stored(counts.select("__lang", "__source", F.when(F.col("__n") >= least_group, F.concat_ws("/", "__lang", "__source")).otherwise(F.col("__lang")).alias("g"), "__n"))
-    big = of.groupBy("g").agg(F.sum("__n").alias("n")).where(F.col("n") >= least_group).select("g")
-    of = stored(of.drop("__n").join(big, "g", "left_semi"))
+    of = stored(counts.select("__lang", "__source", F.when(F.col("__n") >= least_group, F.concat_ws("/", "__lang", "__source")).otherwise(F.col("__lang")).alias("__g"), "__n"))
+    big = of.groupBy("__g").agg(F.sum("__n").alias("n")).where(F.col("n") >= least_group).select("__g")
+    of = stored(of.drop("__n").join(big, "__g", "left_semi"))
     seen = seen.join(of, ["__lang", "__source"], "left")
     full = seen.select("*", *(F.when(~F.col("__bad"), F.expr(e)).alias(f"__f_{k}") for k, (e, _) in FEATURES.items()))
     f = [f"__f_{k}" for k in names]
-    rows = full.where(~F.col("__bad") & F.col("g").isNotNull()).select("g", *f)
+    rows = full.where(~F.col("__bad") & F.col("__g").isNotNull()).select("__g", *f)
 
-    mid = stored(rows.groupBy("g").agg(*(F.percentile_approx(c, 0.5).alias(f"md_{i}") for i, c in enumerate(f))))
-    near = rows.join(mid, "g")
-    spread = stored(near.groupBy("g").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"md_{i}")), 0.5).alias(f"s_{i}") for i, c in enumerate(f))))
-    start = near.join(spread, "g").withColumn("d2", sum((((F.col(c) - F.col(f"md_{i}")) / F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(floors[i]))) ** 2 for i, c in enumerate(f)), F.lit(0.0)))
-    near = start.select("g", *f, "d2")
+    mid = stored(rows.groupBy("__g").agg(*(F.percentile_approx(c, 0.5).alias(f"md_{i}") for i, c in enumerate(f))))
+    near = rows.join(mid, "__g")
+    spread = stored(near.groupBy("__g").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"md_{i}")), 0.5).alias(f"s_{i}") for i, c in enumerate(f))))
+    start = near.join(spread, "__g").withColumn("__d2", sum((((F.col(c) - F.col(f"md_{i}")) / F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(floors[i]))) ** 2 for i, c in enumerate(f)), F.lit(0.0)))
+    near = start.select("__g", *f, "__d2")
     for _ in range(steps):
-        limit = stored(near.groupBy("g").agg(F.percentile_approx("d2", core, 10000).alias("most")))
-        params = _fit(near.join(limit, "g").where("d2 <= most"), f, floors)
+        limit = stored(near.groupBy("__g").agg(F.percentile_approx("__d2", core, 10000).alias("most")))
+        params = _fit(near.join(limit, "__g").where("__d2 <= most"), f, floors)
         near = _distance(rows, params, f)
-    params = _fit(near.where(F.col("d2") <= chi2_quantile(0.975, len(f))), f, floors)
+    params = _fit(near.where(F.col("__d2") <= chi2_quantile(0.975, len(f))), f, floors)
     judged = _distance(full, params, f)
-    passed = F.col("d2").isNull() | (F.col("d2") <= chi2_quantile(cut, len(f)))
-    verdict = F.struct(F.col("__q.*"), F.col("d2"), F.col("__bad").alias("base_failed"), (~F.col("__bad") & passed).alias("kept"))
+    passed = F.col("__d2").isNull() | (F.col("__d2") <= chi2_quantile(cut, len(f)))
+    verdict = F.struct(F.col("__q.*"), F.col("__d2").alias("d2"), F.col("__bad").alias("base_failed"), (~F.col("__bad") & passed).alias("kept"))
     return judged.select(*carry, verdict.alias(out))
 
 
