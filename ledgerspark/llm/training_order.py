@@ -50,14 +50,16 @@ def permuted(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
 
 def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """(part, at, doc_id, piece, ids): the sequences of docs (doc_id, text), numbered within their partition."""
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], "<u2").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for ids, texts in chunks(batches):
             who, piece, out = [], [], []
-            for i, b in zip(ids, coder(tokenizer).encode(texts)):
-                b = np.frombuffer(b + tail, "<u4").astype("<u2").tobytes()
+            codes, sizes, first = coder(tokenizer).spans(texts)
+            flat, ends = codes.astype("<u2").tobytes(), (2 * np.concatenate([[0], np.cumsum(sizes)])[first]).tolist()
+            for i, a, z in zip(ids, ends[:-1], ends[1:]):
+                b = flat[a:z] + tail
                 for p in range(0, len(b), 2 * length):
                     who.append(i)
                     piece.append(p // (2 * length))
@@ -100,9 +102,10 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, key: i
 
         def done(b: int, rows: list[tuple]) -> pa.RecordBatch:
             out = np.zeros(len(rows), record)
-            for k, (_, who, piece, ids) in enumerate(rows):
-                out[k]["doc_id"], out[k]["piece"], out[k]["length"] = -1 if who is None else who, piece, len(ids) // 2
-                out[k]["ids"][: len(ids) // 2] = np.frombuffer(ids, "<u2")
+            out["doc_id"] = [-1 if r[1] is None else r[1] for r in rows]
+            out["piece"] = [r[2] for r in rows]
+            out["length"] = [len(r[3]) // 2 for r in rows]
+            out["ids"] = np.frombuffer(b"".join([r[3].ljust(2 * length, b"\0") for r in rows]), "<u2").reshape(-1, length)
             return pa.RecordBatch.from_arrays([pa.array([b * block // per_shard], pa.int32()), pa.array([b * block]), pa.array([len(rows)], pa.int32()), pa.array([record.itemsize], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["shard", "first_slot", "records", "stride", "payload"])
 
         now, rows = None, []
