@@ -20,8 +20,9 @@ MOST_WORDS = 700_000
 class WordCoder:
     """Encodes texts given as UTF-8 bytes; ids as little-endian unsigned 32-bit."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most_words: int = MOST_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.most_words = most_words
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -103,9 +104,9 @@ class WordCoder:
 
     def spans(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words of all texts, how many each word has, each text's first word and the end)."""
-        if len(self.keys) > MOST_WORDS:
+        if len(self.keys) > self.most_words:
             again = np.flatnonzero(self.met > 1)
-            self._forget(again if len(again) <= MOST_WORDS // 2 else again[:0])
+            self._forget(again if len(again) <= self.most_words // 2 else again[:0])
         return self._spans(texts)
 
     def _spans(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,14 +129,14 @@ class WordCoder:
         return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-_CODERS: dict[str, WordCoder] = {}
+_CODERS: dict[tuple[str, int], WordCoder] = {}
 
 
-def coder(path: str) -> WordCoder:
+def coder(path: str, most_words: int = MOST_WORDS) -> WordCoder:
     """This worker's coder for the tokenizer file at path."""
-    if path not in _CODERS:
-        _CODERS[path] = WordCoder(path)
-    return _CODERS[path]
+    if (path, most_words) not in _CODERS:
+        _CODERS[path, most_words] = WordCoder(path, most_words)
+    return _CODERS[path, most_words]
 
 
 def word_bpe() -> str:
