@@ -25,7 +25,8 @@ from .common import scratch, stored, table
 from .minhash_dedup import ODD, chunks, mix
 from .tokens import coder, word_bpe
 
-LENGTH, END, BLOCK, SHARDS = 1024, 1, 512, 20_000
+#: A shard is SHARD_BLOCKS blocks (8 MB), or more where there would be over SHARDS shards.
+LENGTH, END, BLOCK, SHARD_BLOCKS, SHARDS = 1024, 1, 512, 8, 20_000
 RECORD = lambda length: np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("length", "<i4"), ("ids", "<u2", length)])
 
 
@@ -70,7 +71,7 @@ def sequences(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, "part int, at long, doc_id long, piece int, ids binary")
 
 
-def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, key: int = 20, length: int = LENGTH, block: int = BLOCK, most_shards: int = SHARDS) -> int:
+def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, key: int = 20, length: int = LENGTH, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS, most_shards: int = SHARDS) -> int:
     """Writes docs (doc_id, text) to path in training order; returns the number of sequences.
 
     The tokenizer's ids must fit 16 bits. Null and empty texts are one sequence that holds END alone; null doc_ids
@@ -87,7 +88,7 @@ def materialise(docs: DataFrame, path: str, tokenizer: str | None = None, key: i
     starts = np.cumsum(starts)
     total = int(starts[-1])
     blocks = max(1, -(-total // block))
-    per_shard = block * -(-blocks // min(blocks, most_shards))
+    per_shard = block * max(shard_blocks, -(-blocks // most_shards))
     first = spark.sparkContext.broadcast(starts)
     record = RECORD(length)
 
