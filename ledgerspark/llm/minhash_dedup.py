@@ -176,13 +176,12 @@ def _likely(best: int):
     def of_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for x, y, same in zip(*(batch.column(i) for i in range(3))):
+            for x, y in zip(batch.column(0), batch.column(1)):
                 (ax, nx, rx, mx, fx), (ay, ny, ry, my, fy) = (_members(t.values) for t in (x, y))
                 take = np.flatnonzero(mx)
                 size = np.minimum(nx[take, None], ny) * 100 >= PERCENT * np.maximum(nx[take, None], ny)
                 ok = size & (rx[take, None] != ry)
-                if same.as_py():  # both orders of a pair of outside members are there
-                    ok &= ~my | (ax[take, None] < ay)
+                ok &= ~my | (ax[take, None] < ay)  # a pair of outside members comes in both orders
                 i, j = np.nonzero(ok)
                 like = np.concatenate([(fx[take[i[k : k + 4096]]] == fy[j[k : k + 4096]]).mean(axis=1) for k in range(0, len(i), 4096)] or [np.zeros(0)])
                 like = (like - 1 / 256) / (1 - 1 / 256)
@@ -234,7 +233,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     for best in (2, 0):
         tiles = _tiles(parts, root, sets)
         x, y = (tiles.select("family", *(F.col(c).alias(f"{c}{side}") for c in ("tile", "some", "rows"))) for side in "xy")
-        pairs = x.where("somex").join(y, "family").where("tilex <= tiley or not somey").select(F.col("rowsx"), F.col("rowsy"), (F.col("tilex") == F.col("tiley")).alias("same"))
+        pairs = x.where("somex").join(y, "family").select("rowsx", "rowsy")
         checked, root = _linked(pairs.mapInArrow(_likely(best), "a long, na long, b long, nb long"), sets, checked, root)
 
     out = of.join(root, F.col("head") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "head", "doc_id").alias("component_id"))

@@ -125,6 +125,18 @@ def test_minhash_dedup_odd(spark):
     assert minhash_dedup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_minhash_dedup_tiles(spark, monkeypatch):
+    """A family of several tiles, most of which have outside members: an outside member of a higher tile is linked with a main one of a lower tile."""
+    monkeypatch.setattr(minhash_dedup, "TILE", 4)
+    r = np.random.default_rng(1)
+    starts = [(f, o) for f in range(150) for o in sorted(set(r.integers(0, 170, 30).tolist()))]
+    at = {int(i): o for (f, o), i in zip(starts, r.permutation(len(starts))) if f == 57}
+    docs = {i: " ".join(f"f57w{k}" for k in range(o, o + 60)) for i, o in at.items()}
+    links = [(a, b) for a in at for b in at if a < b and abs(at[a] - at[b]) <= 8]  # 48 of 64 shingles
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(sorted(docs.items()), "doc_id long, text string")).collect()
+    assert {x["doc_id"]: x["component_id"] for x in got} == same_classes(links, docs)
+
+
 def test_embedding_dedup(spark):
     r, v = np.random.default_rng(2), {}
     for x in spark.read.parquet(f"{D}/embeddings.parquet").collect():
