@@ -1,7 +1,7 @@
 """Near-duplicate documents: fast similarity sketches, banding, and exact verification on full shingle sets.
 
 A sketch has SLOTS places. In round i every shingle of a document is hashed to one place and a value, and a
-place keeps the least (round, value); after SLOTS rounds of random places, round SLOTS + j puts every shingle
+place keeps the least (round, value), the round in 10 bits; after SLOTS rounds of random places, round SLOTS + j puts every shingle
 in place j, so each place is filled, and two sketches agree in a place with the probability of their sets'
 similarity, concentrated as for independent places. Documents whose sketches agree in all places of a band
 are candidates. With 32 bands of 4 places, a pair of similarity 0.75 is missed with probability 6e-6.
@@ -114,7 +114,7 @@ def sketches(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
             break
         h = mix(items + np.uint64((i + 1) * int(ODD) & int(NONE)))
         place = (h & np.uint64(slots - 1)).astype(np.int64) if i < slots else np.int64(i - slots)
-        np.minimum.at(table_, owner * slots + place, (np.uint64(i) << np.uint64(56)) | (h >> np.uint64(8)))
+        np.minimum.at(table_, owner * slots + place, (np.uint64(i) << np.uint64(54)) | (h >> np.uint64(10)))
         if i % 2 or i < 4:
             open_ = (table_.reshape(len(sets), slots) == NONE).any(axis=1)
             keep = open_[owner]

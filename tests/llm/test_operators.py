@@ -137,6 +137,16 @@ def test_minhash_dedup_tiles(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == same_classes(links, docs)
 
 
+@pytest.mark.parametrize("less, more", [(3, 4), (6, 8), (9, 12), (10, 13), (12, 15), (15, 20), (30, 40)])
+def test_fine_sketches(less, more):
+    """Pairs of small sets at or above the threshold agree in enough places to be checked."""
+    r = np.random.default_rng(0)
+    sets = [minhash_dedup.mix(r.integers(1, 1 << 62, more).astype(np.uint64)) for _ in range(60)]
+    small, large = (minhash_dedup.sketches(x, minhash_dedup.FINE_SLOTS) for x in ([s[:less] for s in sets], sets))
+    like = (small == large).mean(axis=1)
+    assert like.min() >= minhash_dedup.FINE_LEAST and abs(like.mean() - less / more) < 0.01
+
+
 def test_embedding_dedup(spark):
     r, v = np.random.default_rng(2), {}
     for x in spark.read.parquet(f"{D}/embeddings.parquet").collect():
