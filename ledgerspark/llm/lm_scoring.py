@@ -6,8 +6,9 @@ attention and a hidden layer. What is predicted is the id's class (of CLASSES, b
 an id has), and within a class an id has its own share, so that a probability is two small factors.
 
 The word memory is the unigram counts of all training documents; a word's probability is the mean, at weight
-MEMORY, of its share among all training words, if it is one of the MOST_KNOWN most frequent, and the model's
-product over its subwords. score adds up log10 of these over the words and the end.
+MEMORY, of its share among all training words and the model's product over its subwords, added in logarithms, as the
+product of a long word is less than any double. score adds up log10 of these over the words and the end. The counts
+of the MOST_KNOWN most frequent words go to every task, and the others are joined.
 
 Everything learned by gradient descent uses SHARE of the training documents, at least LEAST_DOCS, picked by hash:
 tasks train copies of the model on their part and the copies are averaged, ROUNDS times. Counts are of all.
@@ -296,14 +297,14 @@ def scored(docs: DataFrame, training: DataFrame, tokenizer: str | None = None) -
             h = np.insert(hashed, first[1:], np.uint64(END_HASH)).view(np.int64)
             at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
             c = np.where(words[at] == h, uses[at], 0) if len(words) else np.zeros(len(h), np.int64)
-            total = np.bincount(owner, np.log10(MEMORY * c / max(least, 1) + (1 - MEMORY) * np.exp(np.maximum(unit, -600))), len(texts))
+            spelt = math.log(1 - MEMORY) + unit
+            with np.errstate(divide="ignore"):
+                share = np.log(MEMORY * c / max(least, 1))
+            total = np.bincount(owner, np.where(c > 0, np.logaddexp(share, spelt) / math.log(10), 0.0), len(texts))
             base = np.bincount(owner, np.where(c > 0, np.log10((c + 0.5) / least), 0.0), len(texts))
             rare = np.flatnonzero(c == 0)
-            order = rare[np.lexsort((h[rare], owner[rare]))]
-            new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])])) if len(order) else order
-            times = np.diff(np.concatenate([new, [len(order)]])).astype(np.int64)
-            offsets = np.searchsorted(owner[order[new]], np.arange(len(texts) + 1)).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(h[order[new]]), pa.array(times)], ["h", "k"])
+            offsets = np.searchsorted(owner[rare], np.arange(len(texts) + 1)).astype(np.int32)
+            pairs = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(spelt[rare])], ["h", "spelt"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(len(texts))), pa.array(ids, pa.int64()), pa.array(np.diff(first) + 1), pa.array(np.bincount(owner, c > 0, len(texts)).astype(np.int64)), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pairs)],
                 ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
@@ -311,11 +312,14 @@ def scored(docs: DataFrame, training: DataFrame, tokenizer: str | None = None) -
             row += len(texts)
 
     seen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    seen = stored(seen.mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,k:long>>"))
-    rare = seen.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.k").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rest = rare.groupBy("row").agg(F.sum(F.col("k") * F.log10((F.col("c") + 0.5) / F.lit(float(least)))).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known"))
+    seen = stored(seen.mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,spelt:double>>"))
+    rare = seen.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.spelt").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    share = F.log(F.col("c") * F.lit(MEMORY / max(least, 1)))
+    both = F.greatest(share, "spelt") + F.log1p(F.exp(-F.abs(share - F.col("spelt"))))
+    more = F.sum(F.log10((F.col("c") + 0.5) / F.lit(float(least)))).alias("more")
+    rest = rare.groupBy("row").agg(more, F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(F.when(F.col("c") > 0, both).otherwise(F.col("spelt")) / math.log(10)).alias("spelt"))
     out = seen.drop("rare").join(rest, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("spelt", F.lit(0.0))).alias("score"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -250,6 +250,25 @@ def test_lm_scoring(spark, documents):
     assert model > sum(r["score"] for r in untrained if held[r["doc_id"]])
 
 
+def test_lm_scoring_whole_words(spark, monkeypatch):
+    """A long word is scored to its end, and words beyond the MOST_KNOWN most frequent by their counts."""
+    size = lm_scoring.coder(lm_scoring.word_bpe()).tokenizer.get_vocab_size()
+    model = {"params": lm_scoring.fresh(), "rank": np.arange(size), "classes": np.arange(size) % lm_scoring.CLASSES, "within": np.full(size, -5.0)}
+    monkeypatch.setattr(lm_scoring, "train", lambda docs, tokenizer: model)
+    training = spark.createDataFrame([(i, f"the word w{i} and w{i} " * 3) for i in range(20)], "doc_id long, text string")
+    blob = hashlib.sha512(b"blob").hexdigest() * 16
+    docs = spark.createDataFrame([(1, blob), (2, blob * 2), (3, "the word w3 and w7 and w3"), (4, "unseen w5 unseen")], "doc_id long, text string")
+
+    def scores():
+        return {r["doc_id"]: r for r in lm_scoring.scored(docs, training).collect()}
+
+    want = scores()
+    assert want[1]["score"] < -2000 and want[2]["score"] < 1.9 * want[1]["score"]
+    monkeypatch.setattr(lm_scoring, "MOST_KNOWN", 4)
+    for i, r in scores().items():
+        assert all(math.isclose(r[k], want[i][k], rel_tol=1e-9) for k in ("n_known", "base_score", "score"))
+
+
 def test_attention_gradients():
     """Analytic against numeric gradients, and no token sees a later one."""
     p = {k: v.astype(np.float64) for k, v in lm_scoring.fresh(3).items()}
