@@ -10,8 +10,8 @@ MEMORY, of its share among all training words and the model's product over its s
 product of a long word is less than any double. score adds up log10 of these over the words and the end. The counts
 of the MOST_KNOWN most frequent words go to every task, and the others are joined.
 
-Everything learned by gradient descent uses SHARE of the training documents, at least LEAST_DOCS, picked by hash:
-tasks train copies of the model on their part and the copies are averaged, ROUNDS times. Counts are of all.
+All training documents are counted and learned from: they are dealt by hash, a copy of the model descends on each
+CHUNK of ids, about, and the copies are averaged by ids, ROUNDS times.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from .tokens import coder, word_bpe
 DIM, HIDDEN, HALF, CLASSES = 16, 32, 32, 192
 TOP, OTHER, NEAR = 4096, 1024, 128
 END_ID, END_HASH = 49407, 1
-SHARE, LEAST_DOCS, DOCS_A_TASK, ROUNDS, BATCH = 1 / 32, 2500, 640, 2, 64
+DOCS_A_TASK, ROUNDS, BATCH = 640, 2, 64
 MEMORY, MOST_KNOWN = 0.6, 1 << 20
 RATE = 0.01
 
@@ -154,21 +154,29 @@ def _averaged(parts: DataFrame, size: int) -> np.ndarray:
 def train(docs: DataFrame, tokenizer: str) -> dict:
     """The model, from the texts of docs (doc_id, text)."""
     spark, vocabulary = docs.sparkSession, coder(tokenizer).tokenizer.get_vocab_size()
-    n = docs.count()
-    share = min(1.0, max(SHARE, LEAST_DOCS / max(n, 1)))
-    tasks = max(1, int(n * share) // DOCS_A_TASK)
+    tasks = max(1, docs.count() // DOCS_A_TASK)
     parts = math.isqrt(tasks)
-    picked = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    picked = stored(picked.withColumn("task", F.pmod(F.hash("doc_id", "text"), F.lit(tasks))).repartitionById(tasks, F.col("task")).select("doc_id", "text"))
+    kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
-    def per_task(of_texts):
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task, texts in chunks(batches):
+            ids, ends = subwords(texts, tokenizer)[:2]
+            yield pa.RecordBatch.from_arrays([pa.array(task, pa.int32()), pa.array([x.astype(kind).tobytes() for x in np.split(ids, ends[:-1])], pa.binary())], ["task", "ids"])
+
+    dealt = docs.select(F.pmod(F.hash("doc_id", "text"), F.lit(tasks)).alias("task"), "text").mapInArrow(encoded, "task int, ids binary")
+    dealt = stored(dealt.repartitionById(tasks, F.col("task")))
+
+    def per_task(of_ids):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            texts = [t for _, some in chunks(batches) for t in some]
-            if texts:
-                m = of_texts(*subwords(texts, tokenizer)[:2])
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([m.astype(np.float64).tobytes()], pa.binary())], ["p", "m"])
+            m = None
+            for _, some in chunks(batches):
+                ids = np.frombuffer(b"".join(some), kind).astype(np.int64)
+                new = of_ids(ids, np.cumsum([len(x) // kind.itemsize for x in some])).astype(np.float64)
+                m = new if m is None else m + new
+            if m is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["p", "m"])
 
-        return picked.mapInArrow(of, "p int, m binary")
+        return dealt.mapInArrow(of, "p int, m binary")
 
     uses = _averaged(per_task(lambda ids, ends: np.bincount(ids, minlength=vocabulary)), vocabulary)
     order = np.lexsort((np.arange(vocabulary), -uses))
@@ -178,8 +186,10 @@ def train(docs: DataFrame, tokenizer: str) -> dict:
     def near(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         r = rank[ids]
         top, m = r < TOP, np.zeros((TOP, 2 * NEAR))
+        inside = np.ones(max(len(ids) - 1, 0), bool)
+        inside[ends[:-1] - 1] = False  # a text's end and the next text are no neighbours
         for side, (here, there) in enumerate(((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None)))):
-            t = top[here]
+            t = top[here] & inside
             np.add.at(m, (r[here][t], side * NEAR + np.minimum(r[there][t], NEAR - 1)), 1)
         return m.ravel()
 

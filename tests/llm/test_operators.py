@@ -269,6 +269,20 @@ def test_lm_scoring_whole_words(spark, monkeypatch):
         assert all(math.isclose(r[k], want[i][k], rel_tol=1e-9) for k in ("n_known", "base_score", "score"))
 
 
+def test_lm_training_uses_all(spark, monkeypatch):
+    """Counts and every round of descent see each id of the training texts, however many texts there are."""
+    r = np.random.default_rng(0)
+    texts = [" ".join(f"n{x}" for x in r.integers(0, 1000, 8)) for _ in range(3000)]
+    ids = lm_scoring.subwords([t.encode() for t in texts], lm_scoring.word_bpe())[0]
+    sums, averaged = [], lm_scoring._averaged
+    monkeypatch.setattr(lm_scoring, "_averaged", lambda parts, size: sums.append(averaged(parts, size)) or sums[-1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm_scoring.train(docs.withColumn("text", F.col("text").cast("binary")), lm_scoring.word_bpe())
+    uses = np.bincount(ids, minlength=len(sums[0]))
+    assert (sums[0] == uses).all() and [s[-1] for s in sums[2:]] == [len(ids)] * lm_scoring.ROUNDS
+    assert np.allclose(model["within"], np.log((uses + 0.5) / np.bincount(model["classes"], uses + 0.5)[model["classes"]]))
+
+
 def test_attention_gradients():
     """Analytic against numeric gradients, and no token sees a later one."""
     p = {k: v.astype(np.float64) for k, v in lm_scoring.fresh(3).items()}
