@@ -1,10 +1,11 @@
 """Best-fit packing: a configuration linear program over the length histogram.
 
 Documents become token ids, only those over CAPACITY are cut, and the pieces' histogram of lengths, at most
-CAPACITY numbers, is all the plan needs. The program (fewest sequences whose patterns of lengths cover the
-histogram) is solved by multiplicative weights: lengths covered less weigh more, and the best pattern for the
-weights is a knapsack dynamic program. Patterns are rounded down to whole sequences within the histogram, and
-what is left goes by best fit, longest first, into the room the patterns leave and then into new sequences. The
+CAPACITY numbers, is all the plan needs. Best fit, longest first, is kept where it needs at most NEAR more sequences
+than the tokens, or the pieces longer than half a sequence, show to be needed. Otherwise the program (fewest sequences whose patterns of lengths cover the histogram) is
+solved by column generation, each pattern by a knapsack dynamic program, until the prices show that no cover has
+fewer sequences by more than NEAR. Patterns are rounded down to whole sequences within the histogram, and
+what is left goes by best fit into the room the patterns leave and then into new sequences; the better plan stays. The
 plan works on counts of equal pieces and equal sequences throughout, so its size does not follow the input's.
 Each piece finds its place by its rank among pieces of its length.
 """
@@ -12,6 +13,7 @@ Each piece finds its place by its rank among pieces of its length.
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +28,7 @@ from .minhash_dedup import chunks
 from .tokens import coder, word_bpe
 
 #: CHUNK bytes of text at a time and WORDS remembered words keep a worker near 160 MB.
-CAPACITY, END, CHUNK, WORDS = 4096, 1, 1 << 18, 350_000
+CAPACITY, END, CHUNK, WORDS, NEAR = 4096, 1, 1 << 18, 350_000, 1e-3
 
 
 def best_pattern(value: np.ndarray, capacity: int) -> dict[int, int]:
@@ -45,27 +47,57 @@ def best_pattern(value: np.ndarray, capacity: int) -> dict[int, int]:
     return out
 
 
-def fractional(counts: np.ndarray, rounds: int = 120, rate: float = 4.0) -> list[tuple[float, dict[int, int]]]:
-    """Patterns and how often each is used, about, to cover counts (by length, from 0)."""
-    capacity, have = len(counts) - 1, counts > 0
-    lengths = np.arange(len(counts))
-    covered, used = np.zeros(len(counts)), []
-    need = np.maximum(counts, 1)
-    for _ in range(rounds):
-        weight = np.where(have, np.exp(-rate * covered / need) * lengths, -np.inf)
-        if not (pattern := best_pattern(weight, capacity)):
-            break
-        step = min(counts[k] / a for k, a in pattern.items()) / max(1.0, rate / 2)
-        for k, a in pattern.items():
-            covered[k] += a * step
-        used.append((step, pattern))
-        if (covered >= counts).all():
-            break
-    return used
-
-
-def plan(counts: np.ndarray, rounds: int = 120) -> list[tuple[int, dict[int, int]]]:
+def least(counts: np.ndarray) -> float:
+    """Sequences needed at least: no two pieces longer than half of one share it, and pieces from a length on do not fit beside the longest."""
+    capacity, lengths = len(counts) - 1, np.arange(len(counts))
+    half = capacity // 2
+    number, size = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts * lengths))
+    a = np.arange(half + 1)
+    room = (number[capacity - a + 1] - number[half + 1]) * capacity - (size[capacity - a + 1] - size[half + 1])
+    return max(float(number[-1] - number[half + 1] + max(0, (size[half + 1] - size[a] - room).max() / capacity)), float(size[-1]) / capacity)
+
+
+def fractional(counts: np.ndarray) -> list[tuple[float, dict[int, int]]]:
+    """Patterns and how often each is used to hold each length as often as counts (by length, from 0) says, within NEAR of the fewest."""
+    capacity, lengths = len(counts) - 1, np.flatnonzero(counts)
+    if not len(lengths):
+        return []
+    patterns = [{int(k): capacity // int(k)} for k in lengths]
+    inverse = np.diag(1.0 / (capacity // lengths))
+    # slightly uneven counts keep the steps from going round in a circle
+    used = inverse @ (counts[lengths] * (1 + 1e-7 * np.random.default_rng(0).random(len(lengths))))
+    bound = least(counts)
+    value = np.full(capacity + 1, -np.inf)
+    while True:
+        value[lengths] = inverse.sum(axis=0)
+        pattern = best_pattern(value, capacity)
+        worth = sum(value[k] * a for k, a in pattern.items())
+        bound = max(bound, float(value[lengths] @ counts[lengths]) / worth)
+        if worth <= 1 + 1e-9 or used.sum() <= bound * (1 + NEAR):
+            return list(zip(used.tolist(), patterns))
+        column = sum(inverse[:, np.searchsorted(lengths, k)] * a for k, a in pattern.items())
+        rows = np.flatnonzero(column > 1e-9)
+        out = rows[(used[rows] / column[rows]).argmin()]
+        step = used[out] / column[out]
+        used = np.maximum(used - step * column, 0)
+        used[out], patterns[out] = step, pattern
+        inverse[out] /= column[out]
+        column[out] = 0
+        rows = np.flatnonzero(column)
+        inverse[rows] -= np.outer(column[rows], inverse[out])
+
+
+def plan(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     """(number of sequences, their lengths with repeats); together they hold each length as often as counts says."""
+    sequences = lambda groups: sum(times for times, _ in groups)
+    plain, bound = filled(counts, []), least(counts)
+    if sequences(plain) <= max(math.ceil(bound), bound * (1 + NEAR)):
+        return plain
+    return min(plain, filled(counts, fractional(np.where(np.arange(len(counts)) < len(counts) - 1, counts, 0))), key=sequences)
+
+
+def filled(counts: np.ndarray, used: list[tuple[float, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
+    """The patterns used, as whole sequences, and all else by best fit, longest first."""
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     groups: dict[int, list[tuple[int, dict[int, int]]]] = {}
@@ -79,8 +111,8 @@ def plan(counts: np.ndarray, rounds: int = 120) -> list[tuple[int, dict[int, int
 
     full = [(int(left[capacity]), {capacity: 1})] if left[capacity] else []
     left[capacity] = 0
-    for times, items in sorted(fractional(np.where(np.arange(capacity + 1) < capacity, counts, 0), rounds), key=lambda x: sum(k * a for k, a in x[1].items()), reverse=True):
-        times = min(int(times + 1e-9), *(int(left[k] // a) for k, a in items.items()))
+    for times, items in sorted(used, key=lambda x: sum(k * a for k, a in x[1].items()), reverse=True):
+        times = min(int(times * (1 + 1e-9) + 1e-9), *(int(left[k] // a) for k, a in items.items()))
         if times > 0:
             for k, a in items.items():
                 left[k] -= a * times
@@ -136,7 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, rounds: int = 120) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """The pieces of docs (doc_id, text), each with its sequence_id and offset.
 
     Null and empty texts are one piece that holds `end` alone. Repeated rows are packed as often as they come;
@@ -148,7 +180,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         counts[r["length"]] = r["count"]
     salts = max(64, int(counts.sum()) // 100_000)
     spark = docs.sparkSession
-    places = spark.sparkContext.broadcast(_places(plan(counts, rounds)))
+    places = spark.sparkContext.broadcast(_places(plan(counts)))
 
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

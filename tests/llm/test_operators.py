@@ -74,6 +74,24 @@ def test_packing(spark, documents):
     assert len(places) <= math.ceil(sum(w[1] for w in want.values()) / 4096) + 1
 
 
+@pytest.mark.parametrize("scale", [1, 41])
+def test_packing_plan(scale):
+    """Two kinds of full sequences, 51 + 26 + 23 and 27 + 27 + 23 + 23, that best fit alone does not find; and lengths of two modes."""
+    counts = np.zeros(100 * scale + 1, np.int64)
+    counts[[51 * scale, 27 * scale, 26 * scale, 23 * scale]] = 6000, 6000, 6000, 12000
+    r = np.random.default_rng(0)
+    modes = np.bincount(np.concatenate([r.integers(20 * scale, 24 * scale, 20000), r.integers(51 * scale, 55 * scale, 20000)]), minlength=100 * scale + 1)
+    for c, most in ((counts, 9000 * 1.001 + 4), (modes, None)):
+        plan = packing.plan(c)
+        assert all(sum(k * a for k, a in items.items()) <= 100 * scale for _, items in plan)
+        held = Counter()
+        for times, items in plan:
+            held.update({k: times * a for k, a in items.items()})
+        assert held == {k: n for k, n in enumerate(c.tolist()) if n}
+        # two of the long ones never share a sequence, and with one of them there is room for two short ones
+        assert sum(times for times, _ in plan) <= (most or 20000 * 1.01)
+
+
 def test_packing_odd(spark):
     rows = packing.packed(odd(spark)).collect()
     assert Counter(r["doc_id"] for r in rows)[7] == 2 and {r["length"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
