@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows up to which a narrow table is broadcast (some 40 bytes a row), and the words of 64 bits of a bitmap.
+MOST_BROADCAST, BITMAP = 1 << 20, 1 << 18
+
 #: The characters that part words, and the patterns of words and of the gaps between them.
 SPACES = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,17 +21,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder of spark.checkpoint.dir; where that is unset (tests on one machine), a local one."""
+    """A new folder below the shared folder of spark.checkpoint.dir, which has to be set: a local folder would lose rows on a cluster."""
     if not (top := spark.conf.get("spark.checkpoint.dir", None)):
-        top = "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
-        spark.conf.set("spark.checkpoint.dir", top)
+        raise ValueError("spark.checkpoint.dir is not set; name a folder there that the driver and all executors share")
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Folders of stored() that are still there, in order.
+_folders: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: lineage ends here, lost executors cost nothing, and joins know its size."""
     df.write.parquet(path := scratch(df.sparkSession))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _folders.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._folder)
+
+
+def written() -> int:
+    """How many stored tables there are now, for drop_since()."""
+    return len(_folders)
+
+
+def drop_since(spark: SparkSession, mark: int, *kept: DataFrame) -> None:
+    """Deletes the tables stored since written() was mark, but for kept ones."""
+    for path in _folders[mark:]:
+        if path not in {t._folder for t in kept}:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _folders.remove(path)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stored narrow table, marked for broadcast if its rows are few enough; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def maybe_in(rows: DataFrame, key: str, ids: DataFrame, flag: str) -> DataFrame:
+    """rows with flag: false where key is certainly not among ids (one column, of long), by a bitmap of BITMAP words.
+
+    The bitmap is at most BITMAP rows, however many ids there are, so it is broadcast; wide rows that an exact join
+    need not see stay where they are. With very many ids all flags are true and nothing is lost but the saving.
+    """
+    place = lambda c: (F.xxhash64(c).bitwiseAND(F.lit(BITMAP - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(F.xxhash64(c), 58).cast("int")))
+    word, bit = place(F.col(ids.columns[0]))
+    bits = stored(ids.select(word.alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits")))
+    word, bit = place(F.col(key))
+    found = rows.join(F.broadcast(bits), word == F.col("__word"), "left")
+    return found.withColumn(flag, F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False)) & F.col(key).isNotNull()).drop("__word", "__bits")
 
 
 def let(value: Column, body) -> Column:
@@ -49,12 +100,13 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(marked, GAP, "")).cast("long")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for each node of edges (a, b): root is the smallest node reachable.
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(node, root) for each node of edges (a, b), stored: root is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the edges stay as they are. The smallest neighbour
-    is a combined aggregate and the joins are plain shuffled joins on stored tables, so that one node
-    with very many edges needs no task of its own.
+    Alternates large-star and small-star steps until the edges stay as they are, which takes about as many rounds as
+    the logarithm of the longest chain; beyond most_rounds it raises. The smallest neighbour is a combined aggregate
+    and the joins are plain shuffled joins on stored tables, whose hot keys adaptive execution splits, so that one
+    node with very many edges needs no task of its own.
     """
     e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = None
@@ -68,6 +120,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("b > a").join(least, both.a == least.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = stored(large)
         low = stored(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"))
-        small = large.join(low, large.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = stored(small.union(low.select("u", "m")).distinct())
-    return e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        small_ = large.join(low, large.a == low.u).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        next_ = stored(small_.union(low.select("u", "m")).distinct())
+        drop(e, least, large, low)
+        e = next_
+    else:
+        raise RuntimeError(f"the components have not settled in {most_rounds} rounds")
+    out = stored(e.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
+    drop(e)
+    return out

@@ -16,6 +16,7 @@ sets, and a family of near copies is never paired in full.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, drop, drop_since, maybe_in, stored, table, written
 
 SLOTS, BANDS, WIDTH, PERCENT = 128, 32, 5, 75
 FINE_SLOTS, TILE = 512, 256
@@ -154,19 +155,24 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = np.broadcast_to(seeds, (len(sets), BANDS))
         for k in range(SLOTS // BANDS):
             bands = mix((bands + sketch[:, :, k]) * ODD)
-        keys = np.array([[(mix(s * x) if len(s) else s).sum(dtype=np.uint64) for x in (ODD, BASE)] for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
+        keys = _keys(sets)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), longs([b if len(s) else s for s, b in zip(sets, bands)])],
+            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), longs([b if len(s) else s for s, b in zip(sets, bands)])],
             ["doc_id", "n", "k1", "k2", "bands"],
         )
 
 
+def _keys(sets: list[np.ndarray]) -> np.ndarray:
+    """Two 64-bit keys of each set, which name it."""
+    return np.array([[(mix(s * x) if len(s) else s).sum(dtype=np.uint64) for x in (ODD, BASE)] for s in sets], np.uint64).reshape(len(sets), 2).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for ids, texts in chunks(batches):
         sets = shingles(texts, powers)
         fine = [x.tobytes() for x in mix(sketches(sets, FINE_SLOTS)).astype(np.uint8)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), longs(sets), pa.array(fine, pa.binary())], ["doc_id", "s", "fine"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(_keys(sets)[:, 0].copy()), longs(sets), pa.array(fine, pa.binary())], ["doc_id", "k1", "s", "fine"])
 
 
 def _likely(best: int):
@@ -203,7 +209,7 @@ def _likely(best: int):
 
 
 def _members(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
-    ids, n, root, outside = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "n", "root", "outside"))
+    ids, n, root, outside = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("node", "n", "root", "outside"))
     fine = np.frombuffer(b"".join(rows.field("fine").to_pylist()), np.uint8).reshape(-1, FINE_SLOTS)
     return ids, n, root, outside, fine
 
@@ -213,57 +219,95 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Linked are documents with 100 * shared shingles >= PERCENT * shingles of either. Null, empty and blank
     texts have no shingles and are linked with nothing; texts of fewer than WIDTH words are linked with equal
-    ones only. component_id is the smallest doc_id reachable. Rows that repeat a doc_id and text come back as
-    often and fall in one class. An empty table gives an empty result; other columns are ignored.
+    ones only. component_id is the smallest doc_id reachable. Rows that repeat a doc_id come back as often; they
+    are one document, in one class, whose links are those of all its texts. Null doc_ids link with nothing.
+    doc_ids are below 2^62. An empty table gives an empty result; other columns are ignored.
     """
+    mark = written()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("t"))
     seen = stored(rows.mapInArrow(_features, "doc_id long, n long, k1 long, k2 long, bands array<long>"))
-    heads = stored(seen.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("head")))
-    of = stored(seen.join(heads, ["k1", "k2", "n"], "left").select("doc_id", "n", "head", F.when(F.col("doc_id") == F.col("head"), F.col("bands")).alias("bands")))
-    alone = of.where("bands is not null").dropDuplicates(["doc_id"])
-    keys = alone.select(F.explode("bands").alias("key"), "doc_id", "n")
-    shared = stored(keys.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1"))
-    keys = stored(keys.join(shared, "key").select("key", "doc_id", "n", "m", "c"))
-    wanted = stored(keys.select("doc_id").distinct())
-    sets = stored(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, s array<long>, fine binary").dropDuplicates(["doc_id"]))
-
-    pairs = keys.where("doc_id <> c.doc_id").select(F.col("c.doc_id").alias("a"), F.col("c.n").alias("na"), F.col("doc_id").alias("b"), F.col("n").alias("nb"))
-    checked, root = _linked(pairs, sets, None, None)
-    parts = keys.where("m > 2").select("key", "doc_id", "n")
+    alone = stored(seen.where("n = 0 or doc_id is null").select("doc_id", "n"))
+    able = seen.where("n > 0 and doc_id is not null")
+    heads = stored(able.groupBy("k1", "k2", "n").agg(F.min_by(F.struct("doc_id", "bands"), "doc_id").alias("h")).select("k1", "k2", "n", "h.doc_id", "h.bands"))
+    # a set's node is the smallest doc_id that has it; where one doc_id is so for several sets, the others get numbers beyond doc_ids
+    first = heads.groupBy("doc_id").agg(F.min(F.struct("k1", "k2", "n")).alias("f"), F.count("*").alias("sets")).where("sets > 1")
+    first = stored(first.select(F.col("doc_id").alias("d"), "f"))
+    beyond = F.shiftrightunsigned(F.xxhash64("k1", "k2", "n"), 2).bitwiseOR(F.lit(1 << 62))
+    named = heads.join(first, F.col("doc_id") == F.col("d"), "left")
+    named = stored(named.withColumn("node", F.when(F.col("f").isNull() | (F.col("f") == F.struct("k1", "k2", "n")), F.col("doc_id")).otherwise(beyond)).drop("d", "f"))
+    of = stored(able.select("doc_id", "k1", "k2", "n").join(named.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("doc_id", "n", "node"))
+    same = stored(of.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc_id"))
+    same = stored(of.join(same, "doc_id").where("doc_id <> node").select("node", F.col("doc_id").alias("root")).distinct())
+
+    keys = named.select(F.explode("bands").alias("key"), "node", "n")
+    shared = stored(keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("c"), F.count("*").alias("m")).where("m > 1"))
+    keys = stored(keys.join(shared, "key").select("key", "node", "n", "m", "c"))
+    wanted = keys.select("node").distinct().join(named.select("node", "doc_id", "k1"), "node")
+    wanted = stored(wanted.select("node", F.col("doc_id").alias("d"), F.col("k1").alias("k")))
+    texts = maybe_in(rows, "doc_id", wanted.select("d"), "__maybe").where("__maybe").select("doc_id", "t")
+    texts = texts.join(wanted.select(F.col("d").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "t"])
+    sets = texts.mapInArrow(_sets, "doc_id long, k1 long, s array<long>, fine binary")
+    sets = stored(sets.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("k1") == F.col("k"))).select("node", "s", "fine"))
+    drop(seen, heads, named, first, shared, wanted)
+
+    pairs = keys.where("node <> c.node").select(F.col("c.node").alias("a"), F.col("c.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb"))
+    checked, root = _linked(pairs, sets, None, same)
+    parts = stored(keys.where("m > 2").select("key", "node", "n"))
+    drop(keys)
     for best in (2, 0):
         tiles = _tiles(parts, root, sets)
-        x, y = (tiles.select("family", *(F.col(c).alias(f"{c}{side}") for c in ("tile", "some", "rows"))) for side in "xy")
-        pairs = x.where("somex").join(y, "family").select("rowsx", "rowsy")
-        checked, root = _linked(pairs.mapInArrow(_likely(best), "a long, na long, b long, nb long"), sets, checked, root)
+        likely = _tile_pairs(tiles).mapInArrow(_likely(best), "a long, na long, b long, nb long")
+        checked, more = _linked(likely, sets, checked, root)
+        drop(tiles, root)
+        root = more
+    drop_since(docs.sparkSession, mark, alone, of, root)
 
-    out = of.join(root, F.col("head") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "head", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = of.join(root.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
+    out = out.union(alone.select("doc_id", "n", "doc_id")).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _tiles(parts: DataFrame, root: DataFrame, sets: DataFrame) -> DataFrame:
-    """The members of buckets in several parts, by family (the root of a bucket's largest part) in tiles of about TILE."""
-    parts = stored(parts.join(root, F.col("doc_id") == F.col("node"), "left").select("key", "doc_id", "n", F.coalesce("root", "doc_id").alias("root")))
+    """The members of buckets in several parts, by family (the root of a bucket's largest part) and step (members of
+    steps that are not the same or next ones differ too much in size to be linked), in tiles of about TILE."""
+    step = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / PERCENT)) + 1e-9)
+    parts = parts.join(root.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    parts = stored(parts.select("key", "node", "n", F.coalesce("root", "node").alias("root"), step.alias("step")))
     main = parts.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("family"), F.count("*").alias("parts")).where("parts > 1")
-    family = stored(parts.join(stored(main), "key").select("family", "doc_id", "n", "root").distinct())
-    counts = stored(family.groupBy("family").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
-    member = F.struct("doc_id", "n", "root", (F.col("root") != F.col("family")).alias("outside"), "fine")
-    tiled = family.join(counts, "family").join(sets.select("doc_id", "fine"), "doc_id").withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles"))
-    return stored(tiled.groupBy("family", "tile").agg(F.collect_list(member).alias("rows"), F.max(F.col("root") != F.col("family")).alias("some")))
+    main = stored(main.select("key", "family"))
+    family = stored(parts.join(main, "key").select("family", "step", "node", "n", "root").distinct())
+    counts = stored(family.groupBy("family", "step").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
+    member = F.struct("node", "n", "root", (F.col("root") != F.col("family")).alias("outside"), "fine")
+    tiled = family.join(counts, ["family", "step"]).join(sets.select("node", "fine"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    out = stored(tiled.groupBy("family", "step", "tile").agg(F.collect_list(member).alias("rows"), F.max(F.col("root") != F.col("family")).alias("some")))
+    drop(parts, main, family, counts)
+    return out
+
+
+def _tile_pairs(tiles: DataFrame) -> DataFrame:
+    """(rowsx, rowsy): each tile that has outside members with every tile of its family in the same or a next step.
+    Pairs are made of the tiles' names, and the rows fetched by them, so that a large family is many tasks."""
+    names = tiles.select("family", "step", "tile", "some")
+    x = names.where("some").select("family", F.col("step").alias("stepx"), F.col("tile").alias("tilex"))
+    y = names.select("family", F.col("step").alias("stepy"), F.col("tile").alias("tiley"))
+    pairs = stored(x.join(y, "family").where("abs(stepx - stepy) <= 1"))
+    side = lambda s: tiles.select("family", F.col("step").alias(f"step{s}"), F.col("tile").alias(f"tile{s}"), F.col("rows").alias(f"rows{s}"))
+    return pairs.join(side("x"), ["family", "stepx", "tilex"]).join(side("y"), ["family", "stepy", "tiley"]).select("rowsx", "rowsy")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, checked: DataFrame | None, root: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """All pairs checked, and each node's root, with those of pairs (a, na, b, nb) that share enough added."""
+def _linked(pairs: DataFrame, sets: DataFrame, checked: DataFrame | None, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs checked, and each node's root, with those of pairs (a, na, b, nb) that share enough added to what root links."""
     pairs = pairs.where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").distinct()
     if checked is not None:
         pairs = pairs.join(checked, ["a", "b"], "left_anti")
     pairs = stored(pairs)
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
     links = both.where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b")
-    if root is not None:  # what is linked already counts as one edge to its root
-        links = links.union(root.where("node <> root"))
+    # what is linked already counts as one edge to its root
+    links = links.union(root.where("node <> root").select("node", "root"))
     checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
-    return checked, stored(components(links))
+    return checked, components(links)
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ closest in relative entropy to one copy each are exponentially tilted by size: r
 size / mean size)). The tilts solve a convex dual, one unknown a source, by safeguarded Newton steps; value
 and slope of all sources are one combined aggregate over the histogram of (source, size), which holds all
 documents. Rates are then rounded: from the largest size down, each size of a source gets whole copies and
-hands its rounding error on, and within a size the copies are spread evenly over the documents in hash order.
+hands its rounding error on, and within a size the documents that get one copy more are those of the least hashes:
+each size of a source has a threshold, so that copies are read off a document's source, size and hash alone, and
+texts stay where they are.
 """
 
 from __future__ import annotations
@@ -13,13 +15,15 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, word_count
+from .common import drop, drop_since, small, stored, table, word_count, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2
+#: Sources at most, as one row each passes the driver and one task rounds a source's sizes; parts of the hashes.
+SOURCES, PARTS = 100_000, 4096
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -39,7 +43,7 @@ def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS,
     return out
 
 
-def _tilts(histogram: DataFrame, goal: dict[str, tuple[float, float, float]], most: float, steps: int = 60) -> dict[str, float]:
+def _tilts(histogram: DataFrame, goal: dict[str, tuple[float, float, float]], most: float, steps: int = 200) -> dict[str, float]:
     """Each source's tilt; goal: (words, mean size, target) by key. A Newton step is one aggregate over the histogram."""
     spark = histogram.sparkSession
     tilt, low, high = {}, {}, {}
@@ -63,6 +67,8 @@ def _tilts(histogram: DataFrame, goal: dict[str, tuple[float, float, float]], mo
             if not low[k] < step < high[k]:
                 step = (low[k] + high[k]) / 2 if low[k] > -1e6 else min(2 * tilt[k], -1.0)
             tilt[k] = step
+    if todo:
+        raise RuntimeError(f"the tilts of {len(todo)} sources have not settled in {steps} steps")
     return tilt
 
 
@@ -81,47 +87,74 @@ def _copies(most: int):
     return of_source
 
 
-def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) for each row of docs (doc_id, text, source).
+def _key(source: Column) -> Column:
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("?"))
 
-    Sizes are words; null, empty and blank texts have size 0, take no words and get one copy. Reruns agree, as
-    order within a size is by a hash of doc_id, then doc_id. Repeated rows count each time. An empty table
-    gives an empty result. Sources are few: one row each passes the driver, as their weights do.
-    """
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("?"))
-    seen = stored(docs.select("doc_id", "source", key.alias("k"), word_count(F.col("text")).alias("size")))
-    by_source = seen.groupBy("k", "source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
-    salts = max(64, sum(r["n"] for r in by_source) // 100_000)
+
+def _cells(seen: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
+    """(k, size, source_size, target, rate, every, last), stored, of seen (doc_id, source, k, size): of a source and size each
+    row gets `every` copies, and one more if its hash is at most `last`."""
+    mark = written()
+    by_source = seen.groupBy("k", "source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
+    if len(by_source) > SOURCES:
+        raise ValueError(f"more than {SOURCES} sources")
     goal = targets({r["source"]: r["words"] for r in by_source}, weights, share, most)
     goals = {r["k"]: (float(r["words"]), max(r["words"] / r["n"], 1e-9), goal[r["source"]]) for r in by_source}
     histogram = stored(seen.groupBy("k", "size").agg(F.count("*").alias("n")))
     tilt = _tilts(histogram, goals, most)
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(k, int(w), t, m, float(tilt[k])) for k, (w, m, t) in sorted(goals.items())], "k string, source_size long, target double, mean double, tilt double")
+    rows = seen.sparkSession.createDataFrame([(k, int(w), t, m, float(tilt[k])) for k, (w, m, t) in sorted(goals.items())], "k string, source_size long, target double, mean double, tilt double")
     rated = histogram.join(rows, "k").withColumn("rate", F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size") / F.col("mean"))))
-    cells = stored(rated.select("k", "size", "n", "rate").groupBy("k").applyInPandas(_copies(most), "k string, size long, n long, rate double, copies long"))
+    cells = rated.select("k", "size", "n", "rate").groupBy("k").applyInPandas(_copies(most), "k string, size long, n long, rate double, copies long")
+    cells = stored(cells.select("k", "size", "rate", F.expr("copies div n").alias("every"), (F.col("copies") % F.col("n")).alias("more")))
+    # the hash of the last row that gets one more: counts by the hash's leading bits say in which part it is, and the rows of these parts alone are ranked
+    some = seen.select("k", "size", _hash().alias("u")).join(small(stored(cells.where("more > 0").select("k", "size", "more"))), ["k", "size"])
+    some = some.withColumn("part", _part(F.col("u")))
+    parts = some.groupBy("k", "size", "more", "part").agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(Window.partitionBy("k", "size").orderBy("part"))
+    parts = parts.withColumn("left", F.col("more") - (upto - F.col("m"))).where("left between 1 and m")
+    parts = stored(parts.select("k", "size", "part", "left"))
+    ranked = some.join(small(parts), ["k", "size", "part"]).withColumn("j", F.row_number().over(Window.partitionBy("k", "size", "part").orderBy("u")))
+    last = ranked.where(F.col("j") == F.col("left")).select("k", "size", F.col("u").alias("last"))
+    out = stored(cells.drop("more").join(last, ["k", "size"], "left").join(rows.select("k", "source_size", "target"), "k"))
+    drop_since(seen.sparkSession, mark, out)
+    return out
+
 
-    # the place of each document among those of its source and size, in `salts` parts of each
-    salted = seen.withColumn("u", F.xxhash64("doc_id")).withColumn("salt", F.pmod(F.xxhash64("u"), F.lit(salts)))
-    parts = salted.groupBy("k", "size", "salt").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("k", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = stored(parts.withColumn("before", F.coalesce(F.sum("m").over(before), F.lit(0))).join(cells, ["k", "size"]).drop("m"))
-    placed = salted.withColumn("j", F.row_number().over(Window.partitionBy("k", "size", "salt").orderBy("u", "doc_id")))
-    placed = placed.join(parts, ["k", "size", "salt"]).withColumn("j", F.col("j") + F.col("before"))
-    copies = F.expr("copies div n + (j * (copies % n)) div n - ((j - 1) * (copies % n)) div n")
-    out = placed.withColumn("c", copies).join(rows.select("k", "source_size", "target"), "k")
-    return out.select("doc_id", "source", "size", "source_size", "target", "rate", F.col("c").alias("copies"), (F.col("c") * F.col("size")).alias("taken"))
+def _hash() -> Column:
+    return F.xxhash64("doc_id")
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs, all columns, each row as often as the mixture takes it.
+def _part(u: Column) -> Column:
+    return F.shiftright(u, 64 - PARTS.bit_length() + 1)
+
+
+def _copies_of(every: str, last: str) -> Column:
+    return F.col(every) + F.when(_hash() <= F.col(last), 1).otherwise(0)
+
+
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken) for each row of docs (doc_id, text, source).
 
-    Rows that repeat a doc_id, source and size are taken alike, as the mean of their copies rounded up.
+    Sizes are words; null, empty and blank texts have size 0, take no words and get one copy. Reruns agree, as only
+    source, size and a hash of doc_id decide. Rows that repeat a doc_id, source and size are taken alike, so that where the
+    threshold falls on them the words of their size differ from the plan by less than theirs. An empty table
+    gives an empty result. Sources are at most SOURCES: one row each passes the driver, as their weights do.
     """
-    plan = mixture(docs, **options).groupBy("doc_id", "source", "size").agg(F.ceil(F.avg("copies")).cast("int").alias("__copies"))
-    plan = stored(plan.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__n"), "__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (word_count(F.col("text")) == F.col("__n"))
-    return docs.join(plan, same).where("__copies > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+    seen = stored(docs.select("doc_id", "source", _key(F.col("source")).alias("k"), word_count(F.col("text")).alias("size")))
+    cells = _cells(seen, weights, share, most)
+    out = seen.join(small(cells), ["k", "size"]).withColumn("copies", _copies_of("every", "last"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """docs, all columns, each row as often as mixture() says. Texts are not moved: copies are read off each row."""
+    seen = stored(docs.select("doc_id", "source", _key(F.col("source")).alias("k"), word_count(F.col("text")).alias("size")))
+    cells = _cells(seen, weights, share, most)
+    drop(seen)
+    plan = small(cells.select(*(F.col(c).alias(f"__{c}") for c in ("k", "size", "every", "last"))))
+    rows = docs.withColumn("__of", _key(F.col("source"))).withColumn("__words", word_count(F.col("text")))
+    rows = rows.join(plan, (F.col("__of") == F.col("__k")) & (F.col("__words") == F.col("__size")))
+    return rows.withColumn("__i", F.explode(F.array_repeat(F.lit(0), _copies_of("__every", "__last").cast("int")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
