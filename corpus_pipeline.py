@@ -1,13 +1,15 @@
 """The documents' way to packed sequences: quality rules, near-dedup, secret scans, mixing, packing.
 
-Each stage gets what the one before kept. run() writes each stage's rows to the shared folder and reads them again.
+Each stage gets what the one before kept. run() writes each stage's rows to the shared folder, reads them again, and
+deletes the rows of the stage before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerspark.llm.common import stored, table
+from ledgerspark.llm.common import drop_since, maybe_in, stored, table, written
 from ledgerspark.llm.minhash_dedup import near_duplicates
 from ledgerspark.llm.mixing import mixed
 from ledgerspark.llm.packing import packed
@@ -21,10 +23,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class, the one with the smallest doc_id. Rows that repeat its doc_id stay with
-    it, and rows without a doc_id stay, as no class can name them."""
-    kept = stored(near_duplicates(docs.where("doc_id is not null")).where("kept").select("doc_id").distinct())
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+    """One document of each near-duplicate class, the one with the smallest doc_id; of rows that repeat a doc_id, one of
+    the smallest text. Rows without a doc_id stay, as no class can name them.
+
+    Texts that are certainly kept are not moved: rows go through the exact join only if a bitmap of the doc_ids that
+    have to go, or that repeat, may hold theirs.
+    """
+    classes = near_duplicates(docs.where("doc_id is not null"))
+    counts = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.first("kept").alias("kept"))
+    drops = stored(counts.where("n > 1 or not kept").select(F.col("doc_id").alias("__id"), F.col("kept").alias("__kept")))
+    rows = maybe_in(docs, "doc_id", drops.select("__id"), "__maybe")
+    sure = rows.where("not __maybe").select(*docs.columns)
+    rest = rows.where("__maybe").drop("__maybe").join(drops, F.col("doc_id") == F.col("__id"), "left").where("coalesce(__kept, true)")
+    order = F.struct(F.coalesce("text", F.lit("")), *(F.col(c).cast("string") for c in docs.columns if c not in ("doc_id", "text")))
+    rest = rest.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("__row")).select("__row.*")
+    return sure.union(rest.select(*docs.columns))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +62,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
+    docs, mark = table(spark, sf_dir, "documents"), written()
+    for _, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir))
-    return stored(STAGES[-1][1](spark, docs, sf_dir))
+        drop_since(spark, mark, docs)  # the stage before, and what this one needed
+    return docs
