@@ -1,13 +1,17 @@
 """Best-fit packing: a configuration linear program over the length histogram.
 
 Documents become token ids, only those over CAPACITY are cut, and the pieces' histogram of lengths, at most
-CAPACITY numbers, is all the plan needs. Best fit, longest first, is kept where it needs at most NEAR more sequences
-than the tokens, or the pieces longer than half a sequence, show to be needed. Otherwise the program (fewest sequences whose patterns of lengths cover the histogram) is
-solved by column generation, each pattern by a knapsack dynamic program, until the prices show that no cover has
-fewer sequences by more than NEAR. Patterns are rounded down to whole sequences within the histogram, and
-what is left goes by best fit into the room the patterns leave and then into new sequences; the better plan stays. The
-plan works on counts of equal pieces and equal sequences throughout, so its size does not follow the input's.
-Each piece finds its place by its rank among pieces of its length.
+CAPACITY numbers, is all the plan needs. Pieces over CAPACITY / SMALL tokens are planned by the program: fewest
+sequences whose patterns of lengths cover the histogram. Lengths are the longest of at most KINDS runs of
+about as many pieces. It is solved by multiplicative weights: a length's price falls exponentially with how much of
+it is covered, a knapsack dynamic program finds the pattern of the highest price, no length more often than it occurs,
+and the pattern is used so often that no length's cover grows by more than STEP; once all is covered twice, what the
+second time needed is scaled down to cover just once, and cut, the least used first, as far as all stay covered. Equal
+patterns are one. Patterns are rounded down to whole sequences within the histogram,
+then once each, the most used first, as long as the histogram has their pieces, and the program is solved again for
+what is left, until nothing is. All other pieces, and the smallest piece of each sequence where that saves sequences,
+go by best fit, longest first, into the room that this leaves and then into new sequences. The plan works on counts of equal pieces and equal sequences throughout, so its size does not follow the input's. Each
+piece finds its place by its rank among pieces of its length.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import bisect
 import math
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,76 +33,130 @@ from .minhash_dedup import chunks
 from .tokens import coder, word_bpe
 
 #: CHUNK bytes of text at a time and WORDS remembered words keep a worker near 160 MB.
-CAPACITY, END, CHUNK, WORDS, NEAR = 4096, 1, 1 << 18, 350_000, 1e-3
-
-
-def best_pattern(value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The lengths, with repeats, of at most capacity in all that are worth most; value[l] is -inf where there is no such length."""
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        v = value[1 : c + 1] + best[c - 1 :: -1] if c < capacity else value[1:] + best[capacity - 1 :: -1]
-        k = int(v.argmax())
-        best[c], choice[c] = (v[k], k + 1) if v[k] > best[c - 1] else (best[c - 1], 0)
+CAPACITY, END, CHUNK, WORDS = 4096, 1, 1 << 18, 350_000
+SMALL, KINDS, STEP = 16, 128, 0.25
+
+
+def best_pattern(kinds: list[int], value: list[float], most: list[int], capacity: int) -> tuple[dict[int, int], float]:
+    """Of kinds (lengths), the pattern {index: how often} of at most capacity in all that is worth most, none more often
+    than `most` says, and its worth. Repeats go in powers of two, each of which is in the pattern or not."""
+    best, rows = np.zeros(capacity + 1), []
+    for i, k in enumerate(kinds):
+        rest, a = min(most[i], capacity // k), 1
+        while rest:
+            a = min(a, rest)
+            new = best[: capacity + 1 - a * k] + a * value[i]
+            better = new > best[a * k :]
+            rows.append((i, a, better))
+            np.copyto(best[a * k :], new, where=better)
+            rest -= a
+            a *= 2
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        if k := int(choice[c]):
-            out[k] = out.get(k, 0) + 1
-        c -= k or 1
-    return out
-
-
-def least(counts: np.ndarray) -> float:
-    """Sequences needed at least: no two pieces longer than half of one share it, and pieces from a length on do not fit beside the longest."""
-    capacity, lengths = len(counts) - 1, np.arange(len(counts))
-    half = capacity // 2
-    number, size = (np.concatenate([[0], np.cumsum(x)]) for x in (counts, counts * lengths))
-    a = np.arange(half + 1)
-    room = (number[capacity - a + 1] - number[half + 1]) * capacity - (size[capacity - a + 1] - size[half + 1])
-    return max(float(number[-1] - number[half + 1] + max(0, (size[half + 1] - size[a] - room).max() / capacity)), float(size[-1]) / capacity)
-
-
-def fractional(counts: np.ndarray) -> list[tuple[float, dict[int, int]]]:
-    """Patterns and how often each is used to hold each length as often as counts (by length, from 0) says, within NEAR of the fewest."""
-    capacity, lengths = len(counts) - 1, np.flatnonzero(counts)
-    if not len(lengths):
-        return []
-    patterns = [{int(k): capacity // int(k)} for k in lengths]
-    inverse = np.diag(1.0 / (capacity // lengths))
-    # slightly uneven counts keep the steps from going round in a circle
-    used = inverse @ (counts[lengths] * (1 + 1e-7 * np.random.default_rng(0).random(len(lengths))))
-    bound = least(counts)
-    value = np.full(capacity + 1, -np.inf)
-    while True:
-        value[lengths] = inverse.sum(axis=0)
-        pattern = best_pattern(value, capacity)
-        worth = sum(value[k] * a for k, a in pattern.items())
-        bound = max(bound, float(value[lengths] @ counts[lengths]) / worth)
-        if worth <= 1 + 1e-9 or used.sum() <= bound * (1 + NEAR):
-            return list(zip(used.tolist(), patterns))
-        column = sum(inverse[:, np.searchsorted(lengths, k)] * a for k, a in pattern.items())
-        rows = np.flatnonzero(column > 1e-9)
-        out = rows[(used[rows] / column[rows]).argmin()]
-        step = used[out] / column[out]
-        used = np.maximum(used - step * column, 0)
-        used[out], patterns[out] = step, pattern
-        inverse[out] /= column[out]
-        column[out] = 0
-        rows = np.flatnonzero(column)
-        inverse[rows] -= np.outer(column[rows], inverse[out])
+    for i, a, better in reversed(rows):
+        if c >= a * kinds[i] and better[c - a * kinds[i]]:
+            out[i] = out.get(i, 0) + a
+            c -= a * kinds[i]
+    return out, float(best[capacity])
+
+
+def fractional(kinds: np.ndarray, number: np.ndarray, capacity: int) -> tuple[list[tuple[float, dict[int, int]]], float]:
+    """Patterns {index of kind: how often} and how often each is used to hold each kind (a length) as often as number says; and
+    sequences that any such plan needs at least, by the best prices met."""
+    if not len(kinds):
+        return [], 0.0
+    lengths, most, covered = kinds.tolist(), number.tolist(), np.zeros(len(kinds))
+    used: dict[tuple, float] = defaultdict(float)
+    bound, sharpness, start = 0.0, math.log(max(len(kinds), 2)) / STEP, None
+    while (low := covered.min()) < 2:
+        if start is None and low >= 1:  # prices have found their level: what was used until now is dropped
+            start = covered.copy()
+            used.clear()
+        value = kinds / capacity * np.exp(-sharpness * (covered - low))
+        pattern, worth = best_pattern(lengths, value.tolist(), most, capacity)
+        bound = max(bound, float((value * number).sum()) / worth)
+        times = STEP * min(most[i] / a for i, a in pattern.items())
+        for i, a in pattern.items():
+            covered[i] += a * times / most[i]
+        used[tuple(sorted(pattern.items(), reverse=True))] += times
+    low = (covered - start).min()
+    spare = ((covered - start) / low - 1) * number
+    out = []
+    for pattern, times in sorted(used.items(), key=lambda x: x[1]):
+        less = min(times / low, *(spare[i] / a for i, a in pattern))
+        for i, a in pattern:
+            spare[i] -= a * less
+        if times / low > less:
+            out.append((times / low - less, dict(pattern)))
+    return out, bound
+
+
+def _kinds(counts: np.ndarray) -> list[list[list[int]]]:
+    """The lengths that counts has, [length, how many] from short to long, in at most KINDS runs of about as many pieces."""
+    lengths = np.flatnonzero(counts)
+    if len(lengths) <= KINDS:
+        return [[[int(k), int(counts[k])]] for k in lengths]
+    middle = np.cumsum(counts[lengths]) - counts[lengths] / 2
+    run = (middle * KINDS / counts.sum()).astype(int)
+    return [[[int(k), int(counts[k])] for k in lengths[run == r]] for r in np.unique(run)]
+
+
+def patterned(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
+    """(number of sequences, their lengths with repeats) of all pieces over the SMALL-th part of a sequence, by the program."""
+    capacity = len(counts) - 1
+    planned = counts.astype(np.int64).copy()
+    planned[: capacity // SMALL + 1] = planned[capacity] = 0
+    groups: list[tuple[int, dict[int, int]]] = []
+
+    def take(times: int, pattern: dict[int, int]) -> None:
+        """As few groups as the runs of equal lengths allow, the longest pieces of each kind first."""
+        while times:
+            items: dict[int, int] = defaultdict(int)
+            for i, a in pattern.items():
+                for k, n in reversed(pools[i]):
+                    items[k] += (n := min(a, n))
+                    if not (a := a - n):
+                        break
+            same = min(times, *(n // items[k] for i in pattern for k, n in pools[i] if k in items))
+            for i in pattern:
+                for run in pools[i]:
+                    run[1] -= items.get(run[0], 0) * same
+                while pools[i] and not pools[i][-1][1]:
+                    pools[i].pop()
+            groups.append((same, dict(items)))
+            times -= same
+
+    while planned.any():
+        pools = _kinds(planned)
+        left = np.array([sum(n for _, n in p) for p in pools])
+        patterns, _ = fractional(np.array([p[-1][0] for p in pools]), left, capacity)
+        patterns.sort(key=lambda x: -x[0])
+        for least in (0, 1):  # rounded down, and then once each
+            for times, pattern in patterns:
+                times = min(max(int(times + 1e-9), least), *(int(left[i] // a) for i, a in pattern.items()))
+                if times > 0:
+                    take(times, pattern)
+                    for i, a in pattern.items():
+                        left[i] -= a * times
+        planned[:] = 0
+        for k, n in (run for p in pools for run in p):
+            planned[k] = n
+    return groups
+
+
+def _without_last(groups: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
+    """The groups without the smallest piece of each sequence, whose place best fit may fill better."""
+    return [(times, {k: a - (k == min(items)) for k, a in items.items() if a > (k == min(items))} if sum(items.values()) > 1 else items) for times, items in groups]
 
 
 def plan(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
     """(number of sequences, their lengths with repeats); together they hold each length as often as counts says."""
-    sequences = lambda groups: sum(times for times, _ in groups)
-    plain, bound = filled(counts, []), least(counts)
-    if sequences(plain) <= max(math.ceil(bound), bound * (1 + NEAR)):
-        return plain
-    return min(plain, filled(counts, fractional(np.where(np.arange(len(counts)) < len(counts) - 1, counts, 0))), key=sequences)
+    groups = patterned(counts)
+    return min((filled(counts, g) for g in (groups, _without_last(groups))), key=lambda p: sum(times for times, _ in p))
 
 
-def filled(counts: np.ndarray, used: list[tuple[float, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
-    """The patterns used, as whole sequences, and all else by best fit, longest first."""
+def filled(counts: np.ndarray, used: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:
+    """The sequences used, and all pieces that they do not hold by best fit, longest first."""
     capacity = len(counts) - 1
     left = counts.astype(np.int64).copy()
     groups: dict[int, list[tuple[int, dict[int, int]]]] = {}
@@ -111,12 +170,10 @@ def filled(counts: np.ndarray, used: list[tuple[float, dict[int, int]]]) -> list
 
     full = [(int(left[capacity]), {capacity: 1})] if left[capacity] else []
     left[capacity] = 0
-    for times, items in sorted(used, key=lambda x: sum(k * a for k, a in x[1].items()), reverse=True):
-        times = min(int(times * (1 + 1e-9) + 1e-9), *(int(left[k] // a) for k, a in items.items()))
-        if times > 0:
-            for k, a in items.items():
-                left[k] -= a * times
-            add(capacity - sum(k * a for k, a in items.items()), times, items)
+    for times, items in used:
+        for k, a in items.items():
+            left[k] -= a * times
+        add(capacity - sum(k * a for k, a in items.items()), times, items)
     for k in range(capacity - 1, 0, -1):
         while left[k] > 0:
             at = bisect.bisect_left(spaces, k)

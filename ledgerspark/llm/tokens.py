@@ -7,7 +7,9 @@ not met yet are encoded together.
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 
 import numpy as np
 
@@ -29,6 +31,8 @@ class WordCoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word of letters
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, added)), re.IGNORECASE) if added else None
         self.marks = {m: self._encoded([m]) for m in (b".", b",")}
         self.powers = Powers()
         self._forget(np.zeros(0, np.int64))
@@ -111,11 +115,15 @@ class WordCoder:
 
     def _spans(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         hashed, first, joined, starts, ends = located_words(texts, self.powers)
+        odd = np.unique(np.searchsorted(starts, [m.start() for m in self.special.finditer(joined)], "right") - 1) if self.special else np.zeros(0, int)
+        for i in odd.tolist():
+            hashed[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest())
         keys, some, back = np.unique(hashed, return_index=True, return_inverse=True)
         new = np.flatnonzero(~self._place(keys)[1])
         if len(new):
             at = some[new]
-            self._learn(keys[new], [joined[a:b].lower() for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+            words = [joined[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            self._learn(keys[new], [w if self.special and self.special.search(w) else w.lower() for w in words])
         at = self._place(keys)[0]
         self.met[at] = np.minimum(self.met[at], 1) + 1
         at = at[back]

@@ -92,6 +92,42 @@ def test_packing_plan(scale):
         assert sum(times for times, _ in plan) <= (most or 20000 * 1.01)
 
 
+def test_packing_program(spark):
+    """The program's patterns hold most sequences, and the plan needs hardly more than any has to."""
+    cut = packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), packing.word_bpe())
+    counts = np.zeros(packing.CAPACITY + 1, np.int64)
+    for r in cut.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    patterns = packing.patterned(counts)
+    total = sum(times for times, _ in packing.plan(counts))
+    size = int(counts @ np.arange(len(counts)))
+    assert sum(times for times, _ in patterns) > 0.5 * total and total <= math.ceil(1.002 * size / packing.CAPACITY)
+    large = np.where((np.arange(len(counts)) > packing.CAPACITY // packing.SMALL) & (np.arange(len(counts)) < packing.CAPACITY), counts, 0)
+    kinds = packing._kinds(large)
+    number = np.array([sum(n for _, n in k) for k in kinds])
+    used, bound = packing.fractional(np.array([k[-1][0] for k in kinds]), number, packing.CAPACITY)
+    value = sum(times for times, _ in used)
+    held = np.zeros(len(kinds))
+    for times, p in used:
+        for i, a in p.items():
+            held[i] += a * times
+    assert (held >= number * (1 - 1e-9)).all() and bound <= value <= 1.1 * bound
+    assert total <= math.ceil(max(value, size / packing.CAPACITY)) + len(used)
+
+
+def test_special_tokens():
+    """Words that hold a special token in any case get the tokenizer's own ids."""
+    from tokenizers import Tokenizer
+
+    from ledgerspark.llm.tokens import WordCoder, word_bpe
+
+    t, c = Tokenizer.from_file(word_bpe()), WordCoder(word_bpe())
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "x<|EndOfText|>. y", "<|startoftext|>Word. <|StartOfText|>word.", "<|endoftext|>", "<|endoftext|><|ENDOFTEXT|>,"]
+    for _ in range(2):
+        for got, text in zip(c.encode([x.encode() for x in texts]), texts):
+            assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_odd(spark):
     rows = packing.packed(odd(spark)).collect()
     assert Counter(r["doc_id"] for r in rows)[7] == 2 and {r["length"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
