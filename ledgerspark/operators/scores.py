@@ -55,9 +55,13 @@ def health(attempts: DataFrame, key: str, at: str, seq: str, ok: Column) -> Data
     )
 
 
-def due(at: Column, ok: Column, now: Column) -> Column:
-    """Failures are due again after 6 hours and successes after 7 days; without a clock always."""
-    return at.isNull() | F.when(ok, at <= now - F.expr("INTERVAL 7 DAYS")).otherwise(at <= now - F.expr("INTERVAL 6 HOURS"))
+def due(attempted: Column, outcome: Column, description: Column, kind: Column, verified: Column, now: Column) -> Column:
+    """Whether details are to be fetched: never within 6 hours of an attempt; else after a failure, without a full
+    description, and where the last success is missing, in the future or 7 days old."""
+    lately = F.coalesce((attempted <= now) & (attempted > now - F.expr("INTERVAL 6 HOURS")), F.lit(False))
+    bare = (F.coalesce(description, F.lit("")) == "") | F.coalesce(kind, F.lit("missing")).isin("missing", "snippet")
+    old = verified.isNull() | (verified > now) | (verified <= now - F.expr("INTERVAL 7 DAYS"))
+    return ~lately & (F.coalesce(outcome.isin("unknown", "failed"), F.lit(False)) | bare | old)
 
 
 def holdout(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -30,12 +30,31 @@ def segments(active: DataFrame, keys: list[str], month: str = "month", members:
     return marked.groupBy(*keys, "__s").agg(F.min(month).alias("first"), F.max(month).alias("last"), F.min(members).alias("members")).drop("__s")
 
 
-def running_total(rows: DataFrame, partition: str, order: list[Column], cost: Column) -> DataFrame:
-    """rows with spent, the cost up to and with each row in its partition's order."""
-    w = Window.partitionBy(partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("spent", F.sum(cost).over(w))
+def running_total(rows: DataFrame, partition: str, order: str, cost: Column, descending: bool = False, steps: int = 64) -> DataFrame:
+    """rows with spent, the cost up to and with each row in its partition's order; order is a number, unique in it.
+
+    A partition's rows are parted at `steps` quantiles of order; each part is summed, and a row's total is that of the
+    parts before and of the rows before it in its part, so that a partition with very many rows is many tasks.
+    """
+    place = -F.col(order) if descending else F.col(order)
+    at = rows.withColumn("__at", place.cast("double")).withColumn("__cost", cost)
+    cuts = at.groupBy(partition).agg(F.percentile_approx("__at", [i / steps for i in range(1, steps)], 1000).alias("__cuts"))
+    at = at.join(cuts.withColumnRenamed(partition, "__p"), F.col(partition).eqNullSafe(F.col("__p")))
+    at = at.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__at")))).drop("__cuts", "__p")
+    before = Window.partitionBy(partition).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = at.groupBy(partition, "__part").agg(F.sum("__cost").alias("s")).withColumn("__before", F.coalesce(F.sum("s").over(before), F.lit(0)))
+    parts = parts.select(F.col(partition).alias("__p"), F.col("__part").alias("__q"), "__before")
+    w = Window.partitionBy(partition, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    out = at.withColumn("__own", F.sum("__cost").over(w)).join(parts, F.col(partition).eqNullSafe(F.col("__p")) & (F.col("__part") == F.col("__q")))
+    return out.withColumn("spent", F.col("__before") + F.col("__own")).select(*rows.columns, "spent")
+
+
+def interleaved(rows: DataFrame, board: str, order: str) -> DataFrame:
+    """rows with turn: the n-th of each board comes before any board's n+1-th."""
+    return running_total(rows, board, order, F.lit(1).cast("long")).withColumnRenamed("spent", "turn")
 
 
-def interleaved(rows: DataFrame, board: str, order: list[Column]) -> DataFrame:
-    """rows with turn: the n-th of each board comes before any board's n+1-th."""
-    return rows.withColumn("turn", F.row_number().over(Window.partitionBy(board).orderBy(*order)))
+def batches(rows: DataFrame, partition: str, order: str, size: int = 500, descending: bool = True) -> DataFrame:
+    """rows with batch, numbered from 0: size rows each, in the partition's order."""
+    out = running_total(rows, partition, order, F.lit(1).cast("long"), descending)
+    return out.withColumn("batch", F.expr(f"(spent - 1) div {size}")).drop("spent")

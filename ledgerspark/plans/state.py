@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import ledger, scores
 from ledgerspark.plans.catalogue import query, table
 from ledgerspark.sources import csv, view
-
-
-def shared(spark: SparkSession) -> str:
-    """A new folder that all machines see; a local one where none is set."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerspark-")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+from ledgerspark.sources.scratch import folder
 
 
 @query("""
@@ -61,13 +53,17 @@ def checked_label_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
 SELECT user_id, arg_max(ts, event_id) AS last_at, arg_max(event_type <> 'error', event_id) AS last_ok, max(ts) FILTER (event_type <> 'error') AS last_success_at,
-  CASE WHEN last_ok THEN last_at <= n.now - INTERVAL 7 DAYS ELSE last_at <= n.now - INTERVAL 6 HOURS END AS due
+  NOT coalesce(last_at <= n.now AND last_at > n.now - INTERVAL 6 HOURS, false)
+    AND (coalesce(NOT last_ok, false) OR user_id % 5 = 0 OR last_success_at IS NULL OR last_success_at > n.now OR last_success_at <= n.now - INTERVAL 7 DAYS) AS due
 FROM events, (SELECT max(ts) AS now FROM events) n GROUP BY user_id, n.now
 """)
 def source_health_due(spark: SparkSession, d: str) -> DataFrame:
+    """What is due for another fetch; of every fifth only a snippet is stored."""
     e = table(spark, d, "events")
-    folded = scores.health(e, "user_id", "ts", "event_id", F.col("event_type") != "error")
-    return folded.crossJoin(e.agg(F.max("ts").alias("now"))).withColumn("due", scores.due(F.col("last_at"), F.col("last_ok"), F.col("now"))).drop("now")
+    folded = scores.health(e, "user_id", "ts", "event_id", F.col("event_type") != "error").crossJoin(e.agg(F.max("ts").alias("now")))
+    kind = F.when(F.col("user_id") % 5 == 0, "snippet").otherwise("full")
+    due = scores.due(F.col("last_at"), F.when(F.col("last_ok"), "ok").otherwise("failed"), F.lit("text"), kind, F.col("last_success_at"), F.col("now"))
+    return folded.withColumn("due", due).drop("now")
 
 
 @query("""
@@ -105,15 +101,16 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT coalesce((SELECT max(t) FROM (SELECT max(ts) AS t FROM events WHERE event_type = 'no such' UNION ALL SELECT max(o_orderdate) FROM orders WHERE o_orderkey < 0)),
-  (SELECT max(ts) FROM events)) AS updated_at, (SELECT count(DISTINCT event_type) FROM events) AS n_versions
+SELECT coalesce((SELECT max(t) FROM (SELECT max(ts) AS t FROM events WHERE event_type = 'signup' UNION ALL SELECT max(o_orderdate) FROM orders)), (SELECT max(ts) FROM events)) AS updated_at,
+  (SELECT max(ts) FROM events) AS without_records, string_agg(event_type, ',' ORDER BY event_type) AS versions FROM (SELECT DISTINCT event_type FROM events)
 """)
 def latest_with_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """The latest instant of two ledgers; where neither has one, that of a third."""
+    """The latest instant of two ledgers; where neither has one, that of a third; and the versions that wrote the third, in order."""
     e, o = table(spark, d, "events"), table(spark, d, "orders")
-    both = e.where("event_type = 'no such'").select("ts").union(o.where("o_orderkey < 0").select("o_orderdate")).agg(F.max("ts").alias("a"))
-    rest = e.agg(F.max("ts").alias("b"), F.countDistinct("event_type").alias("n_versions"))
-    return both.crossJoin(rest).select(F.coalesce("a", "b").alias("updated_at"), "n_versions")
+    both = e.where("event_type = 'signup'").select("ts").union(o.select("o_orderdate"))
+    rest = e.agg(F.max("ts").alias("b"), F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("versions"))
+    latest = both.agg(F.max("ts").alias("a")).crossJoin(both.where("ts is null").agg(F.max("ts").alias("none"))).crossJoin(rest)
+    return latest.select(F.coalesce("a", "b").alias("updated_at"), F.coalesce("none", "b").alias("without_records"), "versions")
 
 
 @query("""
@@ -164,7 +161,7 @@ def attempts_left_by_day(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT doc_id, quality, toxic FROM labels")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    table(spark, d, "labels").write.option("header", True).csv(path := shared(spark))
+    table(spark, d, "labels").write.option("header", True).csv(path := folder(spark))
     return csv.read(spark, path, {"doc_id": "bigint", "quality": "int", "toxic": "int"})
 
 
@@ -178,5 +175,5 @@ def published_view(spark: SparkSession, d: str) -> DataFrame:
         "postings": lambda t: view.same_keys(docs, t["postings"], "doc_id"),
         "coverage": lambda t: (t["coverage"].agg(F.sum("known")).first()[0] or 0) == t["postings"].count(),
     }
-    view.publish(spark, top := shared(spark), tables, checks)
+    view.publish(spark, top := folder(spark), tables, checks)
     return view.read(spark, top, "postings", {"doc_id": "bigint", "source": "string", "toxic": "int"})

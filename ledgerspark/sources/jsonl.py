@@ -20,6 +20,14 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select("file", (F.col("line") + 1).alias("line"), "r.*").drop("_bad")
 
 
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """read(), or no rows where there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return read(spark, path, schema)
+    return spark.createDataFrame([], f"file string, line int, {schema}")
+
+
 def append(rows: DataFrame, path: str, day: str, most_rows: int = 1_000_000) -> None:
     """Adds rows as JSON Lines, a folder for each value of `day`, in parts of at most most_rows."""
     rows.write.mode("append").partitionBy(day).option("maxRecordsPerFile", most_rows).json(path)
