@@ -236,7 +236,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = heads.join(first, F.col("doc_id") == F.col("d"), "left")
     named = stored(named.withColumn("node", F.when(F.col("f").isNull() | (F.col("f") == F.struct("k1", "k2", "n")), F.col("doc_id")).otherwise(beyond)).drop("d", "f"))
     of = stored(able.select("doc_id", "k1", "k2", "n").join(named.select("k1", "k2", "n", "node"), ["k1", "k2", "n"]).select("doc_id", "n", "node"))
-    same = stored(of.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc_id"))
+    same = of.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc_id")
+    same = stored(same.union(alone.where("doc_id is not null").select("doc_id")).distinct())
     same = stored(of.join(same, "doc_id").where("doc_id <> node").select("node", F.col("doc_id").alias("root")).distinct())
 
     keys = named.select(F.explode("bands").alias("key"), "node", "n")
@@ -258,12 +259,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         tiles = _tiles(parts, root, sets)
         likely = _tile_pairs(tiles).mapInArrow(_likely(best), "a long, na long, b long, nb long")
         checked, more = _linked(likely, sets, checked, root)
-        drop(tiles, root)
+        drop(tiles)
         root = more
     drop_since(docs.sparkSession, mark, alone, of, root)
 
-    out = of.join(root.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("doc_id", "n", F.coalesce("root", "node").alias("root"))
-    out = out.union(alone.select("doc_id", "n", "doc_id")).select("doc_id", F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+    every = of.union(alone.select("doc_id", "n", "doc_id"))
+    out = every.join(root.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -303,11 +305,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, checked: DataFrame | None, root:
     pairs = stored(pairs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
     both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
-    links = both.where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b")
+    links = stored(both.where(f"100 * i >= {PERCENT} * (na + nb - i)").select("a", "b"))
+    seen = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
+    if checked is not None and links.isEmpty():
+        return seen, root
     # what is linked already counts as one edge to its root
-    links = links.union(root.where("node <> root").select("node", "root"))
-    checked = pairs.select("a", "b") if checked is None else checked.union(pairs.select("a", "b"))
-    return checked, components(links)
+    return seen, components(links.union(root.where("node <> root").select("node", "root")))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
