@@ -2,9 +2,9 @@
 
 Unit vectors are turned to the principal axes of all vectors of their dimension (one combined aggregate of
 second moments), so that the leading dimensions hold most of a product. Two vectors with cosine >= c are at
-most sqrt(2 - 2 c) apart, hence also along the first two axes: a grid of that width over them puts a vector's
-partners in its own cell or a neighbouring one. Cells are dealt in tiles of about TILE vectors, and pairs of
-tiles are rows of their own. Within a pair of tiles products are accumulated over blocks of leading dimensions;
+most sqrt(2 - 2 c) apart, hence also along the first AXES axes: a grid of that width over them puts a vector's
+partners in its own cell or a neighbouring one. Cells are dealt in tiles of about TILE vectors; pairs of tiles are
+made of their names, and the vectors fetched by them, so that a cell that holds much is many tasks. Within a pair of tiles products are accumulated over blocks of leading dimensions;
 what is left of a product is at most the product of the two suffix norms, and a pair is dropped as soon as this
 bound keeps its cosine below the threshold. Pairs that remain are confirmed by the cosine of the vectors as given.
 
@@ -14,6 +14,7 @@ tiles join it to, so that no pairs are sent anywhere. Equal vectors are one vect
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stored, table
+from .common import components, drop_since, stored, summed, table, written
 
-THRESHOLD, TILE, BLOCK = 0.98, 512, 8
+THRESHOLD, TILE, BLOCK, AXES = 0.98, 512, 8, 3
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -40,16 +41,10 @@ def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _axes(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Principal axes by dimension, the longest first. Partial sums are joined pairwise on the executors: what
-    reaches the driver is one d x d matrix a dimension."""
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"d": g["d"][:1], "m": [np.sum([np.frombuffer(m) for m in g["m"]], axis=0).tobytes()]})
-
-    parts = vectors.select("d", "v").mapInPandas(_moments, "d int, m binary").withColumn("p", F.spark_partition_id() % 16)
-    parts = parts.groupBy("d", "p").applyInPandas(lambda g: add(g), "d int, m binary")
+    """Principal axes by dimension, the longest first. What reaches the driver is 16 d x d matrices a dimension at most."""
+    parts = vectors.select("d", "v").mapInPandas(_moments, "d int, m binary").withColumn("p", F.spark_partition_id())
     sums: dict[int, np.ndarray] = {}
-    for r in parts.collect():
+    for r in summed(parts, ["d"]).collect():
         sums[r["d"]] = sums.get(r["d"], 0) + np.frombuffer(r["m"])
     return {d: np.linalg.eigh(m.reshape(d, d))[1][:, ::-1].copy() for d, m in sums.items()}
 
@@ -58,12 +53,12 @@ def _turned(axes: dict[int, np.ndarray], width: float):
     def of_batch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Adds the turned unit vector's cell; the vector itself stays as given."""
         for b in batches:
-            cells = np.zeros((len(b), 2), np.int64)
+            cells = np.zeros((len(b), AXES), np.int64)
             for d, at in b.groupby("d").indices.items():
                 x = np.stack(b["v"].to_numpy()[at]).astype(float)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                cells[at, : min(2, d)] = np.floor(x @ axes[d][:, :2] / width)
-            yield b.assign(x=cells[:, 0], y=cells[:, 1])
+                cells[at, : min(AXES, d)] = np.floor(x @ axes[d][:, :AXES] / width)
+            yield b.assign(**{f"c{i}": cells[:, i] for i in range(AXES)})
 
     return of_batch
 
@@ -113,48 +108,64 @@ def _compared(axes: dict[int, np.ndarray], threshold: float):
                 hit = np.flatnonzero(links)
                 out.append(np.stack([ids[hit], links[hit], root[hit]], axis=1))
             out = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], ["vec_id", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in out.T], ["node", "links", "root"])
 
     return of_pairs
 
 
 def _tile(rows: pa.StructArray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     values = rows.field("v").flatten().to_numpy(zero_copy_only=False).astype(float)
-    return rows.field("vec_id").to_numpy(), rows.field("copies").to_numpy(), values.reshape(-1, d)
+    return rows.field("node").to_numpy(), rows.field("copies").to_numpy(), values.reshape(-1, d)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 
-    Compared are vectors of equal, non-null label and equal dimension. Null and zero vectors, empty ones and
-    those with null or non-finite components link with nothing. Rows that repeat a vec_id count as vectors of
-    their own that share its class; an empty table gives an empty result; other columns are ignored.
+    Compared are vectors of equal, non-null label and equal dimension. Null and zero vectors, empty ones, those
+    with null or non-finite components and rows without a vec_id link with nothing. n_links counts rows; rows that repeat
+    a vec_id are vectors of their own, with links of their own, that share a class. vec_ids are below 2^62. An empty
+    table gives an empty result; other columns are ignored.
     """
-    width = math.sqrt(2 - 2 * threshold)
+    mark, width = written(), math.sqrt(2 - 2 * threshold)
     v = F.col("embedding").cast("array<double>")
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("label").isNotNull()
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.when(fine, F.col("embedding")).alias("v"))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.when(fine, F.col("embedding")).alias("v"))
     good = rows.where("v is not null").withColumn("k", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256))
-    heads = stored(good.groupBy("label", "k").agg(F.min("vec_id").alias("head"), F.count("*").alias("copies"), F.any_value("v").alias("v")).select(F.col("label").cast("string").alias("label"), "k", "head", "copies", "v", F.size("v").alias("d")))
-    axes = _axes(heads)
-    cells = stored(heads.select(F.col("head").alias("vec_id"), "label", "copies", "v", "d").mapInPandas(_turned(axes, width), "vec_id long, label string, copies long, v array<double>, d int, x long, y long"))
-    counts = stored(cells.groupBy("label", "d", "x", "y").agg(F.ceil(F.count("*") / TILE).alias("tiles")))
-    tiled = cells.join(counts, ["label", "d", "x", "y"]).withColumn("tile", F.pmod(F.xxhash64("vec_id"), "tiles"))
-    tiles = stored(tiled.groupBy("label", "d", "x", "y", "tile").agg(F.collect_list(F.struct("vec_id", "copies", "v")).alias("rows")))
-    # each pair of neighbouring cells once: from the cell to itself and to four of its eight neighbours
-    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))
-    left = tiles.select("label", "d", F.explode(steps).alias("s"), "x", "y", "tile", "rows").select("label", "d", (F.col("x") + F.col("s.a")).alias("x"), (F.col("y") + F.col("s.b")).alias("y"), ((F.col("s.a") == 0) & (F.col("s.b") == 0)).alias("own"), F.col("tile").alias("tile1"), F.col("rows").alias("rows1"))
-    pairs = left.join(tiles, ["label", "d", "x", "y"]).where("not own or tile1 <= tile").select("d", (F.col("own") & (F.col("tile1") == F.col("tile"))).alias("same"), "rows1", "rows")
-    found = stored(pairs.mapInArrow(_compared(axes, threshold), "vec_id long, links long, root long"))
-    links = stored(found.groupBy("vec_id").agg(F.sum("links").alias("links")))
-    root = stored(components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b"))))
-
-    member = good.select("vec_id", F.col("label").cast("string").alias("label"), "k").join(heads.select("label", "k", "head", "copies"), ["label", "k"])
-    member = stored(member.select("vec_id", "head", "copies"))
-    member = member.join(links.withColumnRenamed("vec_id", "head"), "head", "left").join(root, F.col("head") == F.col("node"), "left")
-    done = member.select("vec_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "head").alias("component_id"))
+    heads = stored(good.groupBy("label", "k").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.any_value("v").alias("v")).withColumn("d", F.size("v")))
+    # a vector's node is the smallest vec_id that has it; where one is so for several vectors, the others get numbers beyond vec_ids
+    first = heads.groupBy("vec_id").agg(F.min(F.struct("label", "k")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    first = stored(first.select(F.col("vec_id").alias("i"), "f"))
+    beyond = F.shiftrightunsigned(F.xxhash64("label", "k"), 2).bitwiseOR(F.lit(1 << 62))
+    node = F.when(F.col("f").isNull() | (F.col("f") == F.struct("label", "k")), F.col("vec_id")).otherwise(beyond)
+    nodes = stored(heads.join(first, F.col("vec_id") == F.col("i"), "left").select(node.alias("node"), "label", "k", "copies", "v", "d"))
+    member = stored(good.select("vec_id", "label", "k").join(nodes.select("label", "k", "node", "copies"), ["label", "k"]).select("vec_id", "node", "copies"))
+    same = member.groupBy("vec_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("vec_id")
+    same = member.join(stored(same), "vec_id").select(F.col("vec_id").alias("a"), F.col("node").alias("b")).distinct()
+
+    axes = _axes(nodes)
+    at = [f"c{i}" for i in range(AXES)]
+    cells = stored(nodes.select("node", "label", "copies", "v", "d").mapInPandas(_turned(axes, width), f"node long, label string, copies long, v array<double>, d int, {', '.join(f'{c} long' for c in at)}"))
+    counts = stored(cells.groupBy("label", "d", *at).agg(F.ceil(F.count("*") / TILE).alias("tiles")))
+    tiled = cells.join(counts, ["label", "d", *at]).withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    name = ["label", "d", *at, "tile"]
+    tiles = stored(tiled.groupBy(*name).agg(F.collect_list(F.struct("node", "copies", "v")).alias("rows")))
+    # each pair of neighbouring cells once: from the cell to itself and to half of its neighbours
+    half = [s for s in itertools.product((-1, 0, 1), repeat=AXES) if s >= (0,) * AXES]
+    steps = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(at, s))) for s in half))
+    left = tiles.select(*name).withColumn("s", F.explode(steps))
+    own = F.col("s") == F.struct(*(F.lit(0).alias(c) for c in at))
+    left = left.select("label", "d", *((F.col(c) + F.col("s")[c]).alias(c) for c in at), own.alias("own"), *(F.col(c).alias(f"{c}_") for c in at), F.col("tile").alias("tile_"))
+    pairs = stored(left.join(tiles.select(*name), ["label", "d", *at]).where("not own or tile_ <= tile").withColumn("same", F.col("own") & (F.col("tile") == F.col("tile_"))).drop("own"))
+    there = tiles.select("label", "d", *(F.col(c).alias(f"{c}_") for c in (*at, "tile")), F.col("rows").alias("rows_"))
+    fetched = pairs.join(there, ["label", "d", *(f"{c}_" for c in (*at, "tile"))]).join(tiles, name)
+    found = stored(fetched.select("d", "same", "rows_", "rows").mapInArrow(_compared(axes, threshold), "node long, links long, root long"))
+    links = stored(found.groupBy("node").agg(F.sum("links").alias("links")))
+    root = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(same))
+    of = stored(member.join(links, "node", "left").select("vec_id", "node", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")))
+    drop_since(vectors.sparkSession, mark, of, root)
+    done = of.join(root.withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left").select("vec_id", "n_links", F.coalesce("root", "node").alias("component_id"))
     done = done.union(rows.where("v is null").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return done.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return done.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
