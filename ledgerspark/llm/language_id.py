@@ -12,11 +12,12 @@ import math
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, small, stored, table
 
 TEXTS, DICT_BYTES, BLOCK = 150, 96 << 10, 2048
 
@@ -27,15 +28,42 @@ def letters(text: str) -> bytes:
 
 def dictionaries(labelled: DataFrame, texts: int = TEXTS, size: int = DICT_BYTES) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from rows (doc_id, text, lang) of which the first `texts` of each
-    language by hash of doc_id and text are gathered: a bounded sample."""
-    some = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    some = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= texts)
-    found: dict[str, bytes] = {}
-    for r in sorted(some.collect(), key=lambda r: (r["lang"], r["r"])):
-        have = found.get(r["lang"], b"")
-        if len(have) < size:
-            found[r["lang"]] = have + letters(r["text"]) + b"\n"
-    return {k: v[:size] for k, v in found.items() if len(v) >= 8}
+    language by hash of doc_id and text are taken: a bounded sample. Languages whose letters fill fewer than 8 bytes
+    have none and are not learned.
+
+    Hashes alone say which texts these are, from a share of each language's rows that holds them, and executors put a
+    language's texts together; what reaches the driver is `size` bytes a language.
+    """
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    hashes = stored(rows.select("lang", "h"))
+    number = stored(hashes.groupBy("lang").agg(F.count("*").alias("n")))
+    width, chosen = 4, None
+    while chosen is None:
+        # the hashes' places from 0 to 1; a language's rows below width * texts / n are some width * texts
+        near = hashes.join(small(number), "lang").where((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= width * texts)
+        ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts)
+        some = stored(ranked.select("lang", "h", "r", "n"))
+        short = some.groupBy("lang", "n").agg(F.count("*").alias("m")).where(F.col("m") < F.least("n", F.lit(texts)))
+        if number.count() == some.select("lang").distinct().count() and short.isEmpty():
+            chosen = some
+        else:
+            drop(some)
+            width *= 4
+
+    def joined(g: pd.DataFrame) -> pd.DataFrame:
+        found = b""
+        for t in g.sort_values(["r", "t"])["t"]:
+            if len(found) >= size:
+                break
+            found += letters(t) + b"\n"
+        return pd.DataFrame({"lang": g["lang"][:1], "d": [found[:size]]})
+
+    named = chosen.select(F.col("lang").alias("l"), F.col("h").alias("k"), "r")
+    # of a text, more than `size` letters never fit
+    texts_ = rows.join(small(named), (F.col("lang") == F.col("l")) & (F.col("h") == F.col("k"))).select("lang", "r", F.substr("text", F.lit(1), F.lit(4 * size)).alias("t")).dropDuplicates(["lang", "r"])
+    found = {r["lang"]: bytes(r["d"]) for r in texts_.groupBy("lang").applyInPandas(lambda g: joined(g), "lang string, d binary").collect()}
+    drop(hashes, number, chosen)
+    return {k: v for k, v in sorted(found.items()) if len(v) >= 8}
 
 
 def _guess(found: dict[str, bytes], margin: float):
@@ -89,6 +117,6 @@ def languages(docs: DataFrame, labelled: DataFrame, margin: float = 0.01) -> Dat
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each of the documents, learned from those outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))  # without a doc_id: not held out
     out = languages(docs, docs.where(~held))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
