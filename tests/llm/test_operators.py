@@ -179,6 +179,30 @@ def test_minhash_dedup_odd(spark):
     assert minhash_dedup.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_minhash_dedup_repeated_ids(spark):
+    """Rows that repeat a doc_id are one document with the links of all its texts; without a doc_id there are no links."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (0, "c " * 9), (None, a), (None, None), (5, None), (5, b), (2, a + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("node", F.lit(1)).withColumn("key", F.lit("k"))
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_dedup.near_duplicates(df).collect())
+    assert got == Counter({(1, 1, True): 2, (2, 1, False): 2, (3, 1, False): 1, (0, 0, True): 1, (None, None, True): 2, (5, 1, False): 2})
+
+
+def test_minhash_dedup_family(spark):
+    """A family of 3,000 near copies and as many exact ones: one class each, nothing of others in it."""
+    r = np.random.default_rng(4)
+    base = [f"w{x}" for x in r.integers(0, 10_000, 120)]
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        w[int(r.integers(0, 120))] = f"n{i}"  # 111 of 121 shingles shared
+        rows.append((i, " ".join(w)))
+    rows += [(10_000 + i, "exactly the same words in each of these") for i in range(3000)]
+    rows += [(20_000 + i, " ".join(f"o{x}" for x in r.integers(0, 10_000, 60))) for i in range(300)]
+    got = Counter(x["component_id"] for x in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[0] == 3000 and got[10_000] == 3000 and len(got) == 302
+
+
 def test_minhash_dedup_tiles(spark, monkeypatch):
     """A family of several tiles, most of which have outside members: an outside member of a higher tile is linked with a main one of a lower tile."""
     monkeypatch.setattr(minhash_dedup, "TILE", 4)
@@ -227,6 +251,32 @@ def test_embedding_dedup_odd(spark):
     assert embedding_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_dedup_repeated_ids(spark):
+    """Links are counted by row, and rows that repeat a vec_id share a class; without a vec_id there are no links."""
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.001], 1), (2, [1.0, 0.002], 1), (3, [0.0, 1.0], 1), (1, [0.0, 1.0], 1), (None, [1.0, 0.0], 1), (4, [0.0, 1.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("tile", F.lit(1)).withColumn("x", F.lit("x")).withColumn("node", F.lit(5))
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_vectors(df).collect()), key=str)
+    assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (1, 1, 1, True), (None, 0, None, True), (4, 0, 4, True)], key=str)
+
+
+def test_embedding_dedup_hot_label(spark, monkeypatch):
+    """A third of all rows in one label, around few points, in many tiles."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(6, 20))
+    rows, x, label = [], [], []
+    for i in range(900):
+        label.append(0 if i % 3 == 0 else int(r.integers(1, 40)))
+        v = centres[int(r.integers(0, 6))] + r.normal(size=20) * r.uniform(0, 0.3) if label[-1] == 0 else r.normal(size=20)
+        x.append(v.astype(np.float32).astype(float))
+        rows.append((i, x[-1].tolist(), label[-1]))
+    u = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    links = [(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.98)) if i < j and label[i] == label[j]]
+    want, n = same_classes(links, range(900)), Counter(i for p in links for i in p)
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {g["vec_id"]: (g["n_links"], g["component_id"]) for g in got} == {i: (n[i], want[i]) for i in range(900)} and len(links) > 1000
+
+
 def base_secrets(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 6]
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -251,6 +301,83 @@ def test_randomness():
     assert np.median(random) < 1.5 and secret_scan.randomness("a1" * 20)[1] > 5
 
 
+def test_randomness_split_by_marks():
+    assert secret_scan.encoded("0f8fad5b-d9cb-469f-a165-70867728950e")[0] == "hex" and secret_scan.randomness("0f8fad5b-d9cb-469f-a165-70867728950e")[1] < 2
+    assert secret_scan.encoded("ABC2-DEF3_GHI4")[0] == "base32" and secret_scan.encoded("aB3-dE_5")[0] == "base64url"
+
+
+def battery_plainly(codes, k):
+    """The battery, step by step, with exact tails."""
+    n = len(codes)
+    chi2 = sum((codes.count(c) - n / k) ** 2 for c in range(k)) * k / n
+    z = ((chi2 / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    p = [max(0.5 * math.erfc(z / math.sqrt(2)), 1e-15)]
+    high = [c >= k / 2 for c in codes]
+    n1 = sum(high)
+    if 0 < n1 < n:
+        runs, mean = 1 + sum(a != b for a, b in zip(high, high[1:])), 1 + 2 * n1 * (n - n1) / n
+        var = (mean - 1) * (mean - 2) / (n - 1)
+        p.append(max(math.erfc(abs(runs - mean) / math.sqrt(var) / math.sqrt(2)), 1e-15) if var > 0 else 1e-15)
+    else:
+        p.append(max(2.0 ** (1 - n), 1e-15))
+    m = sum(codes) / n
+    s2 = sum((c - m) ** 2 for c in codes)
+    r = sum((a - m) * (b - m) for a, b in zip(codes, codes[1:])) / s2 if s2 else 0
+    p.append(max(math.erfc(abs(r + 1 / (n - 1)) * math.sqrt(n) / math.sqrt(2)), 1e-15) if s2 else 1e-15)
+    f = -sum(map(math.log, p))
+    return -math.log10(math.exp(-f) * (1 + f + f * f / 2))
+
+
+def test_battery():
+    r = np.random.default_rng(6)
+    for k, n in ((16, 32), (36, 20), (62, 40), (64, 128)):
+        codes = np.vstack([r.integers(0, k, (20, n)), np.sort(r.integers(0, k, (5, n)), axis=1), np.zeros((1, n), int), np.full((1, n), k - 1)])
+        assert np.allclose(secret_scan.battery(codes, k), [battery_plainly(c.tolist(), k) for c in codes], rtol=1e-3, atol=1e-4)
+
+
+def test_random_spans(spark, documents):
+    """Random strings among ordinary text are found and masked, structured strings of the same characters are not; and the
+    limits follow from the histograms of all texts by the procedure, done plainly."""
+    import base64
+
+    r = np.random.default_rng(7)
+    rows, planted = [], {}
+    for i, x in enumerate(sorted(documents.values(), key=lambda x: x["doc_id"])[:120]):
+        t = x["text"] or ""
+        if i % 6 == 0:
+            key = base64.b64encode(r.bytes(48)).decode()
+            if any(c.isdigit() for c in key):
+                planted[i] = (len(t) + 1, len(t) + 1 + len(key))
+                t = f"{t} {key} end"
+        elif i % 6 == 1:
+            t = f"{t} usr/share/doc/part1/part2/part3/part4/of/the/same/kind/of/thing/part5 end"
+        rows.append((i, t))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: {(a, b) for a, k, b in x["spans"] if k == 3} for x in secret_scan.secret_spans(df).collect()}
+    assert sum(s in got[i] for i, s in planted.items()) >= 0.9 * len(planted)
+    assert not any(got[i] for i in range(120) if i % 6 == 1)
+    made, found = secret_scan._prior().tolist(), [[0] * secret_scan.BINS for _ in secret_scan.STRATA]
+    for _, t in rows:
+        letters = re.sub("[^A-Za-z]", "", t)
+        for s, n in enumerate(secret_scan.STRATA):
+            for b in range(0, len(letters) - n + 1, n):
+                made[s][min(int(secret_scan.randomness(letters[b : b + n])[1] / secret_scan.BIN), secret_scan.BINS - 1)] += 1
+        for _, _, s, p in secret_scan.candidates(t, secret_scan.base_spans(t)):
+            found[s][p] += 1
+    want = {}
+    for s in range(len(secret_scan.STRATA)):
+        for p in range(secret_scan.BINS):
+            if sum(found[s]) and (sum(made[s][: p + 1]) + 1) / (sum(made[s]) + 1) * sum(found[s]) <= 0.05 * sum(found[s][: p + 1]):
+                want[s] = p
+    limits = secret_scan.limits(df, 0.05)
+    assert limits.keys() == want.keys() and all(abs(limits[s] - want[s]) <= 1 for s in want)
+    hidden = {x["doc_id"]: x["text"] for x in secret_scan.redacted(df).collect()}
+    texts = dict(rows)
+    assert all(hidden[i].endswith("[secret] end") and texts[i][a:b] not in hidden[i] for i, (a, b) in planted.items() if (a, b) in got[i])
+    odd_ = [(r["doc_id"], r["n_assign"], r["n_hex"], len(r["spans"])) for r in secret_scan.secret_spans(odd(spark)).collect()]
+    assert len(odd_) == 11 and (9, 1, 1, 3) in odd_ and (1, 0, 0, 0) in odd_ and secret_scan.secret_spans(odd(spark).limit(0)).count() == 0
+
+
 def test_redaction(spark):
     got = {r["doc_id"]: r for r in secret_scan.redacted(odd(spark)).collect()}
     assert got[9]["text"] == "[secret] [secret] [secret]" and got[9]["n_chars"] == 26 and got[None]["text"] == "no id here" and got[1]["text"] is None and got[4]["text"] == "one two"
@@ -376,6 +503,37 @@ def test_training_order(spark, documents):
     assert training_order.materialise(odd(spark).limit(0), training_order.scratch(spark)) == 0
 
 
+def test_training_order_anywhere(spark):
+    """However the rows are dealt to tasks, slots, shards and ids are the same; ids are the tokenizer's, slots the permutation's."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text")
+    got = []
+    for parts in (1, 7):
+        total = training_order.materialise(docs.repartition(parts), path := training_order.scratch(spark))
+        got.append(sorted(map(tuple, training_order.read(spark, path).collect())))
+    assert got[0] == got[1] and [r[0] for r in got[0]] == list(range(total))
+    t = Tokenizer.from_file(packing.word_bpe())
+    want, number = {}, 0
+    for r in sorted(docs.collect()):
+        ids = [*t.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+        for p in range(0, len(ids), training_order.LENGTH):
+            part = ids[p : p + training_order.LENGTH]
+            want[number] = (r["doc_id"], p // training_order.LENGTH, len(part), np.array(part, "<u2").tobytes())
+            number += 1
+    slot = training_order.permuted(np.arange(total), total, 20)
+    assert number == total and {int(slot[k]): v for k, v in want.items()} == {r[0]: (*r[2:5], bytes(r[5])) for r in got[0]}
+    # by file and row, read in other splits
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    order = []
+    for size in ("128m", "64k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        training_order.materialise(docs, path := training_order.scratch(spark), place=("f", "i"))
+        order.append(sorted((r["slot"], r["doc_id"], r["piece"]) for r in training_order.read(spark, path).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert order[0] == order[1] and len(order[0]) == total
+
+
 def test_language_id(spark):
     d = "/root/testdata/sf0.01"
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
@@ -412,6 +570,36 @@ def test_quality_rules(spark):
     assert len(rows) == len(docs) and sum(r["kept"] for r in rows) > 0.5 * len(rows)
 
 
+def test_minimum_determinant(spark):
+    """A fifth of the rows of a group lies elsewhere: the estimate is that of the others, and its core has as small a
+    determinant as the best of many random starts finds."""
+    r = np.random.default_rng(8)
+    a = r.normal(size=(6, 6))
+    x = np.vstack([r.normal(size=(480, 6)) @ a, r.normal(size=(120, 6)) * 0.5 + 25])
+    f = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame([("g", *map(float, row)) for row in x], f"__g string, {', '.join(c + ' double' for c in f)}")
+    p = quality_rules.minimum_determinant(df, f, [0.01] * 6, 0.75).first()
+    low = np.array([[p[f"__l_{i}_{j}"] if j <= i else 0.0 for j in range(6)] for i in range(6)])
+    clean = np.cov(x[:480].T, bias=True)
+    assert np.allclose([p[f"__m_{i}"] for i in range(6)], x[:480].mean(axis=0), atol=0.6 * np.sqrt(np.diag(clean)).max() / 2)
+    assert np.allclose(low @ low.T, clean, atol=0.35 * np.abs(clean).max())
+    best = math.inf
+    for _ in range(100):
+        h = r.choice(600, 8, replace=False)
+        for _ in range(15):
+            c = np.cov(x[h].T, bias=True) + 1e-9 * np.eye(6)
+            d = x - x[h].mean(axis=0)
+            h = np.argsort((d @ np.linalg.inv(c) * d).sum(axis=1))[:450]
+        best = min(best, np.linalg.slogdet(np.cov(x[h].T, bias=True))[1])
+    d = x - np.array([p[f"__m_{i}"] for i in range(6)])
+    h = np.argsort((d @ np.linalg.inv(low @ low.T) * d).sum(axis=1))[:450]
+    assert np.linalg.slogdet(np.cov(x[h].T, bias=True))[1] < best + 0.1
+    share = 0.975
+    normal = (r.normal(size=(200_000, 6)) ** 2).sum(axis=1)
+    near = normal <= quality_rules.chi2_quantile(share, 6)
+    assert abs(near.mean() - share) < 2e-3 and abs(quality_rules.consistency(share, 6) - 6 / normal[near].mean()) < 0.02
+
+
 def test_quality_rules_odd(spark):
     q = quality_rules.quality_rules(odd(spark))
     got = {r["doc_id"]: r["quality"] for r in q.collect()}
@@ -438,3 +626,26 @@ def test_pipeline(spark):
     assert ids[3] == ids[2] and not any(base_secrets(r["text"]) for r in seen[3].collect())
     assert set(ids[4]) <= set(ids[3]) and max(ids[4].values()) <= 2
     assert set(ids[5]) == set(ids[4]) and seen[5].where("piece = 0").count() == sum(ids[4].values())
+
+
+def test_pipeline_odd(spark):
+    """Every stage runs through odd rows and through an empty table, with all columns but in the last."""
+    import corpus_pipeline
+
+    for docs in (odd(spark), odd(spark).limit(0)):
+        rows = docs
+        for _, stage in corpus_pipeline.STAGES:
+            columns = rows.columns
+            rows = corpus_pipeline.stored(stage(spark, rows, D))
+            assert rows.columns == columns or "sequence_id" in rows.columns
+        assert (rows.count() > 0) == (docs.count() > 0)
+
+
+def test_pipeline_keeps_one_of_repeated_ids(spark):
+    import corpus_pipeline
+
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, t), (1, t), (1, t + " more"), (2, t), (None, t), (None, t), (3, " ".join(f"v{i}" for i in range(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df, D).collect())
+    assert got == Counter({(1, t): 1, (None, t): 2, (3, rows[-1][1]): 1})
