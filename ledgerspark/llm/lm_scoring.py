@@ -5,10 +5,11 @@ predicted once, in the second half of its window, from all ids of the window bef
 attention and a hidden layer. What is predicted is the id's class (of CLASSES, by k-means over the neighbours that
 an id has), and within a class an id has its own share, so that a probability is two small factors.
 
-The word memory is the unigram counts of all training documents; a word's probability is the mean, at weight
-MEMORY, of its share among all training words and the model's product over its subwords, added in logarithms, as the
-product of a long word is less than any double. score adds up log10 of these over the words and the end. The counts
-of the MOST_KNOWN most frequent words go to every task, and the others are joined.
+A word's probability mixes three: at weight MEMORY its share among all training words; at weight CACHE its share among
+the words of the text before it (of the first word this goes to the memory); and else the model's product over its
+subwords. They are added in logarithms, as the product of a long word is less than any double. score adds up log10 of
+these over the words and the end. The counts of the MOST_KNOWN most frequent words go to every task, and the others are
+joined.
 
 All training documents are counted and learned from: they are dealt by hash, a copy of the model descends on each
 CHUNK of ids, about, and the copies are averaged by ids, ROUNDS times.
@@ -26,15 +27,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop, drop_since, stored, summed, table, written
 from .minhash_dedup import Powers, chunks, hashed_words
 from .tokens import coder, word_bpe
 
-DIM, HIDDEN, HALF, CLASSES = 16, 32, 32, 192
+DIM, HIDDEN, HALF, CLASSES = 16, 32, 16, 192
 TOP, OTHER, NEAR = 4096, 1024, 128
 END_ID, END_HASH = 49407, 1
-DOCS_A_TASK, ROUNDS, BATCH = 640, 2, 64
-MEMORY, MOST_KNOWN = 0.6, 1 << 20
+DOCS_A_TASK, ROUNDS, BATCH = 640, 1, 64
+MEMORY, CACHE, MOST_KNOWN = 0.55, 0.15, 1 << 20
 RATE = 0.01
 
 
@@ -70,48 +71,57 @@ def fresh(seed: int = 0) -> dict[str, np.ndarray]:
 
 
 def forward(p: dict, rows: np.ndarray, empty: np.ndarray) -> dict:
-    """rows, empty: (windows, 2 * HALF), the embedding's row for each id's predecessor and whether there is none."""
-    times = lambda a, b: (a.reshape(-1, a.shape[-1]) @ b).reshape(*a.shape[:-1], -1)
+    """rows, empty: (windows, 2 * HALF), the embedding's row for each id's predecessor and whether there is none. logits: a row a place."""
+    b, flat = len(rows), lambda a: a.reshape(-1, a.shape[-1])
     x = p["E"][rows]
     xq = np.ascontiguousarray(x[:, HALF:])
-    q, k, v = times(xq, p["q"]), times(x, p["k"]), times(x, p["v"])
+    q, k, v = (flat(xq) @ p["q"]).reshape(b, HALF, DIM), (flat(x) @ p["k"]).reshape(b, 2 * HALF, DIM), (flat(x) @ p["v"]).reshape(b, 2 * HALF, DIM)
     s = q @ k.transpose(0, 2, 1)
-    s *= np.float32(1 / math.sqrt(DIM))
+    s *= s.dtype.type(1 / math.sqrt(DIM))
     s += p["near"] + mask()
-    s += (empty * np.float32(-1e9))[:, None, :]
+    some = np.flatnonzero(empty.any(axis=1))
+    s[some] += (empty[some] * np.float32(-1e9))[:, None, :]
     s -= s.max(axis=2, keepdims=True)
     a = np.exp(s, out=s)
     a /= a.sum(axis=2, keepdims=True)
     o = a @ v
-    z = np.maximum(times(xq, p["x"]) + times(o, p["o"]) + p["h"], 0)
-    logits = times(z, p["u"])
+    z = flat(xq) @ p["x"]
+    z += flat(o) @ p["o"]
+    z += p["h"]
+    np.maximum(z, 0, out=z)
+    logits = z @ p["u"]
     logits += p["c"]
-    logits -= logits.max(axis=2, keepdims=True)
+    logits -= logits.max(axis=1, keepdims=True)
     return {"x": x, "xq": xq, "q": q, "k": k, "v": v, "a": a, "o": o, "z": z, "logits": logits}
 
 
 def gradients(p: dict, f: dict, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross entropy over the places where counts is 1."""
-    e = np.exp(f["logits"])
-    d = e / e.sum(axis=2, keepdims=True)
-    np.put_along_axis(d, classes[..., None], np.take_along_axis(d, classes[..., None], 2) - 1, 2)
-    d *= (counts / max(counts.sum(), 1))[..., None].astype(np.float32)
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    times = lambda a, b: flat(a).T @ flat(b)
-    g = {"u": times(f["z"], d), "c": flat(d).sum(axis=0)}
-    dz = (d @ p["u"].T) * (f["z"] > 0)
-    g |= {"x": times(f["xq"], dz), "o": times(f["o"], dz), "h": flat(dz).sum(axis=0)}
-    do = dz @ p["o"].T
-    da = do @ f["v"].transpose(0, 2, 1)
-    ds = f["a"] * (da - (da * f["a"]).sum(axis=2, keepdims=True))
+    """Of the mean cross entropy over the places where counts is 1. Uses f's arrays up."""
+    b, flat = len(rows), lambda a: a.reshape(-1, a.shape[-1])
+    d = np.exp(f["logits"], out=f["logits"])
+    weight = counts.ravel() / max(counts.sum(), 1)
+    d *= (weight / d.sum(axis=1)).astype(d.dtype)[:, None]
+    d[np.arange(len(d)), classes.ravel()] -= weight.astype(d.dtype)
+    z, o, xq, x = f["z"], flat(f["o"]), flat(f["xq"]), flat(f["x"])
+    g = {"u": z.T @ d, "c": d.sum(axis=0)}
+    dz = d @ p["u"].T
+    dz *= z > 0
+    g |= {"x": xq.T @ dz, "o": o.T @ dz, "h": dz.sum(axis=0)}
+    do = (dz @ p["o"].T).reshape(b, HALF, DIM)
+    ds = do @ f["v"].transpose(0, 2, 1)
+    ds -= np.einsum("bij,bij->bi", ds, f["a"])[..., None]
+    ds *= f["a"]
     g["near"] = ds.sum(axis=0)
-    ds *= np.float32(1 / math.sqrt(DIM))
-    dq, dk, dv = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"], f["a"].transpose(0, 2, 1) @ do
-    g |= {"q": times(f["xq"], dq), "k": times(f["x"], dk), "v": times(f["x"], dv)}
-    dx = dk @ p["k"].T + dv @ p["v"].T
-    dx[:, HALF:] += dq @ p["q"].T + dz @ p["x"].T
+    ds *= ds.dtype.type(1 / math.sqrt(DIM))
+    dq, dk, dv = flat(ds @ f["k"]), flat(ds.transpose(0, 2, 1) @ f["q"]), flat(f["a"].transpose(0, 2, 1) @ do)
+    g |= {"q": xq.T @ dq, "k": x.T @ dk, "v": x.T @ dv}
+    dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(b, 2 * HALF, DIM)
+    dx[:, HALF:] += (dq @ p["q"].T + dz @ p["x"].T).reshape(b, HALF, DIM)
+    order = np.argsort(rows.ravel(), kind="stable")
+    r = rows.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     g["E"] = np.zeros_like(p["E"])
-    np.add.at(g["E"], rows, dx)
+    g["E"][r[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
     return g
 
 
@@ -140,14 +150,8 @@ def subwords(texts: list[bytes], tokenizer: str) -> tuple[np.ndarray, np.ndarray
 
 
 def _averaged(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of rows of `size` doubles as bytes, first by part, then by 4, so that few reach a task or the driver."""
-
-    def add(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"p": g["p"][:1] % 4, "m": [np.sum([np.frombuffer(m, np.float64) for m in g["m"]], axis=0).tobytes()]})
-
-    for _ in range(2):
-        parts = parts.groupBy("p").applyInPandas(lambda g: add(g), "p int, m binary")
-    rows = parts.collect()
+    """The sum of rows m of `size` doubles as bytes, level by level, so that few reach a task or the driver."""
+    rows = summed(parts, []).collect()
     return np.sum([np.frombuffer(r["m"], np.float64) for r in rows], axis=0) if rows else np.zeros(size)
 
 
@@ -155,7 +159,6 @@ def train(docs: DataFrame, tokenizer: str) -> dict:
     """The model, from the texts of docs (doc_id, text)."""
     spark, vocabulary = docs.sparkSession, coder(tokenizer).tokenizer.get_vocab_size()
     tasks = max(1, docs.count() // DOCS_A_TASK)
-    parts = math.isqrt(tasks)
     kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +177,7 @@ def train(docs: DataFrame, tokenizer: str) -> dict:
                 new = of_ids(ids, np.cumsum([len(x) // kind.itemsize for x in some])).astype(np.float64)
                 m = new if m is None else m + new
             if m is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["p", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["p", "m"])
 
         return dealt.mapInArrow(of, "p int, m binary")
 
@@ -212,6 +215,7 @@ def train(docs: DataFrame, tokenizer: str) -> dict:
             new[k] = flat[at : at + params[k].size].reshape(params[k].shape).astype(np.float32)
             at += params[k].size
         params = new
+    drop(dealt)
     return {"params": params, "rank": rank, "classes": classes, "within": np.log(within)}
 
 
@@ -252,7 +256,7 @@ def log_probabilities(model: dict, ids: np.ndarray, ends: np.ndarray, step: int
     target[at] = model["classes"][ids]
     out = []
     for a in range(0, len(rows), step):
-        logits = forward(model["params"], rows[a : a + step], empty[a : a + step])["logits"].reshape(-1, CLASSES)
+        logits = forward(model["params"], rows[a : a + step], empty[a : a + step])["logits"]
         out.append(logits[np.arange(len(logits)), target[a * HALF : a * HALF + len(logits)]] - np.log(np.exp(logits, out=logits).sum(axis=1)))
     return np.concatenate(out)[at].astype(float) + model["within"][ids] if out else np.zeros(0)
 
@@ -279,6 +283,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(counted, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def earlier(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word how often it comes, and how many words there are, before it among those of its owner."""
+    order = np.lexsort((np.arange(len(h)), h, owner))
+    new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]) if len(h) else np.zeros(0, bool)
+    at = np.arange(len(h))
+    same = np.empty(len(h), np.int64)
+    same[order] = at - np.maximum.accumulate(np.where(new, at, 0))
+    return same, at - np.searchsorted(owner, owner)
+
+
 def scored(docs: DataFrame, training: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """docs' doc_id with n_tokens, n_known, train_tokens, base_score and score, learned from training (both doc_id, text).
 
@@ -286,6 +300,7 @@ def scored(docs: DataFrame, training: DataFrame, tokenizer: str | None = None) -
     no training rows every count is 0 and the model is the untrained one; an empty table gives an empty result;
     other columns are ignored.
     """
+    mark = written()
     spark, tokenizer = docs.sparkSession, tokenizer or word_bpe()
     counts = stored(word_counts(training))
     n, v = (x or 0 for x in counts.agg(F.sum("c"), F.count("*")).first())
@@ -307,14 +322,16 @@ def scored(docs: DataFrame, training: DataFrame, tokenizer: str | None = None) -
             h = np.insert(hashed, first[1:], np.uint64(END_HASH)).view(np.int64)
             at = np.minimum(np.searchsorted(words, h), max(len(words) - 1, 0))
             c = np.where(words[at] == h, uses[at], 0) if len(words) else np.zeros(len(h), np.int64)
-            spelt = math.log(1 - MEMORY) + unit
+            same, before = earlier(h, owner)
+            memory = np.where(before > 0, MEMORY, MEMORY + CACHE)
             with np.errstate(divide="ignore"):
-                share = np.log(MEMORY * c / max(least, 1))
-            total = np.bincount(owner, np.where(c > 0, np.logaddexp(share, spelt) / math.log(10), 0.0), len(texts))
+                other = np.logaddexp(math.log(1 - MEMORY - CACHE) + unit, np.log(CACHE * same / np.maximum(before, 1)))
+                share = np.log(memory * c / max(n, 1))
+            total = np.bincount(owner, np.where(c > 0, np.logaddexp(share, other) / math.log(10), 0.0), len(texts))
             base = np.bincount(owner, np.where(c > 0, np.log10((c + 0.5) / least), 0.0), len(texts))
             rare = np.flatnonzero(c == 0)
             offsets = np.searchsorted(owner[rare], np.arange(len(texts) + 1)).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(spelt[rare])], ["h", "spelt"])
+            pairs = pa.StructArray.from_arrays([pa.array(h[rare]), pa.array(other[rare]), pa.array(memory[rare])], ["h", "other", "memory"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row + np.arange(len(texts))), pa.array(ids, pa.int64()), pa.array(np.diff(first) + 1), pa.array(np.bincount(owner, c > 0, len(texts)).astype(np.int64)), pa.array(base), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pairs)],
                 ["row", "doc_id", "n_tokens", "n_known", "base", "score", "rare"],
@@ -322,19 +339,20 @@ def scored(docs: DataFrame, training: DataFrame, tokenizer: str | None = None) -
             row += len(texts)
 
     seen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    seen = stored(seen.mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,spelt:double>>"))
-    rare = seen.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.spelt").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    share = F.log(F.col("c") * F.lit(MEMORY / max(least, 1)))
-    both = F.greatest(share, "spelt") + F.log1p(F.exp(-F.abs(share - F.col("spelt"))))
+    seen = stored(seen.mapInArrow(score, "row long, doc_id long, n_tokens long, n_known long, base double, score double, rare array<struct<h:long,other:double,memory:double>>"))
+    rare = seen.select("row", F.explode("rare").alias("x")).select("row", "x.h", "x.other", "x.memory").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    share = F.log(F.col("c") * F.col("memory") / F.lit(float(max(n, 1))))
+    both = F.greatest(share, "other") + F.log1p(F.exp(-F.abs(share - F.col("other"))))
     more = F.sum(F.log10((F.col("c") + 0.5) / F.lit(float(least)))).alias("more")
-    rest = rare.groupBy("row").agg(more, F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(F.when(F.col("c") > 0, both).otherwise(F.col("spelt")) / math.log(10)).alias("spelt"))
+    rest = stored(rare.groupBy("row").agg(more, F.sum((F.col("c") > 0).cast("long")).alias("known"), F.sum(F.when(F.col("c") > 0, both).otherwise(F.col("other")) / math.log(10)).alias("rest")))
+    drop_since(spark, mark, seen, rest)
     out = seen.drop("rare").join(rest, "row", "left")
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("spelt", F.lit(0.0))).alias("score"))
+    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"))
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of each of the documents, learned from those outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))  # without a doc_id: not held out
     out = scored(docs, docs.where(~held))
     return out.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -450,6 +450,67 @@ def test_lm_scoring_whole_words(spark, monkeypatch):
         assert all(math.isclose(r[k], want[i][k], rel_tol=1e-9) for k in ("n_known", "base_score", "score"))
 
 
+def test_lm_scores_plainly(spark, monkeypatch):
+    """Scores against a recomputation one id at a time: each id once, from the ids of its window before it."""
+    M = lm_scoring
+    t = M.coder(M.word_bpe()).tokenizer
+    size, r = t.get_vocab_size(), np.random.default_rng(9)
+    params = {k: v + r.normal(0, 0.1, v.shape).astype(np.float32) for k, v in M.fresh(1).items()}
+    within = np.log(r.uniform(0.01, 0.2, size))
+    model = {"params": params, "rank": r.permutation(size), "classes": r.integers(0, M.CLASSES, size), "within": within}
+    monkeypatch.setattr(M, "train", lambda docs, tokenizer: model)
+    training = ["the cat and the dog sat", "a dog and a bird", "", None, "The bird"]
+    long = " ".join(r.choice(["the", "dog", "zebra", "Cat", "bird", "unheard-of"], 60))
+    docs = [(1, long), (2, None), (3, " "), (4, "the"), (5, "zzz zzz zzz dog"), (6, "w" * 500), (6, "w" * 500), (None, "a dog")]
+    c = Counter(w for x in training for w in [*(x or "").lower().split(), None])
+    n = sum(c.values())
+    p = {k: v.astype(float) for k, v in params.items()}
+
+    def one(ids, i):
+        rows = [M.START if j == 0 else int(M.rows_of(np.array([ids[j - 1]]), model["rank"])[0]) for j in range(i + 1)]
+        first = max(0, (i // M.HALF - 1) * M.HALF)
+        offset = M.HALF if i < M.HALF else 0
+        x = p["E"][rows]
+        q = x[i] @ p["q"]
+        s = np.array([q @ (x[j] @ p["k"]) / math.sqrt(M.DIM) + p["near"][i % M.HALF, j - first + offset] for j in range(first, i + 1)])
+        a = np.exp(s - s.max())
+        o = sum(w * (x[j] @ p["v"]) for w, j in zip(a / a.sum(), range(first, i + 1)))
+        z = np.maximum(x[i] @ p["x"] + o @ p["o"] + p["h"], 0) @ p["u"] + p["c"]
+        return z[model["classes"][ids[i]]] - math.log(np.exp(z).sum()) + within[ids[i]]
+
+    def plainly(text):
+        words = (text or "").lower().split()
+        parts = [*(t.encode(w, add_special_tokens=False).ids for w in words), [M.END_ID]]
+        ids, total, k = [x for y in parts for x in y], 0.0, 0
+        for i, (w, part) in enumerate(zip([*words, None], parts)):
+            spelt = sum(one(ids, k + j) for j in range(len(part)))
+            k += len(part)
+            mixed = [math.log(1 - M.MEMORY - M.CACHE) + spelt]
+            if c[w]:
+                mixed.append(math.log((M.MEMORY if i else M.MEMORY + M.CACHE) * c[w] / n))
+            if i and words[:i].count(w):
+                mixed.append(math.log(M.CACHE * words[:i].count(w) / i))
+            total += np.logaddexp.reduce(mixed) / math.log(10)
+        return total
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(training)], "doc_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("row", F.lit("r"))
+    for known in (1 << 20, 3):
+        monkeypatch.setattr(M, "MOST_KNOWN", known)
+        got = sorted((x["doc_id"] or 0, x["score"]) for x in M.scored(df, rows).collect())
+        want = sorted((i or 0, plainly(x)) for i, x in docs)
+        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], rtol=2e-4)
+
+
+def test_lm_scoring_odd(spark):
+    """Null, empty, blank, very long and repeated texts, rows without a doc_id, clashing columns, and empty tables."""
+    rows = lm_scoring.scored(odd(spark), odd(spark)).collect()
+    assert len(rows) == 11 and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1} and all(r["score"] < 0 for r in rows)
+    assert len({round(r["score"], 4) for r in rows if r["doc_id"] == 7}) == 1 and sum(r["doc_id"] is None for r in rows) == 1
+    assert lm_scoring.scored(odd(spark).limit(0), odd(spark)).count() == 0
+    assert {r["n_known"] for r in lm_scoring.scored(odd(spark), odd(spark).limit(0)).collect()} == {0}
+
+
 def test_lm_training_uses_all(spark, monkeypatch):
     """Counts and every round of descent see each id of the training texts, however many texts there are."""
     r = np.random.default_rng(0)
@@ -473,18 +534,18 @@ def test_attention_gradients():
 
     def loss(q):
         z = lm_scoring.forward(q, rows, empty)["logits"]
-        return float((np.log(np.exp(z).sum(axis=2)) - np.take_along_axis(z, target[..., None], 2)[..., 0]).mean())
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), target.ravel()]).mean())
 
     g = lm_scoring.gradients(p, lm_scoring.forward(p, rows, empty), rows, target, counts)
-    for k, at in (("q", (1, 2)), ("v", (3, 1)), ("o", (0, 5)), ("u", (4, 7)), ("near", (2, 30))):
+    for k, at in (("q", (1, 2)), ("v", (3, 1)), ("o", (0, 5)), ("u", (4, 7)), ("near", (2, 5)), ("E", (int(rows[0, 3]), 1))):
         q = {n: a.copy() for n, a in p.items()}
         q[k][at] += 1e-4
         up = loss(q)
         q[k][at] -= 2e-4
         assert abs((up - loss(q)) / 2e-4 - g[k][at]) < 1e-4
-    was = lm_scoring.forward(p, rows, empty)["logits"]
+    was = lm_scoring.forward(p, rows, empty)["logits"].reshape(2, lm_scoring.HALF, -1)
     rows[:, -1] += 1
-    assert np.allclose(lm_scoring.forward(p, rows, empty)["logits"][:, :-1], was[:, :-1])
+    assert np.allclose(lm_scoring.forward(p, rows, empty)["logits"].reshape(was.shape)[:, :-1], was[:, :-1])
 
 
 def test_training_order(spark, documents):
