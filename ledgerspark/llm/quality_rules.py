@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, drop, drop_since, let, small, stored, table, words, written
+from .common import GAP, SPACES, drop, drop_since, let, small, stored, table, words, written
 
 #: name: (expression over the statistics, least standard deviation that a group is taken to have: a feature that hardly
 #: varies in a group, such as symbols where there are none, would else reject the first document that has one)
@@ -75,12 +75,12 @@ def statistics(docs: DataFrame, carry: list[str]) -> DataFrame:
     """carry, and a struct __q of statistics of the whole text (null: none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    without = lambda chars: F.length(F.translate(text, chars, ""))
+    count = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]+", "")).cast("long")
     of_text = {
-        "word_chars": without(SPACES).cast("long"),
-        "n_symbols": (F.length(text) - without("#*$%&|<>")).cast("long"),
-        "n_marks": (F.length(text) - without("!?;:")).cast("long"),
-        "n_capitals": F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long"),
+        "word_chars": F.length(F.regexp_replace(text, GAP, "")).cast("long"),
+        "n_symbols": count("#*$%&|<>"),
+        "n_marks": count("!?;:"),
+        "n_capitals": count(r"\p{Lu}"),
     }
     of_words = {
         "n_words": F.size("__w").cast("long"),
