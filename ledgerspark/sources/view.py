@@ -37,3 +37,10 @@ def read(spark: SparkSession, top: str, name: str, columns: dict[str, str] | Non
     if columns is not None and dict(df.dtypes) != columns:
         raise ValueError(f"{name} has other columns: {df.dtypes}")
     return df
+
+
+def stale(spark: SparkSession, top: str, ledger: str) -> bool:
+    """Whether a file of the ledger below that path is newer than the current version."""
+    at = spark.read.parquet(f"{top}/current").agg(F.max("at")).first()[0]
+    newest = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(ledger).agg(F.max("modificationTime")).first()[0]
+    return newest is not None and newest > at

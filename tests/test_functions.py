@@ -9,8 +9,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ledgerspark.functions import text, time, unicode
-from ledgerspark.operators import duplicates, eligibility, entries, ledger, scores, temporal
+from ledgerspark.functions import questions, text, time, unicode
+from ledgerspark.operators import batchscore, duplicates, eligibility, entries, ledger, observations, scores, temporal
 from ledgerspark.plans import rules
 from ledgerspark.sources import jsonl, scratch
 from ledgerspark.streaming import lifecycle as stream
@@ -253,3 +253,43 @@ def test_no_shared_folder_raises():
 
     with pytest.raises(ValueError, match="not set"):
         scratch.folder(Unset)
+
+
+def test_questions(spark):
+    kinds = lambda cases: values(spark, lambda c: questions.reserved(c, F.lit("text")), cases)
+    assert kinds(["Password*", "Do you consent?", "Veteran status", "Visa support for your colleague", "Will you need visa support", "Able to work without sponsorship", "Work permit?", "Name"]) == [
+        "sign_in", "consent", "eeo", None, "sponsorship", "authorization_sponsorship", "authorization", None,
+    ]
+    key = lambda c: questions.question_key(c, F.lit("Acme Labs"))
+    assert values(spark, key, ["Why Acme Labs?", "Why ACME & us", "Acmes", "Name (required)"]) == ["why {company}", "why {company} and us", "acmes", "name"]
+
+
+def test_phrases(spark):
+    has = lambda p: lambda c: questions.has_phrase(c, p)
+    assert values(spark, has("c"), ["C, C++", "C++ and C#", "abc", "c"]) == [True, False, False, True]
+    assert values(spark, has("machine learning"), ["Machine\n learning!", "machine-learning"]) == [True, False]
+    got = spark.createDataFrame([(["a", "b", "a", "b"],), (["a"],), ([],)], "w array<string>").select(questions.variants(F.col("w")).alias("v")).collect()
+    assert [r["v"] for r in got] == [["a b a b", "a b a", "b a b", "a b", "b a"], [], []]
+    assert values(spark, questions.number, ["Seven", "12", "many", None]) == [7, 12, None, None]
+    assert values(spark, questions.contact_link, ["a@b.co ", "mailto:a@b.co", "https://x.org:8/a?b", "ftp://x", "x"]) == ["mailto:a@b.co", "mailto:a@b.co", "https://x.org:8/a?b", None, None]
+    rung = lambda c: questions.rung(c, [("entry", r"\bjunior\b"), ("mid", r"\bengineer\b"), ("senior", r"\b(senior|staff)\b")], (1, 1))
+    assert values(spark, rung, ["Senior Engineer", "Junior Senior", "Staff", "Cook"]) == [1, 0, 2, None]
+
+
+def test_batch_scores(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "bb")], "k int, s string")
+    assert sorted(tuple(r) for r in batchscore.scored(rows, "k", "s", lambda s: s.str.len() / 10).collect()) == [(1, 0.1), (2, 0.2)]
+    for bad, model in ((rows, lambda s: s.str.len() * 1.0), (rows.union(rows), lambda s: s.str.len() / 10)):
+        with pytest.raises(PySparkException, match="no single probability"):
+            batchscore.scored(bad, "k", "s", model).collect()
+    given = batchscore.anonymous(rows, "k").withColumn("y", F.lit(1))
+    assert batchscore.exported(given, "y", "s", [F.lit("zz")], "@").count() == 2
+    with pytest.raises(PySparkException, match="contact details"):
+        batchscore.exported(given, "y", "s", [F.lit("bb")], "@").collect()
+
+
+def test_observations(spark):
+    known = spark.createDataFrame([(1, "t", "full text", "full", {"a": "1"}, 1, "open", 1, None), (2, "t", None, None, None, 1, "open", 1, None)], "k int, title string, description string, kind string, facts map<string,string>, first_seen int, listing string, last_verified int, last_attempt int")
+    seen = spark.createDataFrame([(1, "", "bit", "snippet", {}, None), (3, "n", "x", None, {"b": "2"}, "closed")], "k int, title string, description string, kind string, facts map<string,string>, listing string")
+    got = {r["k"]: tuple(r)[1:] for r in observations.merged(known, seen, "k", F.lit(9)).collect()}
+    assert got[1] == ("t", "full text", "full", {"a": "1"}, 1, "unknown", 1, 9) and got[3] == ("n", "x", "full", {"b": "2"}, 9, "closed", 9, None) and got[2] == ("t", None, "missing", None, 1, "open", 1, None)

@@ -35,3 +35,18 @@ def test_a_failed_check_leaves_the_version_before(spark, tmp_path):
     assert view.read(spark, top, "t", {"id": "bigint"}).count() == 2
     with pytest.raises(ValueError, match="other columns"):
         view.read(spark, top, "t", {"id": "string"})
+
+
+def test_a_ledger_newer_than_the_view(spark, tmp_path):
+    import os
+    import time
+
+    top, ledger = f"file://{tmp_path}/view", tmp_path / "ledger"
+    ledger.mkdir()
+    (ledger / "a.jsonl").write_text("{}")
+    os.utime(ledger / "a.jsonl", (time.time() - 60,) * 2)
+    view.publish(spark, top, {"t": spark.range(2)}, {})
+    assert not view.stale(spark, top, f"file://{ledger}")
+    (ledger / "b.jsonl").write_text("{}")
+    os.utime(ledger / "b.jsonl", (time.time() + 60,) * 2)
+    assert view.stale(spark, top, f"file://{ledger}")
