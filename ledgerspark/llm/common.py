@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.sources.scratch import folder as scratch
+
 #: Rows up to which a narrow table is broadcast (some 40 bytes a row), and the words of 64 bits of a bitmap.
 MOST_BROADCAST, BITMAP = 1 << 20, 1 << 18
 
@@ -22,13 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared folder of spark.checkpoint.dir, which has to be set: a local folder would lose rows on a cluster."""
-    if not (top := spark.conf.get("spark.checkpoint.dir", None)):
-        raise ValueError("spark.checkpoint.dir is not set; name a folder there that the driver and all executors share")
-    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 #: Folders of stored() that are still there, in order.
 _folders: list[str] = []
 
