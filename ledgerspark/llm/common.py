@@ -64,10 +64,10 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
 
 
-def summed(parts: DataFrame, keys: list[str], fans: tuple[int, ...] = (4096, 256, 16)) -> DataFrame:
-    """Of parts (keys, p, m: doubles as bytes; p is a number of the task), the sums of m by keys and p % the last fan.
+def summed(parts: DataFrame, keys: list[str], fan: int = 16) -> DataFrame:
+    """Of parts (keys, p, m: doubles as bytes; p: the number of a task), the sums of m by keys and a p below fan.
 
-    Sums go level by level, so that no task adds more than some 16 of them up, and few reach the driver.
+    Sums go level by level, so that no task adds more than some fan of them up, and few reach the driver.
     """
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in keys)
 
@@ -77,8 +77,11 @@ def summed(parts: DataFrame, keys: list[str], fans: tuple[int, ...] = (4096, 256
             total += np.frombuffer(m)
         return g[[*keys, "p"]].iloc[:1].assign(m=[total.tobytes()])
 
-    for fan in fans:
-        parts = parts.withColumn("p", (F.col("p") % fan).cast("int")).groupBy(*keys, "p").applyInPandas(lambda g: add(g), f"{kinds}{', ' if keys else ''}p int, m binary")
+    parts = stored(parts)
+    most = (parts.agg(F.max("p")).first()[0] or 0) + 1
+    while most > fan:
+        most = -(-most // fan)
+        parts = parts.withColumn("p", (F.col("p") % most).cast("int")).groupBy(*keys, "p").applyInPandas(lambda g: add(g), f"{kinds}{', ' if keys else ''}p int, m binary")
     return parts
 
 

@@ -34,7 +34,7 @@ from .tokens import coder, word_bpe
 DIM, HIDDEN, HALF, CLASSES = 16, 32, 16, 192
 TOP, OTHER, NEAR = 4096, 1024, 128
 END_ID, END_HASH = 49407, 1
-DOCS_A_TASK, ROUNDS, BATCH = 640, 1, 64
+DOCS_A_TASK, ROUNDS, BATCH = 640, 1, 32
 MEMORY, CACHE, MOST_KNOWN = 0.55, 0.15, 1 << 20
 RATE = 0.01
 
@@ -96,7 +96,7 @@ def forward(p: dict, rows: np.ndarray, empty: np.ndarray) -> dict:
 
 
 def gradients(p: dict, f: dict, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean cross entropy over the places where counts is 1. Uses f's arrays up."""
+    """Of the mean cross entropy over the places where counts is 1; of E for `rows` only. Uses f's arrays up."""
     b, flat = len(rows), lambda a: a.reshape(-1, a.shape[-1])
     d = np.exp(f["logits"], out=f["logits"])
     weight = counts.ravel() / max(counts.sum(), 1)
@@ -120,9 +120,7 @@ def gradients(p: dict, f: dict, rows: np.ndarray, classes: np.ndarray, counts: n
     order = np.argsort(rows.ravel(), kind="stable")
     r = rows.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    g["E"] = np.zeros_like(p["E"])
-    g["E"][r[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
-    return g
+    return g | {"E": np.add.reduceat(flat(dx)[order], first, axis=0), "rows": r[first]}
 
 
 def windows(ids: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -186,18 +184,26 @@ def train(docs: DataFrame, tokenizer: str) -> dict:
     rank = np.empty(vocabulary, np.int64)
     rank[order] = np.arange(vocabulary)
 
-    def near(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        r = rank[ids]
-        top, m = r < TOP, np.zeros((TOP, 2 * NEAR))
-        inside = np.ones(max(len(ids) - 1, 0), bool)
-        inside[ends[:-1] - 1] = False  # a text's end and the next text are no neighbours
-        for side, (here, there) in enumerate(((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None)))):
-            t = top[here] & inside
-            np.add.at(m, (r[here][t], side * NEAR + np.minimum(r[there][t], NEAR - 1)), 1)
-        return m.ravel()
-
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How often each of the TOP ids has each of the NEAR ones before and behind it, in the task's texts."""
+        m = np.zeros(TOP * 2 * NEAR, np.int64)
+        for _, some in chunks(batches):
+            ids = np.frombuffer(b"".join(some), kind).astype(np.int64)
+            ends = np.cumsum([len(x) // kind.itemsize for x in some])
+            r = rank[ids]
+            inside = np.ones(max(len(ids) - 1, 0), bool)
+            inside[ends[:-1] - 1] = False  # a text's end and the next text are no neighbours
+            for side, (here, there) in enumerate(((slice(1, None), slice(None, -1)), (slice(None, -1), slice(1, None)))):
+                t = (r[here] < TOP) & inside
+                m += np.bincount(r[here][t] * (2 * NEAR) + side * NEAR + np.minimum(r[there][t], NEAR - 1), minlength=len(m))
+        cell = np.flatnonzero(m)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(m[cell])], ["cell", "n"])
+
+    cells = dealt.mapInArrow(near, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # TOP * 2 * NEAR rows at most
+    neighbours = np.zeros(TOP * 2 * NEAR)
+    neighbours[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     classes = np.full(vocabulary, CLASSES - 1)
-    classes[order[:TOP]] = _clusters(_averaged(per_task(near), TOP * 2 * NEAR).reshape(TOP, 2 * NEAR), CLASSES - 1)
+    classes[order[:TOP]] = _clusters(neighbours.reshape(TOP, 2 * NEAR), CLASSES - 1)
     within = (uses + 0.5) / np.bincount(classes, uses + 0.5, CLASSES)[classes]
     params = fresh()
     names = list(params)
@@ -243,9 +249,12 @@ def _descended(p: dict, ids: np.ndarray, ends: np.ndarray, rank: np.ndarray, cla
         g = gradients(p, forward(p, rows[b], empty[b]), rows[b], target[b], counts[b])
         rate = RATE * (1 - 0.8 * a / len(order)) * math.sqrt(1 - 0.98 ** (t + 1)) / (1 - 0.9 ** (t + 1))
         for k in p:
-            m[k] += 0.1 * (g[k] - m[k])
-            v[k] += 0.02 * (g[k] * g[k] - v[k])
-            p[k] -= np.float32(rate) * m[k] / (np.sqrt(v[k]) + np.float32(1e-6))
+            at = g["rows"] if k == "E" else slice(None)  # embeddings that a step does not meet keep their means
+            mk, vk = m[k][at], v[k][at]
+            mk += 0.1 * (g[k] - mk)
+            vk += 0.02 * (g[k] * g[k] - vk)
+            m[k][at], v[k][at] = mk, vk
+            p[k][at] -= np.float32(rate) * mk / (np.sqrt(vk) + np.float32(1e-6))
     return p
 
 
