@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerspark.functions import questions, text, time, unicode
+from ledgerspark.functions import questions, reader, text, time, unicode
 from ledgerspark.operators import batchscore, ledger, observations
 from ledgerspark.plans.catalogue import query, table
 
@@ -197,3 +199,23 @@ SELECT p_partkey, CASE WHEN p_size < 10 THEN 'hourly' ELSE NULL END AS raw, CASE
 def pay_periods(spark: SparkSession, d: str) -> DataFrame:
     raw = F.when(F.col("p_size") < 10, "hourly")
     return table(spark, d, "part").select("p_partkey", raw.alias("raw"), time.period(raw).alias("period"), time.padded(F.col("p_size") * 64 - 3).cast("long").alias("padded"))
+
+
+def _reader_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''").replace("\x01", "' || chr(1) || '") + "'"
+    spaced = lambda p: p.replace("\\x01", "\x01").replace("\\s", "[ \\t\\n\\r\\f\\v]")
+    marked = reduce(lambda x, step: f"regexp_replace({x}, {quoted(spaced(step[0]))}, {quoted(step[1])}, 'g')", reader.STEPS, "chr(1) || 'p' || html")
+    decoded = reduce(lambda x, e: f"replace({x}, '{e[0]}', {quoted(e[1])})", text.ENTITIES, "substr(b, 2)")
+    bullet = quoted(spaced(reader.BULLET))
+    return f"""
+WITH s AS (SELECT page_id, list_filter(list_transform(string_split({marked}, chr(1)), lambda b: {{'k': substr(b, 1, 1), 't': trim(regexp_replace({decoded}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))}}), lambda x: x.t <> '') AS l FROM pages),
+r AS (SELECT page_id, unnest(range(len(l)))::INT AS place, unnest(l) AS b FROM s)
+SELECT page_id, place, CASE WHEN b.k = 'i' OR (b.k = 'p' AND regexp_matches(b.t, {bullet})) THEN 'item' WHEN b.k = 'h' OR (b.k = 'p' AND b.t LIKE '%:' AND length(b.t) <= 60) THEN 'heading' ELSE 'paragraph' END AS kind,
+  CASE WHEN b.k = 'p' AND regexp_matches(b.t, {bullet}) THEN regexp_replace(b.t, {bullet}, '') WHEN b.k = 'h' OR (b.k = 'p' AND b.t LIKE '%:' AND length(b.t) <= 60) THEN rtrim(regexp_replace(b.t, ':$', '')) ELSE b.t END AS text FROM r
+"""
+
+
+@query(_reader_sql())
+def reader_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as headings, paragraphs and list items, in order."""
+    return table(spark, d, "pages").select("page_id", F.posexplode(reader.blocks(F.col("html"))).alias("place", "b")).select("page_id", "place", "b.kind", "b.text")

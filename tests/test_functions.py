@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from ledgerspark.functions import questions, text, time, unicode
+from ledgerspark.functions import questions, reader, text, time, unicode
 from ledgerspark.operators import batchscore, duplicates, eligibility, entries, ledger, observations, scores, temporal
 from ledgerspark.plans import rules
 from ledgerspark.sources import jsonl, scratch
@@ -293,3 +293,11 @@ def test_observations(spark):
     seen = spark.createDataFrame([(1, "", "bit", "snippet", {}, None), (3, "n", "x", None, {"b": "2"}, "closed")], "k int, title string, description string, kind string, facts map<string,string>, listing string")
     got = {r["k"]: tuple(r)[1:] for r in observations.merged(known, seen, "k", F.lit(9)).collect()}
     assert got[1] == ("t", "full text", "full", {"a": "1"}, 1, "unknown", 1, 9) and got[3] == ("n", "x", "full", {"b": "2"}, 9, "closed", 9, None) and got[2] == ("t", None, "missing", None, 1, "open", 1, None)
+
+
+def test_reader_blocks(spark):
+    cases = ["<h2>What you do:</h2><p>One <b>two</b><br>- three</p><ul><li><p>four</p></li><li>fi<i>ve</i></ul>Skills:<script>x<p></script><!-- <p> -->six &amp; seven", "", "plain"]
+    got = values(spark, reader.blocks, cases)
+    assert [[tuple(b) for b in x] for x in got] == [
+        [("heading", "What you do"), ("paragraph", "One two"), ("item", "three"), ("item", "four"), ("item", "five"), ("paragraph", "Skills: six & seven")], [], [("paragraph", "plain")],
+    ]
