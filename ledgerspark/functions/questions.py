@@ -52,7 +52,7 @@ def has_phrase(text: Column, phrase: str) -> Column:
 
 def matcher(text: Column, terms: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> Column:
     """Whether text holds any of the terms as whole words, or matches any of the patterns, whatever the case."""
-    every = [rf"\b{re.escape(t)}\b" for t in terms] + [f"(?:{p})" for p in patterns]
+    every = [rf"(?<![\p{{L}}\p{{N}}_]){re.escape(t)}(?![\p{{L}}\p{{N}}_])" for t in terms] + [f"(?:{p})" for p in patterns]
     return text.rlike("(?i)" + "|".join(every)) if every else F.lit(False)
 
 

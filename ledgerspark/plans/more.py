@@ -29,7 +29,7 @@ def sensitive_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9+#])a[ \t\n\r\f\v]+the($|[^A-Za-z0-9+#])') AS phrase, regexp_matches(text, '(?i)\bde\b|\bla\b|(?:[0-9]{4})') AS matched FROM documents
+SELECT doc_id, regexp_matches(text, '(?i)(^|[^A-Za-z0-9+#])a[ \t\n\r\f\v]+the($|[^A-Za-z0-9+#])') AS phrase, regexp_matches(text, '(?i)(^|[^\p{L}\p{N}_])(de|la)($|[^\p{L}\p{N}_])|[0-9]{4}') AS matched FROM documents
 """)
 def term_matches(spark: SparkSession, d: str) -> DataFrame:
     """A phrase with its own idea of a word's ends, and terms and patterns that a profile gives."""
