@@ -34,17 +34,18 @@ def running_total(rows: DataFrame, partition: str, order: str, cost: Column, des
     """rows with spent, the cost up to and with each row in its partition's order; order is a number, unique in it.
 
     A partition's rows are parted at `steps` quantiles of order; each part is summed, and a row's total is that of the
-    parts before and of the rows before it in its part, so that a partition with very many rows is many tasks.
+    parts before and of the rows before it in its part, so that a partition with very many rows is many tasks. Only the
+    cuts are doubles: numbers that one double stands for are in one part, and in it rows go by the number itself.
     """
-    place = -F.col(order) if descending else F.col(order)
-    at = rows.withColumn("__at", place.cast("double")).withColumn("__cost", cost)
+    own = F.col(order).desc() if descending else F.col(order).asc()
+    at = rows.withColumn("__at", F.col(order).cast("double") * (-1 if descending else 1)).withColumn("__cost", cost)
     cuts = at.groupBy(partition).agg(F.percentile_approx("__at", [i / steps for i in range(1, steps)], 1000).alias("__cuts"))
     at = at.join(cuts.withColumnRenamed(partition, "__p"), F.col(partition).eqNullSafe(F.col("__p")))
     at = at.withColumn("__part", F.size(F.filter("__cuts", lambda c: c < F.col("__at")))).drop("__cuts", "__p")
     before = Window.partitionBy(partition).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     parts = at.groupBy(partition, "__part").agg(F.sum("__cost").alias("s")).withColumn("__before", F.coalesce(F.sum("s").over(before), F.lit(0)))
     parts = parts.select(F.col(partition).alias("__p"), F.col("__part").alias("__q"), "__before")
-    w = Window.partitionBy(partition, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(partition, "__part").orderBy(own).rowsBetween(Window.unboundedPreceding, 0)
     out = at.withColumn("__own", F.sum("__cost").over(w)).join(parts, F.col(partition).eqNullSafe(F.col("__p")) & (F.col("__part") == F.col("__q")))
     return out.withColumn("spent", F.col("__before") + F.col("__own")).select(*rows.columns, "spent")
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from ledgerspark.plans import catalogue, more, rules, state  # noqa: F401
+from ledgerspark.plans import catalogue, more, postings, rules, state  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
