@@ -10,7 +10,8 @@ second time needed is scaled down to cover just once, and cut, the least used fi
 patterns are one. Patterns are rounded down to whole sequences within the histogram,
 then once each, the most used first, as long as the histogram has their pieces, and the program is solved again for
 what is left, until nothing is. All other pieces, and the smallest piece of each sequence where that saves sequences,
-go by best fit, longest first, into the room that this leaves and then into new sequences. The plan works on counts of equal pieces and equal sequences throughout, so its size does not follow the input's. Each
+go by best fit, longest first, into the room that this leaves and then into new sequences. Where that makes more
+sequences than best fit alone would, the least full of the program's sequences are taken apart again, until it does not. The plan works on counts of equal pieces and equal sequences throughout, so its size does not follow the input's. Each
 piece finds its place by its rank among pieces of its length.
 """
 
@@ -149,10 +150,34 @@ def _without_last(groups: list[tuple[int, dict[int, int]]]) -> list[tuple[int, d
     return [(times, {k: a - (k == min(items)) for k, a in items.items() if a > (k == min(items))} if sum(items.values()) > 1 else items) for times, items in groups]
 
 
+#: Shares of the program's sequences that are kept, fullest first, until the rest needs no more than best fit alone does.
+KEPT = (1.0, 0.99, 0.97, 0.95, 0.9, 0.8, 0.65, 0.5, 0.35, 0.2, 0.1)
+
+
+def _fullest(groups: list[tuple[int, dict[int, int]]], share: float) -> list[tuple[int, dict[int, int]]]:
+    """The fullest sequences of groups, about share of all."""
+    left, out = math.ceil(share * sum(times for times, _ in groups)), []
+    for times, items in sorted(groups, key=lambda g: -sum(k * a for k, a in g[1].items())):
+        if left:
+            out.append((min(times, left), items))
+            left -= out[-1][0]
+    return out
+
+
 def plan(counts: np.ndarray) -> list[tuple[int, dict[int, int]]]:
-    """(number of sequences, their lengths with repeats); together they hold each length as often as counts says."""
-    groups = patterned(counts)
-    return min((filled(counts, g) for g in (groups, _without_last(groups))), key=lambda p: sum(times for times, _ in p))
+    """(number of sequences, their lengths with repeats); together they hold each length as often as counts says.
+
+    As many of the program's sequences stay, with or without their smallest pieces, as leave the whole with no more
+    sequences than best fit alone would make.
+    """
+    groups, number = patterned(counts), lambda p: sum(times for times, _ in p)
+    alone = filled(counts, [])
+    for share in KEPT:
+        kept = _fullest(groups, share)
+        best = min((filled(counts, g) for g in (kept, _without_last(kept))), key=number)
+        if number(best) <= number(alone):
+            return best
+    return alone
 
 
 def filled(counts: np.ndarray, used: list[tuple[int, dict[int, int]]]) -> list[tuple[int, dict[int, int]]]:

@@ -128,6 +128,30 @@ def test_special_tokens():
             assert np.frombuffer(got, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_packing_no_more_than_best_fit(sf):
+    """On the documents' lengths the plan needs no more sequences than best fit alone, and most of it is the program's."""
+    import pyarrow.parquet as pq
+
+    from ledgerspark.llm.tokens import WordCoder, word_bpe
+
+    c, counts = WordCoder(word_bpe()), np.zeros(packing.CAPACITY + 1, np.int64)
+    texts = [(t or "").encode() for t in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist()]
+    for k in range(0, len(texts), 200):
+        for ids in c.encode(texts[k : k + 200]):
+            n = len(ids) // 4 + 1
+            counts[packing.CAPACITY] += n // packing.CAPACITY
+            counts[n % packing.CAPACITY] += n % packing.CAPACITY > 0
+    number = lambda p: sum(times for times, _ in p)
+    plan = packing.plan(counts)
+    assert number(plan) <= number(packing.filled(counts, [])) and number(plan) - 1 <= (counts * np.arange(len(counts))).sum() / packing.CAPACITY
+    held = Counter()
+    for times, items in plan:
+        held.update({k: times * a for k, a in items.items()})
+        assert sum(k * a for k, a in items.items()) <= packing.CAPACITY
+    assert held == {k: n for k, n in enumerate(counts.tolist()) if n}
+
+
 def test_packing_odd(spark):
     rows = packing.packed(odd(spark)).collect()
     assert Counter(r["doc_id"] for r in rows)[7] == 2 and {r["length"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}
@@ -413,6 +437,19 @@ def test_mixing_odd(spark):
     assert mixing.mixed(odd(spark)).columns == odd(spark).columns and mixing.mixture(odd(spark).limit(0)).count() == 0 and mixing.mixed(odd(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["none", "one in three", "copies"])
+def test_mixing_ties(spark, ids):
+    """Rows that share an id, or have none, or are copies of each other in all columns are not all taken alike."""
+    doc = F.lit(None).cast("long") if ids == "none" else F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))
+    words = F.lit(7) if ids == "copies" else 20 + F.col("id") % 60
+    df = spark.range(3000).select(doc.alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), words.cast("int")), F.when(F.lit(ids != "copies"), F.col("id"))).alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    rows = mixing.mixture(df.repartition(4)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max(F.col("taken") > 2 * F.col("size")).alias("over")).collect()
+    assert len(rows) == 3 and all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] and not r["over"] for r in rows)
+    kept = Counter(r["source"] for r in mixing.mixed(df.repartition(4)).collect())
+    copies = {r["source"]: r["n"] for r in mixing.mixture(df.repartition(4)).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert all(abs(kept[s] - n) <= 0.01 * n for s, n in copies.items())
+
+
 def test_lm_scoring(spark, documents):
     low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in documents}
