@@ -7,7 +7,8 @@ and slope of all sources are one combined aggregate over the histogram of (sourc
 documents. Rates are then rounded: from the largest size down, each size of a source gets whole copies and
 hands its rounding error on, and within a size the documents that get one copy more are those of the least hashes:
 each size of a source has a threshold, so that copies are read off a document's source, size and hash alone, and
-texts stay where they are.
+texts stay where they are. Copies of one document share a hash; where the threshold falls among them, their rows'
+numbers decide.
 """
 
 from __future__ import annotations
@@ -92,8 +93,9 @@ def _key(source: Column) -> Column:
 
 
 def _cells(seen: DataFrame, weights: tuple[float, ...], share: float, most: int) -> DataFrame:
-    """(k, size, source_size, target, rate, every, last), stored, of seen (doc_id, source, k, size): of a source and size each
-    row gets `every` copies, and one more if its hash is at most `last`."""
+    """(k, size, source_size, target, rate, every, last, shared, last_v), stored, of seen (doc_id, source, k, size, u, v): of a
+    source and size each row gets `every` copies, and one more if its hash u is below `last`, or is `last` and, where
+    that is shared, v is at most last_v."""
     mark = written()
     by_source = seen.groupBy("k", "source").agg(F.sum("size").alias("words"), F.count("*").alias("n")).limit(SOURCES + 1).collect()
     if len(by_source) > SOURCES:
@@ -106,55 +108,75 @@ def _cells(seen: DataFrame, weights: tuple[float, ...], share: float, most: int)
     rated = histogram.join(rows, "k").withColumn("rate", F.least(F.lit(float(most)), F.exp(F.col("tilt") * F.col("size") / F.col("mean"))))
     cells = rated.select("k", "size", "n", "rate").groupBy("k").applyInPandas(_copies(most), "k string, size long, n long, rate double, copies long")
     cells = stored(cells.select("k", "size", "rate", F.expr("copies div n").alias("every"), (F.col("copies") % F.col("n")).alias("more")))
-    # the hash of the last row that gets one more: counts by the hash's leading bits say in which part it is, and the rows of these parts alone are ranked
-    some = seen.select("k", "size", _hash().alias("u")).join(small(stored(cells.where("more > 0").select("k", "size", "more"))), ["k", "size"])
-    some = some.withColumn("part", _part(F.col("u")))
-    parts = some.groupBy("k", "size", "more", "part").agg(F.count("*").alias("m"))
-    upto = F.sum("m").over(Window.partitionBy("k", "size").orderBy("part"))
-    parts = parts.withColumn("left", F.col("more") - (upto - F.col("m"))).where("left between 1 and m")
-    parts = stored(parts.select("k", "size", "part", "left"))
-    ranked = some.join(small(parts), ["k", "size", "part"]).withColumn("j", F.row_number().over(Window.partitionBy("k", "size", "part").orderBy("u")))
-    last = ranked.where(F.col("j") == F.col("left")).select("k", "size", F.col("u").alias("last"))
+    # the hash of the last row that gets one more; where several rows share it and not all of them do, those of the least numbers
+    last = stored(_least(seen.select("k", "size", "u"), "u", cells.where("more > 0").select("k", "size", "more")))
+    ties = last.where("more < ties").select("k", "size", F.col("at").alias("u"), "more")
+    tied = seen.select("k", "size", "u", "v").join(small(stored(ties.drop("more"))), ["k", "size", "u"]).drop("u")
+    first = _least(tied, "v", ties.drop("u")).select("k", "size", F.col("at").alias("last_v"))
+    last = last.select("k", "size", F.col("at").alias("last"), (F.col("more") < F.col("ties")).alias("shared")).join(stored(first), ["k", "size"], "left")
     out = stored(cells.drop("more").join(last, ["k", "size"], "left").join(rows.select("k", "source_size", "target"), "k"))
     drop_since(seen.sparkSession, mark, out)
     return out
 
 
+def _least(rows: DataFrame, c: str, more: DataFrame) -> DataFrame:
+    """(k, size, at, more, ties): the value of c that the more-th least row of (k, size) has, how many of the rows that share it
+    are among the first `more`, and how many share it. Counts by leading bits say in which part it is, and counts by
+    value where in that part, so that rows that share a value are one."""
+    some = rows.join(small(stored(more)), ["k", "size"]).withColumn("part", _part(F.col(c)))
+    left = lambda by: F.col("more") - (F.sum("m").over(Window.partitionBy("k", "size").orderBy(by)) - F.col("m"))
+    parts = some.groupBy("k", "size", "more", "part").agg(F.count("*").alias("m")).withColumn("left", left("part")).where("left between 1 and m")
+    few = some.drop("more").join(small(stored(parts.select("k", "size", "part", F.col("left").alias("more")))), ["k", "size", "part"])
+    values = few.groupBy("k", "size", "more", c).agg(F.count("*").alias("m")).withColumn("left", left(c)).where("left between 1 and m")
+    return values.select("k", "size", F.col(c).alias("at"), F.col("left").alias("more"), F.col("m").alias("ties"))
+
+
+def _seen(docs: DataFrame) -> DataFrame:
+    """What decides on each row: source, size, a hash of doc_id and text, and a number's hash for rows that have both alike."""
+    return docs.select("doc_id", "source", _key(F.col("source")).alias("k"), word_count(F.col("text")).alias("size"), _hash().alias("u"), _number().alias("v"))
+
+
 def _hash() -> Column:
-    return F.xxhash64("doc_id")
+    return F.xxhash64("doc_id", "text")
+
+
+def _number() -> Column:
+    return F.xxhash64(F.monotonically_increasing_id())
 
 
 def _part(u: Column) -> Column:
     return F.shiftright(u, 64 - PARTS.bit_length() + 1)
 
 
-def _copies_of(every: str, last: str) -> Column:
-    return F.col(every) + F.when(_hash() <= F.col(last), 1).otherwise(0)
+def _copies_of(mark: str, u: Column, v: Column) -> Column:
+    """How often a row is taken; a cell's columns have names that begin with mark."""
+    every, last, shared, last_v = (F.col(mark + c) for c in ("every", "last", "shared", "last_v"))
+    return every + F.when((u < last) | ((u == last) & (~shared | (v <= last_v))), 1).otherwise(0)
 
 
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, rate, copies, taken) for each row of docs (doc_id, text, source).
 
     Sizes are words; null, empty and blank texts have size 0, take no words and get one copy. Reruns agree, as only
-    source, size and a hash of doc_id decide. Rows that repeat a doc_id, source and size are taken alike, so that where the
-    threshold falls on them the words of their size differ from the plan by less than theirs. An empty table
+    source, size and a hash of doc_id and text decide; of rows that have all of these alike, and are the same but for their
+    other columns, as many are taken as the plan says. An empty table
     gives an empty result. Sources are at most SOURCES: one row each passes the driver, as their weights do.
     """
-    seen = stored(docs.select("doc_id", "source", _key(F.col("source")).alias("k"), word_count(F.col("text")).alias("size")))
+    seen = stored(_seen(docs))
     cells = _cells(seen, weights, share, most)
-    out = seen.join(small(cells), ["k", "size"]).withColumn("copies", _copies_of("every", "last"))
+    out = seen.join(small(cells), ["k", "size"]).withColumn("copies", _copies_of("", F.col("u"), F.col("v")))
     return out.select("doc_id", "source", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """docs, all columns, each row as often as mixture() says. Texts are not moved: copies are read off each row."""
-    seen = stored(docs.select("doc_id", "source", _key(F.col("source")).alias("k"), word_count(F.col("text")).alias("size")))
+    seen = stored(_seen(docs))
     cells = _cells(seen, weights, share, most)
     drop(seen)
-    plan = small(cells.select(*(F.col(c).alias(f"__{c}") for c in ("k", "size", "every", "last"))))
-    rows = docs.withColumn("__of", _key(F.col("source"))).withColumn("__words", word_count(F.col("text")))
+    plan = small(cells.select(*(F.col(c).alias(f"__{c}") for c in ("k", "size", "every", "last", "shared", "last_v"))))
+    rows = docs.withColumns({"__of": _key(F.col("source")), "__words": word_count(F.col("text")), "__u": _hash(), "__v": _number()})
     rows = rows.join(plan, (F.col("__of") == F.col("__k")) & (F.col("__words") == F.col("__size")))
-    return rows.withColumn("__i", F.explode(F.array_repeat(F.lit(0), _copies_of("__every", "__last").cast("int")))).select(*docs.columns)
+    return rows.withColumn("__i", F.explode(F.array_repeat(F.lit(0), _copies_of("__", F.col("__u"), F.col("__v")).cast("int")))).select(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
