@@ -14,18 +14,30 @@ from pyspark.sql import functions as F
 MATCH = "struct<start:int,end:int,quote:string>"
 
 
+#: Marks before and behind each match, which are no characters of any text.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """The matches of pattern in text, in order, as an array of (start, end, quote); null for null."""
-    quotes, rest = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(quotes, F.slice(rest, F.lit(1), F.size(quotes)), lambda q, r: F.struct(F.length(r).alias("gap"), q.alias("quote")))
+    """The matches of pattern in text, in order, as an array of (start, end, quote); null for null. One pass of the pattern marks
+    them, and their places are read off what the marks part."""
 
-    def placed(so_far: Column, x: Column) -> Column:
-        start = so_far["at"] + x["gap"]
-        end = start + F.length(x["quote"])
-        return F.struct(end.alias("at"), F.concat(so_far["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["quote"].alias("quote")))).alias("found"))
+    def placed(so_far: Column, part: Column) -> Column:
+        quote = F.substring_index(part, _CLOSE, 1)
+        end = so_far["at"] + F.length(quote)
+        found = F.struct(so_far["at"].alias("start"), end.alias("end"), quote.alias("quote"))
+        return F.struct((so_far["at"] + F.length(part) - 1).alias("at"), F.concat(so_far["found"], F.array(found)).alias("found"))
+
+    def read(parts: Column) -> Column:
+        none = F.struct(F.length(parts[0]).alias("at"), F.array().cast(f"array<{MATCH}>").alias("found"))
+        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, placed, lambda a: a["found"])
 
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH}>").alias("found"))
-    return F.when(F.size(quotes) > 0, F.aggregate(pairs, none, placed, lambda a: a["found"])).otherwise(F.when(text.isNotNull(), F.array().cast(f"array<{MATCH}>")))
+    return let(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1), lambda parts: F.when(parts.isNotNull(), read(parts)))
 
 
 def between(text: Column, start: Column, end: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerspark.operators import authorization, requirements
+from ledgerspark.operators import authorization, education, requirements
 from ledgerspark.plans.catalogue import query, table
 
 WORDS = {
@@ -157,3 +157,16 @@ def evidence_tree(spark: SparkSession, d: str) -> DataFrame:
     regions = nations.select(F.col("n_regionkey").alias("k")).distinct()
     tree = tree.union(regions.select(F.concat(F.lit("r"), "k"), F.lit(None), F.lit("region"), F.lit(0), F.lit("OR"), F.lit(None)))
     return requirements.evaluated(tree, [], 4).where("kind <> 'leaf'").groupBy("level", "value").agg(F.count("*").alias("n"))
+
+
+# Education and experience
+
+OWNER = education.Education(holds="bachelor", in_progress="master", years_kill=4)
+
+
+@query(None)
+def rules_education(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each document, read as a posting, asks for more education or experience than one candidate has; those under 400
+    characters are snippets."""
+    docs = table(spark, d, "documents").select("doc_id", posting(F.col("text")).alias("text"), (F.col("n_chars") < 400).alias("snippet"))
+    return education.education(docs, "text", "snippet", OWNER).select("doc_id", "education.*")

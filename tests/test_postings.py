@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import matches as M
-from ledgerspark.operators import authorization, requirements
-from ledgerspark.plans import catalogue, postings
+from ledgerspark.operators import authorization, education, requirements
+from ledgerspark.operators.education import Education
 from ledgerspark.operators.requirements import MET, UNKNOWN, UNMET
+from ledgerspark.plans import catalogue, postings
 
 D = "/root/testdata/sf0.001"
 
@@ -363,5 +364,82 @@ def test_requirement_verdicts(spark):
     assert got == want and set(want.values()) == {UNMET, UNKNOWN, MET}
 
 
+# --- education ---
+
+S, H, HP, D_, N, Y = Education(kill_completed=True, years_kill=3), Education(holds="bachelor", years_kill=3), Education(holds="bachelor", in_progress="master"), Education(holds="doctorate"), Education(), Education(years_kill=2)
+EDUCATION = [
+    (S,"Currently pursuing a bachelor's degree.","pass"),(S,"Bachelor's degree preferred, not required.","pass"),(S,"Two years of laboratory experience.","pass"),
+    (S,"The ideal candidate may have up to 5 years of experience.","pass"),
+    (S,"Technician I (L3): 1+ years of hands-on instrument maintenance experience\nTechnician II (L4): 3+ years of hands-on instrument maintenance experience, with","pass"),
+    (S,"Required 1-5+ years of laboratory experience","pass"),(S,"Required 5-10+ years of laboratory experience","kill"),
+    (S,"Requirements: 4 years of collective IT experience, with 2 years of direct support experience.","kill"),
+    (S,"We hire people who enjoy a BS in Biology. 2 years of laboratory experience.","pass"),
+    (S,"Nice to have: a BS in Biology. 2 years of laboratory experience.","pass"),
+    (S,"A bachelor's degree is a plus. 1 year of laboratory experience.","pass"),
+    (S,"You do not need a PhD to succeed here. Qualifications: curiosity.","pass"),
+    (S,"We will consider applicants without a bachelor's degree. Requirements: attention to detail.","pass"),
+    (HP,"Requirements: Bachelor's degree in Marketing.","degree_met"),(HP,"Requirements: Master's degree in Marketing.","degree_unplaced"),(HP,"Requirements: PhD in Marketing.","kill"),
+    (H,"Requirements: Master's degree in Marketing.","kill"),(H,"Requirements: Bachelor's or Master's degree in Marketing.","degree_met"),
+    (H,"You hold a degree (BSc, MSc or PhD) in Computer Science.","degree_met"),(H,"Requirements: a degree in a related field.","degree_unplaced"),
+    (D_,"Requirements: PhD in Chemistry.","degree_met"),
+    (H,"Requirements: Master's degree with 2 years of experience.","kill"),(H,"Requirements: Bachelor's degree with 2 years of experience.","met"),(H,"Requirements: Bachelor's or Master's degree with 2 years of experience.","met"),
+    (S,"Requirements: Bachelor's or Master's degree in Marketing.","kill"),
+    (S,"Requirements: Master's degree or equivalent experience.","optional_degree"),(S,"Requirements: a Master's degree or the equivalent.","optional_degree"),(S,"Qualifications: Master's degree, or equivalent combination of education and experience.","optional_degree"),(S,"Requirements: Bachelor's degree or equivalent work history.","optional_degree"),
+    (S,"QUALIFICATIONS Bachelor's degree in Business, Finance, Accounting, Economics or equivalent area","kill"),(S,"Qualifications Required MD, MD/PhD, or equivalent medical degree with board certification","kill"),(S,"Requirements: Master's degree in Marketing or equivalent field.","kill"),
+    (S,"Requirements: a Master's degree in Marketing. Five years of agency work or equivalent.","kill"),
+    (H,"Requirements: PhD in Chemistry. Qualifications: Bachelor's degree or equivalent in Biology.","optional_degree"),(S,"Requirements: PhD in Chemistry. Qualifications: Bachelor's degree or equivalent in Biology.","kill"),
+    (S,"A Bachelor's degree is preferred. Requirements: attention to detail.","optional_degree"),(S,"A Master's degree in Marketing is strongly preferred.","optional_degree"),(S,"Requirements: a Bachelor's degree (strongly preferred) in Marketing.","optional_degree"),(S,"Requirements: a Bachelor's degree (preferred).","optional_degree"),
+    (S,"Bachelor's degree required, Salesforce experience a plus.","kill"),(S,"Requirements: a Master's degree in Marketing. Familiarity with SEO is a plus.","kill"),(S,"Qualifications: BS degree in a technical discipline (Engineering preferred) 10+ years' experience leading maintenance personnel.","kill"),(S,"Requirements: a Master's degree (Chemistry preferred) in a science.","kill"),
+    (S,"Experience with MS Office is required.","clear"),(N,"Requirements: PhD","unconfigured"),
+    (Y,"<2 years of relevant experience required","met"),(Y,"with over 25 years of experience in business","clear"),(Y,"2 years of experience or 1 year of lab experience","met"),
+    (S,"Requirements:\nPhD in a related discipline with 0-2 years of postdoctoral or industry experience","kill"),
+    (Education(kill_completed=True,student="undergraduate"),"Currently enrolled in a Master's program in Biology","enrolment"),(Education(kill_completed=True),"Pursuing a PhD","enroll_unknown"),(Education(kill_completed=True,student="undergraduate"),"You will be enrolled in a Master's program","enroll_unknown"),
+    (Education(kill_completed=True,student="graduate"),"Currently enrolled in a Master's program","optional_degree"),
+]
+
+
+@pytest.mark.parametrize("rules", dict.fromkeys(r for r, _, _ in EDUCATION), ids=str)
+def test_education(spark, rules):
+    """What a text asks for and how it says so; the last of each case is how it is found, or a fact."""
+    cases = [(i, t, w) for i, (r, t, w) in enumerate(EDUCATION) if r == rules]
+    df = spark.createDataFrame([(i, t, False) for i, t, _ in cases], "i int, t string, s boolean")
+    got = {r["i"]: r["education"] for r in education.education(df, "t", "s", rules).collect()}
+    assert [w if w in (got[i]["status"], got[i]["fact"]) else tuple(got[i]) for i, _, w in cases] == [w for _, _, w in cases]
+
+
+def test_education_reasons(spark):
+    text = "Requirements: Master's degree with 2 years of experience."
+    df = spark.createDataFrame([(text, False), ("Nothing", True), (None, None), ("Required: 1 year of lab experience or 9 years of field experience", False)], "t string, s boolean")
+    got = [tuple(r["education"]) for r in education.education(df, "t", "s", H).collect()]
+    assert got[0][2] == "requires a completed master's degree above the bachelor's degree the Profile states the Owner holds alongside 2 years of experience, and no stated alternative asks for less: 'Requirements: Master's degree with 2 years of experience.'"
+    assert got[1][:2] == ("pass", "unassessed") and "could not be assessed" in got[1][2] and got[2] == ("pass", "clear", "no completed-degree requirement above the bachelor's degree the Profile states the Owner holds or 3+ year experience minimum") and got[3][1] == "met"
+
+
+def test_education_years(spark):
+    """Over a whole table, minima alone: joined ones count as their largest, and the least of all requirements decides."""
+    rules = Education(years_kill=4)
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", postings.posting(F.col("text")).alias("t"), F.lit(False).alias("s"))
+    got = {r["doc_id"]: r["education"]["status"] for r in education.education(docs, "t", "s", rules).collect()}
+    joined = docs.select("doc_id", "t", education.minima(F.col("t"), education.sections(F.col("t")), rules).alias("m")).collect()
+    p = {n: compiled(getattr(education, n)) for n in ("JOINED", "ALTERNATIVE")}
+    want, several = {}, 0
+    for r in joined:
+        groups = []
+        for m in r["m"]:
+            gap = r["t"][groups[-1][-1]["end"] : m["start"]] if groups else None
+            if gap is not None and len(gap) <= 40 and p["JOINED"].search(gap) and not p["ALTERNATIVE"].search(gap):
+                groups[-1].append(m)
+            else:
+                groups.append([m])
+        several += len(groups) > 1
+        want[r["doc_id"]] = "kill" if groups and min(max(m["years"] for m in g) for g in groups) >= 4 else "pass"
+    assert got == want and set(want.values()) == {"kill", "pass"} and several > 5
+
+
+def test_rules_education_stays_native(spark):
+    plan = postings.rules_education(spark, D)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InArrow" not in plan and "InPandas" not in plan
+
+
 def test_registered():
-    assert {"rules_work_auth", "requirement_spans", "requirement_verdicts", "requirement_evidence", "evidence_tree"} <= set(catalogue.QUERIES)
+    assert {"rules_education", "rules_work_auth", "requirement_spans", "requirement_verdicts", "requirement_evidence", "evidence_tree"} <= set(catalogue.QUERIES)
