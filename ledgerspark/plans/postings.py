@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.operators import assessment as A
 from ledgerspark.operators import authorization, education, requirements
 from ledgerspark.plans.catalogue import query, table
 
@@ -170,3 +171,69 @@ def rules_education(spark: SparkSession, d: str) -> DataFrame:
     characters are snippets."""
     docs = table(spark, d, "documents").select("doc_id", posting(F.col("text")).alias("text"), (F.col("n_chars") < 400).alias("snippet"))
     return education.education(docs, "text", "snippet", OWNER).select("doc_id", "education.*")
+
+
+# Fit
+
+
+def fit_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What a candidate states: the first eight words of each benchmark passage, of three kinds."""
+    kind = F.element_at(F.array(F.lit("skill"), F.lit("experience"), F.lit("credential")), (F.col("item_id") % 3 + 1).cast("int"))
+    words = F.split(posting(F.col("text")), " ")
+    return table(spark, d, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("fact"), F.array_join(F.slice(words, 1, 8), " ").alias("value"), kind.alias("kind"))
+
+
+def fit_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, context, source, text): context 0 is the title, the others are the spans of requirements."""
+    docs = table(spark, d, "documents").select("doc_id", posting(F.col("text")).alias("text"))
+    spans = requirements.spans(requirements.lines(docs, "doc_id", "text"), "doc_id")
+    title = docs.select("doc_id", F.lit(0).alias("context"), F.lit("title").alias("source"), F.substring_index("text", "\n", 1).alias("text"))
+    return title.union(spans.select("doc_id", "span", F.when(F.col("hint") == "preferred", "preferred").otherwise("required"), "text"))
+
+
+def fit_postings(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("n_chars")
+    p = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return p.select(
+        "doc_id", F.when(F.col("toxic") == 1, "kill").when(F.col("toxic") == 0, "pass").alias("verdict"), (F.col("quality") == 0).alias("unknown_facts"), F.when(n % 10 == 0, "closed").otherwise("open").alias("listing"),
+        F.when(n < 400, "snippet").otherwise("full").alias("kind"), F.when(F.col("source") == "src1", "program").otherwise("job").alias("opportunity"), F.when(n % 13 != 0, n).alias("verified"),
+    )
+
+
+def fit_rows(spark: SparkSession, d: str) -> DataFrame:
+    contexts = fit_contexts(spark, d)
+    return A.assessed(contexts, A.matched(contexts, A.index(fit_facts(spark, d)), "doc_id"), "doc_id")
+
+
+@query(None)
+def assessment(spark: SparkSession, d: str) -> DataFrame:
+    """How each document, read as a posting, fits one candidate: status, what blocks it, contexts with evidence, and gaps."""
+    out = A.verdicts(fit_postings(spark, d), fit_rows(spark, d), "doc_id")
+    return out.withColumn("blocking", F.array_join("blocking", " "))
+
+
+@query(None)
+def assessment_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Where in a posting which fact is met."""
+    found = fit_rows(spark, d).select("doc_id", "context", "source", F.explode("found").alias("f"))
+    return found.select("doc_id", "context", "source", "f.start", "f.end", "f.run", "f.fact", "f.kind")
+
+
+_TERMS = "SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS t FROM benchmark"
+
+
+@query(f"""
+WITH RECURSIVE v AS ({_TERMS}), e AS (
+  SELECT n.t AS narrow, b.t AS broad, length(b.t) > 3 AS passes FROM v n JOIN v b ON b.t = substr(n.t, 1, length(b.t)) AND length(b.t) < length(n.t) AND length(b.t) BETWEEN 2 AND 6
+  UNION SELECT b.t, n.t, true FROM v n JOIN v b ON b.t = substr(n.t, 1, length(b.t)) AND length(n.t) = length(b.t) + 1 AND length(b.t) = 6),
+r AS (SELECT * FROM e UNION SELECT r.narrow, e.broad, e.passes FROM r JOIN e ON r.broad = e.narrow WHERE r.passes AND r.narrow <> e.broad)
+SELECT DISTINCT narrow, broad FROM r
+""")
+def broader_skills(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's words as skills: a word stands for those it begins with, and some of six letters for the next longer ones, so
+    that there are cycles; what leads to a word of two or three letters goes no further."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("t")).distinct()
+    starts = words.select(F.col("t").alias("narrow"), F.explode(F.sequence(F.lit(2), F.lit(6))).alias("n")).where(F.length("narrow") > F.col("n")).select("narrow", F.substr("narrow", F.lit(1), F.col("n")).alias("broad"))
+    down = starts.join(words.withColumnRenamed("t", "broad"), "broad").select("narrow", "broad", (F.length("broad") > 3).alias("passes"))
+    up = down.where((F.length("broad") == 6) & (F.length("narrow") == 7)).select(F.col("broad").alias("narrow"), F.col("narrow").alias("broad"), F.lit(True).alias("passes"))
+    return A.broader(down.union(up))
