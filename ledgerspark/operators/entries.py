@@ -71,6 +71,7 @@ class Page:
     application: str | None = None
     rule: str | None = None
     search: str | None = None
+    places: tuple[str, ...] = ()
     sort: str = "verified"
     limit: int = 50
     offset: int = 0
@@ -108,7 +109,8 @@ def contains(term: str, *columns: Column) -> Column:
 
 
 def asked(entries: DataFrame, request: Page) -> DataFrame:
-    """The entries that a request asks for: status, application state, the rule that killed and a search."""
+    """The entries that a request asks for: status, application state, the rule that killed, a search, and any of some places, for
+    which entries have an array of that name."""
     out = entries
     if request.status:
         out = out.where(F.col("status") == request.status)
@@ -118,6 +120,8 @@ def asked(entries: DataFrame, request: Page) -> DataFrame:
         out = out.where({"saved": state == "approved", "dismissed": state == "rejected", "active": active}[request.application])
     if request.rule:
         out = out.where((F.col("verdict") == "kill") & (F.col("rule") == request.rule))
+    if request.places:
+        out = out.where(F.coalesce(F.arrays_overlap("places", F.array(*map(F.lit, request.places))), F.lit(False)))
     if request.search and request.search.strip():
         out = out.where(contains(request.search.strip(), *(F.col(c) for c in SEARCHED if c in out.columns)))
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import assessment as A
-from ledgerspark.operators import authorization, education, requirements
+from ledgerspark.operators import authorization, education, entries, places, requirements
 from ledgerspark.plans.catalogue import query, table
 
 WORDS = {
@@ -237,3 +237,49 @@ def broader_skills(spark: SparkSession, d: str) -> DataFrame:
     down = starts.join(words.withColumnRenamed("t", "broad"), "broad").select("narrow", "broad", (F.length("broad") > 3).alias("passes"))
     up = down.where((F.length("broad") == 6) & (F.length("narrow") == 7)).select(F.col("broad").alias("narrow"), F.col("narrow").alias("broad"), F.lit(True).alias("passes"))
     return A.broader(down.union(up))
+
+
+# Places
+
+#: Words of a first line that are read as parts of places.
+PLACE_WORDS = {
+    "the": "Remote", "of": ", MA", "and": ";", "to": ", NH", "in": ", Canada", "is": ", Texas", "that": "; 2 Locations;", "it": "United States", "for": "County", "was": ", CA", "on": "-", "with": "Office", "be": "; USA", "by": ", Rhode Island",
+    "der": ", Germany", "und": ";", "die": "Remote", "de": ", MA", "la": ";", "le": ", France", "et": ";", "y": ";", "el": ", Spain", "que": ", VT",
+}
+
+
+def placed_postings(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with an employer (their source and length's last digit), a title and a location: the first sixty characters of their text."""
+    pairs = F.create_map(*(F.lit(x) for pair in PLACE_WORDS.items() for x in pair))
+    said = F.transform(F.regexp_extract_all(F.substr(F.substring_index("text", "\n", 1), F.lit(1), F.lit(60)), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at(pairs, F.lower(w)), w))
+    location = F.regexp_replace(F.array_join(said, ""), r"\s+,", ",")
+    return table(spark, d, "documents").select("doc_id", F.concat_ws(" ", "source", (F.col("n_chars") % 10).cast("string")).alias("employer"), F.concat(F.lit("Role - "), F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")), F.lit(", NH")).alias("title"), F.when(F.col("n_chars") % 11 != 0, location).alias("location"))
+
+
+def gazetteer(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark's words as towns, each in the states of the passages that have it."""
+    codes = F.array(*map(F.lit, places.STATES))
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))))
+    return table(spark, d, "benchmark").select(words.alias("name"), F.element_at(codes, (F.col("item_id") % 51 + 1).cast("int")).alias("place")).distinct()
+
+
+@query(None)
+def location_scope(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each posting's sites are in a candidate's states."""
+    region = places.Region(states=(*places.NEW_ENGLAND, "CA"))
+    return places.location_scope(placed_postings(spark, d), "doc_id", "employer", "title", "location", gazetteer(spark, d), region)
+
+
+@query(None)
+def place_facets(spark: SparkSession, d: str) -> DataFrame:
+    """Postings by place: cities below states and countries, each posting once a place."""
+    return places.facets(places.choices(placed_postings(spark, d), "doc_id", "location", gazetteer(spark, d)))
+
+
+@query(None)
+def place_filter(spark: SparkSession, d: str) -> DataFrame:
+    """The postings in either of two states, or anywhere."""
+    chosen = places.choices(placed_postings(spark, d), "doc_id", "location", gazetteer(spark, d))
+    rows = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_set("choice")).alias("places"))
+    found = entries.asked(rows, entries.Page(places=("state:MA", "state:TX", "remote")))
+    return found.select("doc_id", F.array_join("places", "; ").alias("places"))

@@ -184,6 +184,19 @@ def test_duplicates_do_not_chain(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("destinations", [["", "u/a"], ["", "", "u/a", "u/b", "u/c"], ["u/a"]])
+def test_duplicates_random(spark, destinations):
+    """Members with and without destinations, requisitions, boards and employers in all mixtures, and one destination that all share."""
+    import random
+
+    r = random.Random(len(destinations))
+    rows = [{"key": i, "destination": r.choice(destinations), "requisition": r.choice(["", "r1", "r2", "r3"]), "requisition_source": r.choice(["external_id", "requisition_id"]), "source": r.choice("st"), "board": r.choice(["", "b1", "b2"]), "employer": r.choice(["", "e1", "e2"]),
+             "strong": r.random() < 0.5, "listing": r.choice(["open", "closed", "unknown"]), "truncated": r.random() < 0.3, "discovered": r.choice([None, 1.0, 2.0, 3.0])} for i in range(400)]
+    df = spark.createDataFrame([tuple(x.values()) for x in rows], "key long, destination string, requisition string, requisition_source string, source string, board string, employer string, strong boolean, listing string, truncated boolean, discovered double")
+    got = {x["key"]: x["winner"] for x in duplicates.duplicates(df, "key", duplicates.rank(F.col("listing"), F.col("truncated"), F.col("discovered"), F.col("key"))).collect()}
+    assert got == plain_duplicates(rows)
+
+
 def test_deltas_are_undone_by_replay(spark):
     rows = [("a", 1, {"x": "1", "y": "2"}), ("a", 2, {"x": "1", "y": "3"}), ("a", 3, {"z": "4"}), ("b", 4, {"x": None, "y": "1"})]
     d = ledger.deltas(spark.createDataFrame(rows, "k string, s int, fields map<string,string>"), "k", "s")
@@ -211,6 +224,17 @@ def test_totals_of_hot_groups(spark):
     assert temporal.running_total(df.limit(0), "g", "o", F.col("c")).count() == 0
 
 
+@pytest.mark.parametrize("descending", [False, True])
+def test_totals_of_large_numbers(spark, descending):
+    """Numbers that one double stands for are told apart, in whatever order their rows come."""
+    df = spark.range(400).select(F.lit("g").alias("g"), (F.lit(2**60) + (F.col("id") * 7919) % 400).alias("o")).repartition(7)
+    got = {r["o"] - 2**60: r["spent"] for r in temporal.running_total(df, "g", "o", F.lit(1).cast("long"), descending).collect()}
+    assert got == {i: 400 - i if descending else i + 1 for i in range(400)}
+    turns = {r["o"] - 2**60: r["turn"] for r in temporal.interleaved(df, "g", "o").collect()}
+    batch = {r["o"] - 2**60: r["batch"] for r in temporal.batches(df, "g", "o", 100, descending).collect()}
+    assert turns == {i: i + 1 for i in range(400)} and batch == {i: (399 - i if descending else i) // 100 for i in range(400)}
+
+
 def test_months(spark):
     g = spark.createDataFrame([(5, 5), (5, 6), (5, 8)], "a int, b int").select(temporal.guaranteed(F.col("a"), F.col("b")).alias("g")).collect()
     assert [r["g"] for r in g] == [0, 0, 2]
