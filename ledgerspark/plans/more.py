@@ -202,16 +202,23 @@ def pay_periods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _reader_sql() -> str:
-    quoted = lambda x: "'" + x.replace("'", "''").replace("\x01", "' || chr(1) || '") + "'"
-    spaced = lambda p: p.replace("\\x01", "\x01").replace("\\s", "[ \\t\\n\\r\\f\\v]")
-    marked = reduce(lambda x, step: f"regexp_replace({x}, {quoted(spaced(step[0]))}, {quoted(step[1])}, 'g')", reader.STEPS, "chr(1) || 'p' || html")
-    decoded = reduce(lambda x, e: f"replace({x}, '{e[0]}', {quoted(e[1])})", text.ENTITIES, "substr(b, 2)")
+    """Segments of one block and one emphasis each as rows: kinds go on and emphasis is summed by windows."""
+    marks = "".join((reader.PART, reader.STRONG, reader.WEAK, reader.GONE))
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    spaced = lambda p: p.replace("(?![a-z0-9-])", r"\b").replace("\\s", "[ \\t\\n\\r\\f\\v]")
+    marked = reduce(lambda x, step: f"regexp_replace({x}, {quoted(spaced(step[0]))}, {quoted(step[1])}, 'g')", reader.STEPS, f"{quoted(reader.PART + 'p')} || html")
+    decoded = reduce(lambda x, e: f"replace({x}, {quoted('&' + e[0] + ';')}, {quoted(e[1])})", sorted(reader.NAMED.items(), key=lambda e: e[0] == "amp"), "t")
     bullet = quoted(spaced(reader.BULLET))
     return f"""
-WITH s AS (SELECT page_id, list_filter(list_transform(string_split({marked}, chr(1)), lambda b: {{'k': substr(b, 1, 1), 't': trim(regexp_replace({decoded}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))}}), lambda x: x.t <> '') AS l FROM pages),
-r AS (SELECT page_id, unnest(range(len(l)))::INT AS place, unnest(l) AS b FROM s)
-SELECT page_id, place, CASE WHEN b.k = 'i' OR (b.k = 'p' AND regexp_matches(b.t, {bullet})) THEN 'item' WHEN b.k = 'h' OR (b.k = 'p' AND b.t LIKE '%:' AND length(b.t) <= 60) THEN 'heading' ELSE 'paragraph' END AS kind,
-  CASE WHEN b.k = 'p' AND regexp_matches(b.t, {bullet}) THEN regexp_replace(b.t, {bullet}, '') WHEN b.k = 'h' OR (b.k = 'p' AND b.t LIKE '%:' AND length(b.t) <= 60) THEN rtrim(regexp_replace(b.t, ':$', '')) ELSE b.t END AS text FROM r
+WITH s AS (SELECT page_id, regexp_extract_all({marked}, '[{marks}][^{marks}]*') AS l FROM pages),
+g AS (SELECT page_id, i, left(l[i], 1) AS m, CASE left(l[i], 1) WHEN {quoted(reader.PART)} THEN substr(l[i], 2, 1) END AS k, substr(l[i], CASE left(l[i], 1) WHEN {quoted(reader.PART)} THEN 3 ELSE 2 END) AS t FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)),
+d AS (SELECT page_id, i, k, {decoded} AS t, count(k) OVER w AS block, sum(CASE m WHEN {quoted(reader.STRONG)} THEN 1 WHEN {quoted(reader.WEAK)} THEN -1 ELSE 0 END) OVER w AS depth FROM g WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+e AS (SELECT *, depth - least(0, min(depth) OVER (PARTITION BY page_id ORDER BY i)) AS strong FROM d),
+b AS (SELECT page_id, block, any_value(k) AS k, trim(regexp_replace(string_agg(t, '' ORDER BY i), '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t, coalesce(sum(length(regexp_replace(t, '[ \\t\\n\\r\\f\\v]', '', 'g'))) FILTER (strong > 0), 0) AS strong FROM e GROUP BY page_id, block),
+k AS (SELECT *, CASE WHEN k IN ('h', 'i', 'p') THEN k WHEN last_value(CASE WHEN k IN ('h', 'i', 'p') THEN k END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY block) = 'i' THEN 'i' ELSE 'p' END AS kind FROM b),
+f AS (SELECT *, kind = 'p' AND regexp_matches(t, {bullet}) AS item, kind = 'h' OR (kind = 'p' AND ((length(t) <= {reader.LONGEST_BOLD} AND strong >= length(replace(t, ' ', '')) AND NOT regexp_matches(t, '[.!?]$')) OR (t LIKE '%:' AND length(t) <= {reader.LONGEST_COLON}))) AS heading FROM k WHERE t <> '')
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY block) - 1)::INT AS place, CASE WHEN item OR kind = 'i' THEN 'item' WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind,
+  CASE WHEN item THEN regexp_replace(t, {bullet}, '') WHEN heading THEN rtrim(regexp_replace(t, ':$', '')) ELSE t END AS text FROM f
 """
 
 

@@ -320,8 +320,13 @@ def test_observations(spark):
 
 
 def test_reader_blocks(spark):
-    cases = ["<h2>What you do:</h2><p>One <b>two</b><br>- three</p><ul><li><p>four</p></li><li>fi<i>ve</i></ul>Skills:<script>x<p></script><!-- <p> -->six &amp; seven", "", "plain"]
-    got = values(spark, reader.blocks, cases)
-    assert [[tuple(b) for b in x] for x in got] == [
-        [("heading", "What you do"), ("paragraph", "One two"), ("item", "three"), ("item", "four"), ("item", "five"), ("paragraph", "Skills: six & seven")], [], [("paragraph", "plain")],
-    ]
+    cases = {
+        "<h2>What you do:</h2><p>One <b>two</b><br>- three</p><ul><li><p>four</p></li><li>fi<i>ve</i></ul>Skills:<script>x<p></script><!-- <p> -->six &amp; seven": [("heading", "What you do"), ("paragraph", "One two"), ("item", "three"), ("item", "four"), ("item", "five"), ("paragraph", "Skills: six & seven")],
+        "": [], "plain": [("paragraph", "plain")], "<li>a<br>b</li>": [("item", "a"), ("item", "b")], "<li>t<p>more</p></li>rest": [("item", "t"), ("item", "more"), ("paragraph", "rest")],
+        "<p><strong>What you'll do</strong></p><p><b>Not</b> this</p><p><b>Nor this.</b></p>": [("heading", "What you'll do"), ("paragraph", "Not this"), ("paragraph", "Nor this.")],
+        "We&#8217;re &ndash; &#x41; &NBSP;&amp;lt; &nosuch; &#0; &#1114112;z": [("paragraph", "We’re – A &lt; &nosuch; z")], "a<!-- open <p>b": [("paragraph", "a")], "a < b <p>c": [("paragraph", "a < b"), ("paragraph", "c")],
+        "<h1>Title<br>after</h1>": [("heading", "Title"), ("paragraph", "after")], "<b>over<p>two</b> blocks</p>": [("heading", "over"), ("paragraph", "two blocks")], "</b></b><p><b>Bold</b></p>": [("heading", "Bold")], "<div>Need:</div>• one": [("heading", "Need"), ("item", "one")],
+        "<b>" + "long " * 20 + "</b>": [("paragraph", ("long " * 20).strip())], "<span>x</span>y<hr/>z": [("paragraph", "xy"), ("paragraph", "z")], "&am<i></i>p; 😀&#128512;": [("paragraph", "&amp; 😀😀")],
+    }
+    got = values(spark, reader.blocks, list(cases))
+    assert [[tuple(b) for b in x] for x in got] == list(cases.values())
