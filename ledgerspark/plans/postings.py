@@ -7,11 +7,12 @@ one of two words a section of duties.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import assessment as A
 from ledgerspark.operators import authorization, education, entries, places, requirements
+from ledgerspark.operators import placeholders as P
 from ledgerspark.plans.catalogue import query, table
 
 WORDS = {
@@ -283,3 +284,21 @@ def place_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = chosen.groupBy("doc_id").agg(F.array_sort(F.collect_set("choice")).alias("places"))
     found = entries.asked(rows, entries.Page(places=("state:MA", "state:TX", "remote")))
     return found.select("doc_id", F.array_join("places", "; ").alias("places"))
+
+
+# Placeholders
+
+
+def names_known(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one to three words of the benchmark's passages as names of institutions and organisations, in the order of their items."""
+    words = F.split("text", " ")
+    runs = F.explode(F.array(*(F.array_join(F.slice(words, start, n), " ") for start, n in ((1, 2), (2, 1), (4, 3), (9, 2), (12, 1)))))
+    kind = F.when(F.col("item_id") % 2 == 0, "Institution").otherwise("Organisation")
+    return table(spark, d, "benchmark").select(kind.alias("kind"), runs.alias("name"), "item_id").select("kind", F.regexp_replace("name", r"(?U)^\W+|\W+$", "").alias("name"), F.row_number().over(Window.orderBy("item_id", "name")).alias("at"))
+
+
+@query(None)
+def placeholders(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with the known names replaced, and what is withheld."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return P.scrubbed(docs, "doc_id", "text", P.named(names_known(spark, d), "at"))
