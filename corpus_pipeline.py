@@ -57,7 +57,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("MinHash near-dedup", near_dedup), ("secret scans", secrets), ("mixing sources", mix), ("best-fit packing", pack)]
 
-#: Covariance estimates, sketches and token ids have no SQL; tests hold run() against a brute-force version.
+#: Covariance estimates, sketches and token ids have no SQL; tests hold each stage against plain versions of what it does, and run() against the stages one by one.
 ORACLE_SQL = None
 
 

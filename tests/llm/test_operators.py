@@ -707,7 +707,7 @@ def test_quality_rules_odd(spark):
 
 
 def test_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 14))
 
 
 def test_pipeline(spark):
@@ -727,6 +727,27 @@ def test_pipeline(spark):
     assert set(ids[5]) == set(ids[4]) and seen[5].where("piece = 0").count() == sum(ids[4].values())
 
 
+def test_pipeline_run(spark):
+    """run() gives what the stages give one by one, and leaves nothing but its result in the shared folder."""
+    import pathlib
+
+    import corpus_pipeline
+
+    rows = spark.read.parquet(f"{D}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        rows = corpus_pipeline.stored(stage(spark, rows, D))
+    top = pathlib.Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(top.iterdir())
+    out = corpus_pipeline.run(spark, D)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert Counter(map(tuple, out.select(*columns).collect())) == Counter(map(tuple, rows.select(*columns).collect()))
+    places = defaultdict(list)
+    for r in out.collect():
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in p) <= packing.CAPACITY and sorted(o for o, _ in p)[0] == 0 for p in places.values())
+    assert [f.name for f in set(top.iterdir()) - before] == [pathlib.Path(out.inputFiles()[0]).parent.name]
+
+
 def test_pipeline_odd(spark):
     """Every stage runs through odd rows and through an empty table, with all columns but in the last."""
     import corpus_pipeline
