@@ -142,14 +142,16 @@ def answers_current(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, n_chars % 3 = 1 AS confirmed FROM documents
+WITH k AS (SELECT *, (props->>'$.k')::INT AS k FROM events)
+SELECT event_id, NOT (coalesce(k < 20, false) OR event_type = 'error' OR value > 30) AS confirmed FROM k
 """)
 def confirmed_facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts count unless they are said to be unconfirmed, drafts or withheld; what says nothing counts."""
-    n = F.col("n_chars") % 3
-    fact = F.struct(F.when(n == 0, "draft").alias("status"), (n == 2).alias("withheld"), F.when(n == 5, False).alias("confirmed"))
-    f = table(spark, d, "documents").select("doc_id", fact.alias("f"))
-    return f.select("doc_id", (F.coalesce("f.confirmed", F.lit(True)) & ~F.coalesce(F.col("f.status") == "draft", F.lit(False)) & ~F.coalesce("f.withheld", F.lit(False))).alias("confirmed"))
+    """Facts count unless they are said to be unconfirmed, drafts or withheld; what says nothing counts. An event of a low k is said to
+    be unconfirmed, one of a high k to be confirmed; errors are drafts, and events of high value withheld."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    fact = F.struct(F.when(F.col("event_type") == "error", "draft").alias("status"), F.when(F.col("value") > 30, True).alias("withheld"), F.when(k < 20, False).when(k > 50, True).alias("confirmed"))
+    f = table(spark, d, "events").select("event_id", fact.alias("f"))
+    return f.select("event_id", (F.coalesce("f.confirmed", F.lit(True)) & ~F.coalesce(F.col("f.status") == "draft", F.lit(False)) & ~F.coalesce("f.withheld", F.lit(False))).alias("confirmed"))
 
 
 @query("""

@@ -195,15 +195,15 @@ def posting_revision(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT page_id, regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+/([A-Za-z0-9_-]+)', 1) AS board FROM pages),
-c AS (SELECT lower(host) AS source, board, min(page_id) AS first_page, count(*) AS n FROM t WHERE host <> '' AND board <> '' GROUP BY 1, 2)
-SELECT source, board, first_page, n FROM c WHERE board NOT IN (SELECT board FROM c WHERE n > 1)
+WITH t AS (SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS source, regexp_extract(url, '^https?://[^/?#]+/[^/?#]+/([A-Za-z0-9_-]+)', 1) AS board FROM pages)
+SELECT source, board, min(page_id) AS first_page, count(*) AS n FROM t WHERE source <> '' AND board <> '' AND board NOT IN (SELECT doc_id::VARCHAR FROM labels) GROUP BY 1, 2
 """)
 def harvest_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Boards that URLs name, without those known already: here, those met more than once."""
-    p = table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("source"), F.regexp_extract("url", r"^https?://[^/?#]+/([A-Za-z0-9_-]+)", 1).alias("board"))
+    """Boards that URLs name behind their language, without those that have labels already."""
+    p = table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("source"), F.regexp_extract("url", r"^https?://[^/?#]+/[^/?#]+/([A-Za-z0-9_-]+)", 1).alias("board"))
+    known = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("board")).distinct()
     found = p.where("source <> '' and board <> ''").groupBy("source", "board").agg(F.min("page_id").alias("first_page"), F.count("*").alias("n"))
-    return found.join(found.where("n > 1").select("board").distinct(), "board", "left_anti").select("source", "board", "first_page", "n")
+    return found.join(known, "board", "left_anti").select("source", "board", "first_page", "n")
 
 
 @query("SELECT doc_id, lang AS source, CASE WHEN n_chars % 2 = 0 THEN 'a:b' ELSE '' END AS board FROM documents")
