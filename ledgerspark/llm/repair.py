@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, stored, table
+from .common import SPACES, drop_since, stored, table, written
 
 #: What edits cost, and what an unmended end of a text does.
 DELETE, REROLE, INSERT, TRUNCATED = 2, 1, 5, 5
@@ -267,9 +267,10 @@ def repaired(rows: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """
     space = F.lit(" ")
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"))
-    order = ["conv_id", "turn", "digest", "id"]
+    order, mark = ["conv_id", "turn", "digest", "id"], written()
     laid = _coded(rows).repartitionByRange(*order).sortWithinPartitions(*order)
     pieces = stored(laid.select("conv_id", "role", "text", "start", "blank", "cut", "seen").mapInArrow(_pieces(most_rows), PIECES))
+    drop_since(rows.sparkSession, mark, pieces)  # rows before they were laid in order
 
     # conversations of several pieces: narrow rows, at most one in most_rows or MOST_CHARS but for the ends of tasks
     several = stored(pieces.groupBy("conv_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("conv_id").alias("c")))
