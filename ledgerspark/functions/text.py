@@ -20,6 +20,8 @@ CONTACT = (
     r"https?://\S+|www\.\S+|[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}|"
     r"(?<!\d)(?:\+?1[\s.-]?)?\(?\d{3}\)?[\s.-]\d{3}[\s.-]\d{4}(?!\d)"
 )
+#: What each of these has somewhere; texts without it need no closer look.
+CONTACT_HINT = r"://|@|[wW]{3}\.|\d{3}"
 #: Entities that descriptions are escaped with, in the order they are decoded.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: Words in a source's own status, workplace and opportunity fields.
@@ -136,7 +138,7 @@ def description_html(raw: Column) -> Column:
 
 def scrubbed(text: Column, identity: tuple[str, ...] = ()) -> Column:
     """Addresses and telephone numbers, and then the names in identity, longest first, removed; white space as one space."""
-    out = F.regexp_replace(text, f"(?i){CONTACT}", "[contact removed]")
+    out = F.when(text.rlike(CONTACT_HINT), F.regexp_replace(text, f"(?i){CONTACT}", "[contact removed]")).otherwise(text)
     for term in sorted(identity, key=len, reverse=True):
         out = F.regexp_replace(out, "(?i)" + re.escape(term), "[identity removed]")
     return F.btrim(F.regexp_replace(out, r"\s+", " "))
