@@ -9,6 +9,7 @@ from ledgerspark.operators import ledger, scores
 from ledgerspark.plans.catalogue import query, table
 from ledgerspark.sources import csv, view
 from ledgerspark.sources.scratch import folder
+from ledgerspark.streaming import budget
 
 
 @query("""
@@ -177,3 +178,26 @@ def published_view(spark: SparkSession, d: str) -> DataFrame:
     }
     view.publish(spark, top := folder(spark), tables, checks)
     return view.read(spark, top, "postings", {"doc_id": "bigint", "source": "string", "toxic": "int"})
+
+
+_COST = "(n_chars + 255) // 256 / 1000.0"
+
+
+@query(f"""
+WITH c AS (SELECT doc_id, {_COST} AS usd FROM documents),
+a AS (SELECT *, sum(usd) OVER (ORDER BY doc_id DESC) <= 1.0 + 1e-9 AS paid FROM c),
+b AS (SELECT doc_id, usd, sum(usd) OVER (ORDER BY doc_id DESC) <= least(1.0, 1.5 - (SELECT coalesce(sum(usd), 0) FROM a WHERE paid)) + 1e-9 AS paid FROM a WHERE NOT paid)
+SELECT doc_id, round(usd, 6) AS usd, '2026-03-01' AS day FROM a WHERE paid UNION ALL SELECT doc_id, round(usd, 6), '2026-03-02' FROM b WHERE paid
+""")
+def budgeted_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Which documents are paid for, and when, on two days of one month: 1 USD a day and 1.5 a month, the newest first. The first
+    day's run is a stream; the second works on what has waited."""
+    to = folder(spark)
+    usd = F.expr("((n_chars + 255) div 256) / 1000.0").cast("double")
+    docs = spark.readStream.schema(table(spark, d, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/documents.parquet*")
+    rows = docs.select(F.col("doc_id").alias("key"), F.col("doc_id").alias("order"), usd.alias("usd"))
+    score = lambda paid: paid.select("key", (F.pmod(F.xxhash64("key"), F.lit(1000)) / 1000).alias("probability"))
+    budget.run_once(rows, f"{to}/runs", f"{to}/checkpoint", "2026-03-01T08:00:00", score, 1.0, 1.5)
+    budget.resume(spark, f"{to}/runs", "2026-03-02T08:00:00", score, 1.0, 1.5)
+    paid = budget.charges(spark, f"{to}/runs").join(spark.read.parquet(f"{to}/runs/{budget.RESULTS}").select("key"), "key", "left_semi")
+    return paid.select(F.col("key").alias("doc_id"), F.round("usd", 6).alias("usd"), F.left("at", F.lit(10)).alias("day"))
