@@ -33,6 +33,11 @@ def posting(text: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
+def dealt(docs: DataFrame) -> DataFrame:
+    """docs over all tasks, whatever their files: the rules cost a text far more than its way does."""
+    return docs.repartition("doc_id", F.xxhash64("text"))
+
+
 _MAP = "MAP {" + ", ".join("'{}': '{}'".format(*(x.replace("'", "''") for x in pair)) for pair in WORDS.items()) + "}"
 #: The same in SQL: p (doc_id, n_chars, text).
 POSTING_SQL = rf"""
@@ -89,7 +94,7 @@ def rules_work_auth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def requirement_nodes(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", posting(F.col("text")).alias("text"))
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", posting(F.col("text")).alias("text"))
     return requirements.nodes(requirements.atoms(requirements.spans(requirements.lines(docs, "doc_id", "text"), "doc_id"), "doc_id"), "doc_id")
 
 
@@ -119,7 +124,7 @@ def requirement_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def requirement_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Of each posting with spans: flags on authorisation, whether sponsorship is a conflict, first days and graduations that
     fit, and the first spans on recent graduates and on grades."""
-    docs = table(spark, d, "documents").select("doc_id", posting(F.col("text")).alias("text"))
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", posting(F.col("text")).alias("text"))
     s = requirements.spans(requirements.lines(docs, "doc_id", "text"), "doc_id")
     text = F.col("text")
     begins, ends = requirements.availability(text, CANDIDATE)
@@ -170,7 +175,7 @@ OWNER = education.Education(holds="bachelor", in_progress="master", years_kill=4
 def rules_education(spark: SparkSession, d: str) -> DataFrame:
     """Whether each document, read as a posting, asks for more education or experience than one candidate has; those under 400
     characters are snippets."""
-    docs = table(spark, d, "documents").select("doc_id", posting(F.col("text")).alias("text"), (F.col("n_chars") < 400).alias("snippet"))
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text", "n_chars")).select("doc_id", posting(F.col("text")).alias("text"), (F.col("n_chars") < 400).alias("snippet"))
     return education.education(docs, "text", "snippet", OWNER).select("doc_id", "education.*")
 
 
@@ -186,7 +191,7 @@ def fit_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def fit_contexts(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, context, source, text): context 0 is the title, the others are the spans of requirements."""
-    docs = table(spark, d, "documents").select("doc_id", posting(F.col("text")).alias("text"))
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", posting(F.col("text")).alias("text"))
     spans = requirements.spans(requirements.lines(docs, "doc_id", "text"), "doc_id")
     title = docs.select("doc_id", F.lit(0).alias("context"), F.lit("title").alias("source"), F.substring_index("text", "\n", 1).alias("text"))
     return title.union(spans.select("doc_id", "span", F.when(F.col("hint") == "preferred", "preferred").otherwise("required"), "text"))
