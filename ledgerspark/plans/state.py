@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import ledger, scores
 from ledgerspark.plans.catalogue import query, table
-from ledgerspark.sources import csv, view
+from ledgerspark.sources import csv, paged, view
 from ledgerspark.sources.scratch import folder
 from ledgerspark.streaming import budget
 
@@ -201,3 +201,43 @@ def budgeted_scores(spark: SparkSession, d: str) -> DataFrame:
     budget.resume(spark, f"{to}/runs", "2026-03-02T08:00:00", score, 1.0, 1.5)
     paid = budget.charges(spark, f"{to}/runs").join(spark.read.parquet(f"{to}/runs/{budget.RESULTS}").select("key"), "key", "left_semi")
     return paid.select(F.col("key").alias("doc_id"), F.round("usd", 6).alias("usd"), F.left("at", F.lit(10)).alias("day"))
+
+
+# Boards that are read page by page: pages of one host are a board; and users are boards whose entries are kinds of events, which
+# soon repeat.
+
+
+@query("""
+WITH p AS (SELECT page_id, split_part(url, '/', 3) AS board, row_number() OVER (PARTITION BY split_part(url, '/', 3) ORDER BY page_id) - 1 AS place FROM pages)
+SELECT page_id, board, (place // 200)::INT AS run, (place // 20 * 20)::BIGINT AS "offset" FROM p
+""")
+def paged_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Which run has seen each page of each host, and at which offset: ten pages of 20 a run, until all boards are read."""
+    pages = table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("board"), "page_id", "url")
+    place = F.row_number().over(Window.partitionBy("board").orderBy("page_id")) - 1
+    listing = pages.select("board", place.cast("long").alias("place"), F.col("page_id").cast("string").alias("key"), F.col("url").alias("path"), F.lit(None).cast("string").alias("row"))
+    to, boards = folder(spark), pages.select("board")
+    while paged.advance(spark, to, boards, paged.recorded(listing), "2026-03-01T08:00:00", pages=10):
+        pass
+    return paged.seen(spark, to).select(F.col("key").cast("long").alias("page_id"), "board", "run", "offset")
+
+
+@query("""
+WITH e AS (SELECT user_id, event_type || '/' || (value > 20)::INT AS key, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS place, count(*) OVER (PARTITION BY user_id) AS total FROM events),
+k AS (SELECT *, min(place) OVER (PARTITION BY user_id, key) AS first, place // 2 AS page FROM e WHERE place < 8),
+p AS (SELECT user_id, page, any_value(total) AS total, count(*) AS n, count(DISTINCT key) AS keys, count(*) FILTER (first // 2 = page) AS new FROM k GROUP BY user_id, page),
+s AS (SELECT user_id, min(page) AS stop, arg_min(CASE WHEN keys < n THEN 'repeats' ELSE 'stalled' END, page) AS how FROM p WHERE keys < n OR new = 0 GROUP BY user_id),
+w AS (SELECT user_id, any_value(total) AS total, any_value(stop) AS stop, any_value(how) AS how, count(*) FILTER (stop IS NULL OR page < stop) AS fetched, sum(n) FILTER (stop IS NULL OR page <= stop) AS observed FROM p LEFT JOIN s USING (user_id) GROUP BY user_id)
+SELECT user_id::VARCHAR AS board, CASE WHEN how = 'stalled' THEN 'stalled' WHEN how = 'repeats' THEN CASE WHEN stop = 0 THEN 'failed' ELSE 'partial' END WHEN total <= 8 THEN 'complete' ELSE 'partial' END AS status,
+  CASE WHEN how IS NOT NULL THEN stop * 2 WHEN total <= 8 THEN 0 ELSE 8 END::BIGINT AS next_offset, fetched::INT AS fetched, observed::BIGINT AS observed, coalesce(how IS NULL AND total <= 8, false) AS whole,
+  CASE WHEN how = 'stalled' THEN 'repeated or non-advancing page at offset ' || (stop * 2) WHEN how = 'repeats' THEN 'stopped at offset ' || (stop * 2) || ': keys repeat within a page' WHEN total > 8 THEN 'stopped at 4 pages' END AS error
+FROM w
+""")
+def scan_cursors(spark: SparkSession, d: str) -> DataFrame:
+    """Where a run of four pages of two has left each board, and why."""
+    key = F.concat("event_type", F.lit("/"), (F.col("value") > 20).cast("int").cast("string"))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    listing = table(spark, d, "events").select(F.col("user_id").cast("string").alias("board"), place.cast("long").alias("place"), key.alias("key"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("string").alias("row"))
+    to = folder(spark)
+    paged.advance(spark, to, listing.select("board"), paged.recorded(listing), "2026-03-01T08:00:00", limit=2, pages=4)
+    return paged.cursors(spark, to).select("board", "status", "next_offset", "fetched", "observed", "whole", "error")
