@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import assessment as A
-from ledgerspark.operators import authorization, education, entries, places, requirements
+from ledgerspark.operators import authorization, education, entries, places, requirements, shifts
 from ledgerspark.operators import placeholders as P
 from ledgerspark.plans.catalogue import query, table
 
@@ -24,9 +24,9 @@ WORDS = {
 }
 
 
-def posting(text: Column) -> Column:
+def posting(text: Column, words: dict[str, str] = WORDS) -> Column:
     """A document's text with the words of postings."""
-    pairs = F.create_map(*(F.lit(x) for pair in WORDS.items() for x in pair))
+    pairs = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
     said = F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at(pairs, F.lower(w)), w))
     out = F.regexp_replace(F.array_join(said, ""), r"\. +", ".\n")
     lines = F.transform(F.split(out, "\n", -1), lambda line: F.when(line.rlike(r"^[^ ]+\.$"), "Requirements:").when(line.rlike(r"^[^ ]+ [^ ]+\.$"), "Responsibilities:").otherwise(line))
@@ -38,14 +38,18 @@ def dealt(docs: DataFrame) -> DataFrame:
     return docs.repartition("doc_id", F.xxhash64("text"))
 
 
-_MAP = "MAP {" + ", ".join("'{}': '{}'".format(*(x.replace("'", "''") for x in pair)) for pair in WORDS.items()) + "}"
-#: The same in SQL: p (doc_id, n_chars, text).
-POSTING_SQL = rf"""
-WITH w AS (SELECT doc_id, n_chars, array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+|[^\p{{L}}]+'), lambda x: coalesce({_MAP}[lower(x)], x)), '') AS t FROM documents),
+def posting_sql(words: dict[str, str] = WORDS) -> str:
+    """The same in SQL: p (doc_id, n_chars, text)."""
+    pairs = "MAP {" + ", ".join("'{}': '{}'".format(*(x.replace("'", "''") for x in pair)) for pair in words.items()) + "}"
+    return rf"""
+WITH w AS (SELECT doc_id, n_chars, array_to_string(list_transform(regexp_extract_all(text, '\p{{L}}+|[^\p{{L}}]+'), lambda x: coalesce({pairs}[lower(x)], x)), '') AS t FROM documents),
 p AS (SELECT doc_id, n_chars, array_to_string(list_transform(string_split(regexp_replace(t, '\. +', '.' || chr(10), 'g'), chr(10)), lambda x: CASE WHEN regexp_matches(x, '^[^ ]+\.$') THEN 'Requirements:' WHEN regexp_matches(x, '^[^ ]+ [^ ]+\.$') THEN 'Responsibilities:' ELSE x END), chr(10)) AS text FROM w)
 """
 
 
+POSTING_SQL = posting_sql()
+
+
 # Work authorisation
 
 AUTHORIZATION = authorization.Authorization(
@@ -179,6 +183,45 @@ def rules_education(spark: SparkSession, d: str) -> DataFrame:
     return education.education(docs, "text", "snippet", OWNER).select("doc_id", "education.*")
 
 
+# Shifts
+
+SHIFT_WORDS = WORDS | {"to": "weekend", "a": "shift", "in": "night shift", "and": "Saturday", "und": "weekend", "de": "overnight", "la": "shift", "y": "no", "with": "Preferred skills:\n", "they": "Required skills:\n"}
+_SHIFT_SQL = {name: p.replace("(?iU)", "(?i)") for name, p in (("weekend", shifts.WEEKEND), ("title", shifts.WEEKEND_TITLE), ("night", shifts.NIGHT))}
+_SECTION = education.SECTION.replace("(?iU)", "(?i)").replace("'", "''")
+
+
+@query(
+    posting_sql(SHIFT_WORDS)
+    + rf""", b AS (SELECT doc_id, n_chars, string_split(text, chr(10))[1] AS title, CASE WHEN contains(text, chr(10)) THEN text ELSE text || chr(10) END AS text FROM p),
+l AS (SELECT doc_id, text AS t, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS x FROM b),
+m AS ({" UNION ALL ".join(_sql_matches(_SHIFT_SQL[name], k) for k, name in ((0, "weekend"), (2, "night")))} UNION ALL
+  SELECT * FROM ({_sql_matches(_SHIFT_SQL["title"], 1).replace("FROM l)", "FROM (SELECT doc_id, title AS t, regexp_replace(title, '[^\\x00-\\x7F]', 'x', 'g') AS x FROM b))")})),
+c AS (SELECT *, substr(x, 1, s) AS head, list_last(string_split(substr(x, 1, s), chr(10))) AS line FROM m),
+h AS (SELECT *, right(line, 70) AS near, list_last(list_filter(string_split(CASE WHEN length(line) = s THEN line ELSE substr(x, 1, s - length(line) - 1) END, chr(10)), lambda y: length(y) < 100 AND regexp_matches(rtrim(trim(y), ':'), '{_SECTION}'))) AS above FROM c),
+g AS (SELECT *, CASE WHEN k = 1 THEN regexp_matches(near, '{_PREF}') OR (regexp_matches(head, '{_PREF}') AND NOT regexp_matches(list_last(regexp_split_to_array(head, '{_PREF}')), '{_REQ}'))
+    ELSE (regexp_matches(near, '{_PREF}') AND NOT regexp_matches(list_last(regexp_split_to_array(near, '{_PREF}')) || quote, '{_REQ}')) OR coalesce(regexp_matches(above, '{_PREF}'), false) END
+  OR regexp_matches(right(head, 30), '{_DENY}') OR regexp_matches(quote, '{_DENY}') AS waived FROM h),
+q AS (SELECT doc_id, k, {_EXCERPT.replace("' +', ' '", "'[ \\t\\n\\r\\f\\v]+', ' '")} AS said FROM g WHERE NOT waived QUALIFY row_number() OVER (PARTITION BY doc_id, k ORDER BY i) = 1),
+f AS (SELECT doc_id, n_chars < 400 AS snippet, max(said) FILTER (k = 0) AS inside, max(said) FILTER (k = 1) AS titled, max(said) FILTER (k = 2) AS night FROM b LEFT JOIN q USING (doc_id) GROUP BY ALL),
+r AS (SELECT doc_id, snippet, coalesce(inside, titled) AS weekend, night, unnest(['weekdays_only', 'no_weekends', 'no_nights']) AS preference FROM f),
+j AS (SELECT *, CASE WHEN preference <> 'no_nights' AND weekend IS NOT NULL THEN 'weekend' WHEN preference <> 'no_weekends' AND night IS NOT NULL THEN 'night' WHEN snippet AND weekend IS NULL AND night IS NULL THEN 'unassessed' ELSE 'clear' END AS fact FROM r)
+SELECT doc_id, preference, CASE WHEN fact IN ('weekend', 'night') THEN 'kill' ELSE 'pass' END AS status, fact,
+  CASE fact WHEN 'weekend' THEN 'shift preference ' || preference || ' excludes weekend work: ' || weekend WHEN 'night' THEN 'shift preference ' || preference || ' excludes night shifts: ' || night
+    WHEN 'unassessed' THEN 'shift preference could not be assessed: the stored description is a truncated snippet' ELSE 'no excluded shift for preference ' || preference END AS reason
+FROM j
+"""
+)
+def rules_shift(spark: SparkSession, d: str) -> DataFrame:
+    """What each document, read as a posting, says of weekends and nights, under each preference that rules anything out; those under
+    400 characters are snippets."""
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text", (F.col("n_chars") < 400).alias("snippet")))
+    lines = docs.select("doc_id", "snippet", posting(F.col("text"), SHIFT_WORDS).alias("text"))
+    title = F.substring_index("text", "\n", 1)
+    said = lines.select("doc_id", "snippet", shifts.stated(title, F.substr("text", F.length(title) + 2)).alias("said"))
+    found = F.array(*(F.struct(F.lit(p).alias("preference"), shifts.shift(F.col("said"), F.col("snippet"), p).alias("f")) for p, out in shifts.RULED_OUT.items() if out))
+    return said.select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.preference", "x.f.*")
+
+
 # Fit
 
 
