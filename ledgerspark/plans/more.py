@@ -48,27 +48,33 @@ def phrase_variants(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.explode(questions.variants(words)).alias("variant"))
 
 
-@query("""
-SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 7 WHEN 1 THEN s_suppkey WHEN 2 THEN 12 END::INT AS n, CASE s_suppkey % 4 WHEN 0 THEN 'mailto:a@b.co' WHEN 1 THEN 'https://x.org/y?z' WHEN 2 THEN 'mailto:q@r.st' WHEN 3 THEN 'https://x.org' END AS link FROM supplier
+@query(rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r\f\v]+') AS w FROM documents),
+n AS (SELECT doc_id, w, list_filter(list_transform(w, lambda x: CASE WHEN regexp_matches(x, '^[+-]?[0-9]+$') THEN TRY_CAST(x AS INT) ELSE list_position({list(questions.NUMBERS)}, lower(x)) - 1 END), lambda x: x IS NOT NULL) AS n,
+  list_transform(list_filter(w, lambda x: regexp_matches(x, '^(mailto:)?[^\s@<>?]+@[^\s@<>?]+\.[^\s@<>?]+$')), lambda x: 'mailto:' || regexp_replace(x, '^mailto:', '')) AS mail,
+  list_filter(w, lambda x: regexp_matches(x, '^https?://[^\s/@?#:]+(:[0-9]+)?([/?#]\S*)?$')) AS web FROM w)
+SELECT doc_id, len(n)::INT AS numbers, coalesce(list_sum(n), 0)::BIGINT AS total, array_to_string(list_sort(list_concat(mail, web)), ' ') AS links FROM n
 """)
 def number_words(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers in words and digits; routes that are links."""
-    k = F.col("s_suppkey") % 4
-    word = F.when(k == 0, "Seven").when(k == 1, F.col("s_suppkey").cast("string")).when(k == 2, "twelve").otherwise("many")
-    route = F.when(k == 0, " a@b.co").when(k == 1, "https://x.org/y?z").when(k == 2, "mailto:q@r.st").otherwise(F.when(F.col("s_suppkey") >= 0, "https://x.org"))
-    return table(spark, d, "supplier").select("s_suppkey", questions.number(word).alias("n"), questions.contact_link(route).alias("link"))
+    """Numbers that each document's words are, in digits or letters, and the words that are mail or web addresses, as links."""
+    found = lambda p: F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(rf"(?<!\S)(?:{p})(?!\S)"), F.lit(0))
+    some = (("n", questions.number, rf"[+-]?[0-9]+|(?i:{'|'.join(questions.NUMBERS)})"), ("l", questions.contact_link, r"[^\s@]+@\S+|https?://\S+"))
+    docs = table(spark, d, "documents").select("doc_id", *(F.filter(F.transform(found(p), of), lambda x: x.isNotNull()).alias(name) for name, of, p in some))
+    total = F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)
+    return docs.select("doc_id", F.size("n").alias("numbers"), total.alias("total"), F.array_join(F.array_sort("l"), " ").alias("links"))
 
 
-@query("""
-SELECT p_partkey, CASE WHEN p_name ILIKE '%e%' AND p_size BETWEEN 10 AND 20 THEN 1 WHEN p_name ILIKE '%a%' AND p_size < 10 THEN 0 WHEN p_size > 40 THEN 2 END::INT AS rung FROM (
-  SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN 'a' WHEN p_size BETWEEN 10 AND 20 THEN 'e' ELSE '' END AS p_name FROM part)
+LEVELS = [("small", r"\b(?:small|economy)\b"), ("old", r"\bold\b"), ("standard", r"\b(?:standard|new)\b"), ("large", r"\blarge\b"), ("promo", r"\bpromo\b|\bgizmo\b")]
+
+
+@query(f"""
+WITH t AS (SELECT p_partkey, p_type || ' ' || p_name AS title FROM part),
+r AS (SELECT p_partkey, l.rung, greatest(1 - l.rung, l.rung - 2, 0) AS away FROM t JOIN (VALUES {", ".join(f"({i}, '{p}')" for i, (_, p) in enumerate(LEVELS))}) AS l(rung, pattern) ON regexp_matches(title, '(?i)' || pattern))
+SELECT p_partkey, arg_min(rung, away * 10 + rung)::INT AS rung FROM t LEFT JOIN r USING (p_partkey) GROUP BY p_partkey
 """)
 def role_levels(spark: SparkSession, d: str) -> DataFrame:
-    """The rung that a title names, taken as near to the band as its words allow."""
-    size = F.col("p_size")
-    title = F.when(size < 10, "Associate").when(size <= 20, "Senior Associate Engineer").when(size > 40, "Chief of Staff, Senior").otherwise("Manager")
-    title = F.when(size > 40, "Chief").otherwise(title)
-    return table(spark, d, "part").select("p_partkey", questions.rung(title, [("entry", r"\bassociate\b"), ("senior", r"\bsenior\b"), ("chief", r"\bchief\b")], (1, 1)).alias("rung"))
+    """The rung that each part's own words name, taken as near to the band as they allow."""
+    return table(spark, d, "part").select("p_partkey", questions.rung(F.concat_ws(" ", "p_type", "p_name"), LEVELS, (1, 2)).alias("rung"))
 
 
 @query("""
@@ -196,11 +202,12 @@ def json_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_size < 10 THEN 'hourly' ELSE NULL END AS raw, CASE WHEN p_size < 10 THEN 'hour' END AS period, (p_size * 64)::BIGINT AS padded FROM part
+SELECT o_orderkey, replace(replace(lower(trim(o_orderpriority)), ' ', '_'), '-', '_') AS period, ((floor(o_totalprice)::BIGINT + 63) // 64 * 64)::BIGINT AS padded FROM orders
 """)
 def pay_periods(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.when(F.col("p_size") < 10, "hourly")
-    return table(spark, d, "part").select("p_partkey", raw.alias("raw"), time.period(raw).alias("period"), time.padded(F.col("p_size") * 64 - 3).cast("long").alias("padded"))
+    """Orders' priorities spelt as periods are, and their whole prices as tokens in whole blocks."""
+    tokens = F.floor("o_totalprice")
+    return table(spark, d, "orders").select("o_orderkey", time.period(F.col("o_orderpriority")).alias("period"), time.padded(tokens).cast("long").alias("padded"))
 
 
 def _reader_sql() -> str:

@@ -330,3 +330,21 @@ def test_reader_blocks(spark):
     }
     got = values(spark, reader.blocks, list(cases))
     assert [[tuple(b) for b in x] for x in got] == list(cases.values())
+
+
+@pytest.mark.parametrize("word, n", [("Seven", 7), ("12", 12), ("twelve", 12), ("zero", 0), ("many", None), ("", None), (None, None), ("+3", 3), ("1.5", None), ("99999999999", None)])
+def test_number(spark, word, n):
+    assert spark.createDataFrame([(word,)], "w string").select(questions.number(F.col("w"))).first()[0] == n
+
+
+@pytest.mark.parametrize("route, link", [
+    (" a@b.co", "mailto:a@b.co"), ("mailto:q@r.st", "mailto:q@r.st"), ("https://x.org/y?z", "https://x.org/y?z"), ("http://x.org:80", "http://x.org:80"), ("https://u@x.org/?y", None), ("https://u@x.org", "mailto:https://u@x.org"), ("x.org", None), ("a@b", None), ("", None), (None, None),
+])
+def test_contact_link(spark, route, link):
+    assert spark.createDataFrame([(route,)], "r string").select(questions.contact_link(F.col("r"))).first()[0] == link
+
+
+def test_period_and_padding(spark):
+    df = spark.createDataFrame([("hourly",), (" Per Hour-x",), ("",), (None,)], "p string")
+    assert [r[0] for r in df.select(time.period(F.col("p"))).collect()] == ["hour", "per_hour_x", None, None]
+    assert [r[0] for r in spark.createDataFrame([(0,), (1,), (64,), (65,)], "n int").select(time.padded(F.col("n"))).collect()] == [0, 64, 64, 128]
