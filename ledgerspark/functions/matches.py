@@ -1,4 +1,4 @@
-"""Where a pattern matches inside a text, as arrays, and what stands between the matches; Column expressions only.
+"""Where a pattern matches inside a text, as arrays, and what stands between the matches; Column expressions, but for runs of matches as rows.
 
 Places are in code points, ends exclusive. Patterns are Java's and match something; (?iU) makes case, words and digits
 those of all scripts.
@@ -6,12 +6,17 @@ those of all scripts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MATCH = "struct<start:int,end:int,quote:string>"
+#: How many matches are placed one by one.
+BLOCK = 16
+#: Rows of runs in a batch, at least.
+RUNS = 20_000
 
 
 #: Marks before and behind each match, which are no characters of any text.
@@ -27,19 +32,69 @@ def matches(text: Column, pattern: str) -> Column:
     """The matches of pattern in text, in order, as an array of (start, end, quote); null for null. One pass of the pattern marks
     them, and their places are read off what the marks part."""
 
+    # an array that grows by one member is written anew each time, so places are summed within blocks, and blocks by their lengths
+
     def placed(so_far: Column, part: Column) -> Column:
         quote = F.substring_index(part, _CLOSE, 1)
         end = so_far["at"] + F.length(quote)
         found = F.struct(so_far["at"].alias("start"), end.alias("end"), quote.alias("quote"))
         return F.struct((so_far["at"] + F.length(part) - 1).alias("at"), F.concat(so_far["found"], F.array(found)).alias("found"))
 
+    def block(parts: Column, at: Column) -> Column:
+        return F.aggregate(parts, F.struct(at.alias("at"), F.array().cast(f"array<{MATCH}>").alias("found")), placed, lambda a: a["found"])
+
+    def blocks(parts: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.size(parts) - 2, F.lit(BLOCK)), lambda i: F.slice(parts, i + 2, F.lit(BLOCK)))
+        chars = lambda b: F.aggregate(b, F.lit(0), lambda n, part: n + F.length(part) - 1)
+        starts = lambda c: F.aggregate(c, F.array(F.length(parts[0])), lambda so_far, b: F.concat(so_far, F.array(F.element_at(so_far, -1) + chars(b))))
+        return let(cut, lambda c: F.flatten(let(starts(c), lambda at: F.transform(c, lambda b, i: block(b, F.get(at, i))))))
+
     def read(parts: Column) -> Column:
-        none = F.struct(F.length(parts[0]).alias("at"), F.array().cast(f"array<{MATCH}>").alias("found"))
-        return F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, placed, lambda a: a["found"])
+        few = F.size(parts) <= BLOCK
+        return F.when(few, block(F.slice(parts, F.lit(2), F.lit(BLOCK)), F.length(parts[0]))).otherwise(blocks(parts))
 
     return let(F.split(F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}"), _OPEN, -1), lambda parts: F.when(parts.isNotNull(), read(parts)))
 
 
+def runs(rows: DataFrame, keys: list[str], text: str, pattern: str, lengths: list[int]) -> DataFrame:
+    """(keys, start, end, run) of the runs of so many matches of pattern in rows' texts, one row each, with what stands between them.
+
+    Java marks the matches; Arrow batches read the runs off the marks, in time linear in the runs.
+    """
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            own = [batch.column(k).take(pa.array(at, pa.int64())) for k in keys]
+            return pa.RecordBatch.from_arrays([*own, pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(said, pa.string())], [*keys, "start", "end", "run"])
+
+        for batch in batches:
+            at, starts, ends, said = [], [], [], []
+            for i, marked in enumerate(batch.column("__marked")):
+                if (t := marked.as_py()) is None:
+                    continue
+                head, *parts = t.split(_OPEN)
+                begins, stops, place = [], [], len(head)
+                for part in parts:
+                    begins.append(place)
+                    stops.append(place + part.index(_CLOSE))
+                    place += len(part) - 1
+                t = t.replace(_OPEN, "").replace(_CLOSE, "")
+                for n in lengths:
+                    last = stops[n - 1 :]
+                    starts += begins[: len(last)]
+                    ends += last
+                    said += [t[a:b] for a, b in zip(begins, last)]
+                at += [i] * (len(said) - len(at))
+                if len(said) >= RUNS:
+                    yield flush()
+                    at, starts, ends, said = [], [], [], []
+            yield flush()
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    marked = rows.select(*keys, F.regexp_replace(text, pattern, f"{_OPEN}$0{_CLOSE}").alias("__marked"))
+    return marked.mapInArrow(read, f"{kinds}, start int, end int, run string")
+
+
 def between(text: Column, start: Column, end: Column) -> Column:
     """text[start:end], empty where that is nothing."""
     start = F.greatest(start, F.lit(0))

@@ -48,20 +48,6 @@ def asserted(value: Column, start: Column, end: Column) -> Column:
     return ~F.exists(M.matches(value, DENIED), denies)
 
 
-def _runs(text: Column, lengths: list[int]) -> Column:
-    """(start, end, run) of the runs of so many words, as they stand in the text but in lower case, with one space for each gap."""
-
-    def of(words: Column) -> Column:
-        def run(i: Column, n: int) -> Column:
-            start, end = F.get(words, i)["start"], F.get(words, i + (n - 1))["end"]
-            return F.struct(start.alias("start"), end.alias("end"), F.lower(F.regexp_replace(M.between(text, start, end), r"\s+", " ")).alias("run"))
-
-        every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array(*(F.when(i + n <= F.size(words), run(i, n)) for n in lengths))))
-        return F.when(F.size(words) > 0, F.array_compact(every))
-
-    return M.let(M.matches(text, WORD), of)
-
-
 def index(facts: DataFrame, tools: tuple[str, ...] = ()) -> DataFrame:
     """(run, n, fact, kind) of facts (fact, value, kind): the variants that a fact states, of n words, each once a fact.
 
@@ -89,8 +75,8 @@ def matched(contexts: DataFrame, index_: DataFrame, key: str) -> DataFrame:
     """
     facts = stored(index_.groupBy("run", "n").agg(F.min(F.struct("fact", "kind")).alias("f")))
     lengths = sorted(r["n"] for r in facts.select("n").distinct().collect())
-    made = _runs(F.col("text"), lengths) if lengths else F.array().cast("array<struct<start:int,end:int,run:string>>")
-    runs = contexts.select(key, "context", F.explode(made).alias("r")).select(key, "context", "r.*")
+    # as they stand in the text but in lower case, with one space for each gap
+    runs = M.runs(contexts, [key, "context"], "text", WORD, lengths).withColumn("run", F.lower(F.regexp_replace("run", r"\s+", " ")))
     hits = runs.join(facts.drop("n"), "run").select(key, "context", F.struct("start", (-F.col("end")).alias("less"), "end", "run", "f.fact", "f.kind").alias("hit"))
     return hits.groupBy(key, "context").agg(F.sort_array(F.collect_list("hit")).alias("found")).select(key, "context", M.apart(F.col("found"), FOUND).alias("found"))
 

@@ -7,9 +7,12 @@ one equi-join. A placeholder that has been put in is not read again, so a name l
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ledgerspark.functions import matches as M
 from ledgerspark.sources.scratch import stored
@@ -25,7 +28,6 @@ PROTECTED = (
     "women in science", "women in tech", "society of women engineers", "girls who code", "women's association", "men's association",
 )
 WITHHELD = "[withheld]"
-NAME = "struct<start:int,less:int,end:int,placeholder:string>"
 
 
 def letters(index: Column) -> Column:
@@ -62,24 +64,26 @@ def replaced(rows: DataFrame, key: str, text: str, names: DataFrame) -> DataFram
     lengths = sorted(r["n"] for r in known.select("n").distinct().collect())
     t = F.col(text)
 
-    def runs(words: Column) -> Column:
-        def run(i: Column, n: int) -> Column:
-            start, end = F.get(words, i)["start"], F.get(words, i + (n - 1))["end"]
-            return F.struct(start.alias("start"), end.alias("end"), F.lower(M.between(t, start, end)).alias("run"))
+    hits = M.runs(rows, [key], text, WORD, lengths).withColumn("run", F.lower("run")).join(known.drop("n"), "run")
+    found = hits.groupBy(F.col(key).alias("__k")).agg(*(F.collect_list(c).alias(f"__{c}") for c in ("start", "end", "placeholder")))
+    return rows.select(key, text).join(found, F.col(key) == F.col("__k"), "left").select(key, F.when(F.col("__k").isNull(), t).otherwise(_put(t, "__start", "__end", "__placeholder")).alias(text))
 
-        every = F.transform(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array(*(F.when(i + n <= F.size(words), run(i, n)) for n in lengths)))
-        return F.when(F.size(words) > 0, F.array_compact(F.flatten(every)))
 
-    made = M.let(M.matches(t, WORD), runs) if lengths else F.array().cast("array<struct<start:int,end:int,run:string>>")
-    hits = rows.select(key, F.explode(made).alias("r")).select(key, "r.*").join(known.drop("n"), "run")
-    found = hits.groupBy(F.col(key).alias("__k")).agg(F.sort_array(F.collect_list(F.struct("start", (-F.col("end")).alias("less"), "end", "placeholder"))).alias("__found")).select("__k", M.apart(F.col("__found"), NAME).alias("__found"))
+@F.pandas_udf(StringType())
+def _put(text: pd.Series, start: pd.Series, end: pd.Series, placeholder: pd.Series) -> pd.Series:
+    """Texts with placeholders in the places found: of those that overlap the first, and of those that begin alike the longest."""
 
-    def put(so_far: Column, m: Column) -> Column:
-        return F.struct(m["end"].alias("at"), F.concat(so_far["out"], M.between(t, so_far["at"], m["start"]), m["placeholder"]).alias("out"))
+    def put(t: str | None, starts: Sequence[int] | None, ends: Sequence[int], placeholders: Sequence[str]) -> str | None:
+        if t is None or starts is None:
+            return t
+        out, at = [], 0
+        for a, _, b, said in sorted(zip(starts, (-b for b in ends), ends, placeholders)):
+            if a >= at:
+                out += [t[at:a], said]
+                at = b
+        return "".join(out) + t[at:]
 
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate("__found", none, put, lambda s: F.concat(s["out"], M.after(t, s["at"])))
-    return rows.join(found, F.col(key) == F.col("__k"), "left").select(key, F.coalesce(new, t).alias(text))
+    return pd.Series([put(*x) for x in zip(text, start, end, placeholder)], dtype=object)
 
 
 def denied(text: Column) -> Column:

@@ -7,6 +7,11 @@ one of two words a section of duties.
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,13 +31,29 @@ WORDS = {
 
 def posting(text: Column, words: dict[str, str] = WORDS) -> Column:
     """A document's text with the words of postings."""
-    pairs = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
-    said = F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at(pairs, F.lower(w)), w))
-    out = F.regexp_replace(F.array_join(said, ""), r"\. +", ".\n")
+    out = F.regexp_replace(_reworded(words)(text), r"\. +", ".\n")
     lines = F.transform(F.split(out, "\n", -1), lambda line: F.when(line.rlike(r"^[^ ]+\.$"), "Requirements:").when(line.rlike(r"^[^ ]+ [^ ]+\.$"), "Responsibilities:").otherwise(line))
     return F.array_join(lines, "\n")
 
 
+def _reworded(words: dict[str, str]) -> Callable[[Column], Column]:
+    """Texts with each run of letters that is one of words, whatever its case, put in other words. In Python, as an array of a
+    text's words costs a text more than all that is read in it."""
+
+    def reword(m: re.Match) -> str:
+        w = m[0]
+        if (new := words.get(w.lower())) is not None or w.isalpha():
+            return w if new is None else new
+        # numbers that are no digits, as in "the²", part letters
+        return "".join(words.get(run.lower(), run) for run in ("".join(g) for _, g in itertools.groupby(w, str.isalpha)))
+
+    @F.pandas_udf("string")
+    def reworded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: re.sub(r"[^\W\d_]+", reword, t), na_action="ignore")
+
+    return reworded
+
+
 def dealt(docs: DataFrame) -> DataFrame:
     """docs over all tasks, whatever their files: the rules cost a text far more than its way does."""
     return docs.repartition("doc_id", F.xxhash64("text"))
@@ -348,5 +369,5 @@ def names_known(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def placeholders(spark: SparkSession, d: str) -> DataFrame:
     """Documents with the known names replaced, and what is withheld."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = dealt(table(spark, d, "documents").select("doc_id", "text"))
     return P.scrubbed(docs, "doc_id", "text", P.named(names_known(spark, d), "at"))

@@ -1,6 +1,7 @@
 """Names in one pass against Python's own alternation, letters, and withholding."""
 
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -41,6 +42,15 @@ def test_ten_thousand_names(spark):
     assert scrubbed(spark, texts, names) == {i: (plain(t, names[:0] + names), None) for i, t in enumerate(texts)}
 
 
+def test_long_text(spark):
+    """A text of 40,000 words, half of them names: linear in the words, where an array that grew by each word took minutes."""
+    names = [("of", "Organisation A"), ("of the", "Organisation B")]
+    text = " ".join(f"w{i} of" + " the" * (i % 3) for i in range(20_000))
+    began = time.time()
+    assert scrubbed(spark, [text], names) == {0: (plain(text, names), None)}
+    assert time.time() - began < 30
+
+
 def test_letters_and_order(spark):
     n = [0, 25, 26, 27, 701, 702, 18277, 18278]
     assert [r[0] for r in spark.createDataFrame([(i,) for i in n], "i int").select(P.letters(F.col("i"))).collect()] == ["A", "Z", "AA", "AB", "ZZ", "AAA", "ZZZ", "AAAA"]
