@@ -122,7 +122,7 @@ def _parts(line: Column) -> Column:
 def hint(text: Column, heading: Column) -> Column:
     """How binding a text is: by what obliges in it, else what prefers or denies or a heading that does, else a heading that obliges."""
     return (
-        F.when(F.regexp_replace(text, NEGATED, " ").rlike(MANDATORY), "required")
+        F.when(text.rlike(MANDATORY) & F.regexp_replace(text, NEGATED, " ").rlike(MANDATORY), "required")
         .when(text.rlike(PREFERRED) | text.rlike(NEGATED) | F.coalesce(heading.rlike(PREFERRED), F.lit(False)), "preferred")
         .when(F.coalesce(heading.rlike(FIRM_HEADING), F.lit(False)), "required").otherwise("unknown")
     )
@@ -143,32 +143,41 @@ def atoms(spans_: DataFrame, key: str) -> DataFrame:
     text = F.col("text")
     found = lambda pattern, kind: F.transform(M.matches(text, pattern), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(kind).alias("kind"), m["quote"].alias("quote")))
     credentials = F.filter(found(CREDENTIAL, "credential"), lambda m: ~m["quote"].rlike(NO_CREDENTIAL))
-    every = F.array_sort(F.concat(found(YEARS, "years"), found(DEGREE, "degree"), credentials))
-    rows = spans_.withColumn("__every", every).withColumn("__kept", M.apart(F.col("__every"), ATOM))
-
-    def described(a: Column) -> Column:
-        tail, head = M.after(text, a["end"]), M.before(text, a["start"])
-        is_degree, is_years = a["kind"] == "degree", a["kind"] == "years"
-        nearest = F.array_min(F.filter(F.transform("__every", lambda o: o["start"]), lambda s: s >= a["end"]))
-        own = M.between(text, a["end"], F.coalesce(nearest, F.length(text)))
-        own = F.when(own.rlike(r"(?iU)^\s*plus\s*$") & nearest.isNotNull(), "").otherwise(own)
+    every = F.sort_array(F.concat(found(YEARS, "years"), found(DEGREE, "degree"), credentials))
+
+    def described(a: Column, starts: Column) -> Column:
+        # lambdas evaluate what they name each time it is named, so parts are let once
+        nearest = F.array_min(F.filter(starts, lambda s: s >= a["end"]))
+        return M.let(F.struct(M.after(text, a["end"]).alias("tail"), nearest.alias("nearest")), lambda x: M.let(M.between(text, a["end"], F.coalesce(x["nearest"], F.length(text))), lambda own: read(a, x["tail"], F.when(own.rlike(r"(?iU)^\s*plus\s*$") & x["nearest"].isNotNull(), "").otherwise(own))))
+
+    def degree(a: Column, tail: Column) -> Column:
         bare = F.regexp_replace(F.lower(a["quote"]), "[^a-z]", "")
-        level = F.lit(None).cast("string")
-        for name, pattern in reversed(LADDER):
-            level = F.when(bare.rlike(pattern), name).otherwise(level) if pattern else F.lit(name)
-        rest = M.first_piece(tail, DEGREE_ENDS)
-        clause = F.concat(M.last_piece(head, DEGREE_ENDS), a["quote"], rest)
-        field = M.first_piece(F.regexp_extract(F.regexp_replace(rest, r"(?U)^\s+", ""), FIELD, 1), FIELD_ENDS)
-        fields = F.filter(F.transform(F.regexp_extract_all(field, F.lit("[A-Za-z]+"), F.lit(0)), F.lower), lambda w: ~w.isin(*NO_FIELD))
+
+        def named(b: Column) -> Column:
+            level = F.lit(None).cast("string")
+            for name, pattern in reversed(LADDER):
+                level = F.when(b.rlike(pattern), name).otherwise(level) if pattern else F.lit(name)
+            return level
+
+        def clause(c: Column, rest: Column) -> Column:
+            field = M.first_piece(F.regexp_extract(F.regexp_replace(rest, r"(?U)^\s+", ""), FIELD, 1), FIELD_ENDS)
+            fields = F.filter(F.transform(F.regexp_extract_all(field, F.lit("[A-Za-z]+"), F.lit(0)), F.lower), lambda w: ~w.isin(*NO_FIELD))
+            attainment = F.when(c.rlike(AWARDED), "awarded").when(c.rlike(EITHER), "either").otherwise("unknown")
+            return F.struct(M.let(bare, named).alias("level"), attainment.alias("attainment"), fields.alias("fields"), c.rlike(r"(?iU)\bor equivalent\b").alias("or_equivalent"))
+
+        return M.let(M.first_piece(tail, DEGREE_ENDS), lambda rest: M.let(F.concat(M.last_piece(M.before(text, a["start"]), DEGREE_ENDS), a["quote"], rest), lambda c: clause(c, rest)))
+
+    def read(a: Column, tail: Column, own: Column) -> Column:
+        is_years = a["kind"] == "years"
         low, high = number(F.regexp_extract(a["quote"], YEARS_PARTS, 1)), number(F.regexp_extract(a["quote"], YEARS_PARTS, 2))
-        return F.struct(
-            (F.col("start") + a["start"]).alias("start"), (F.col("start") + a["end"]).alias("end"), a["kind"].alias("kind"), a["quote"].alias("quote"), hint(own, F.lit(None).cast("string")).alias("hint"),
+        return M.let(F.when(a["kind"] == "degree", degree(a, tail)), lambda g: F.struct(
+            (F.col("start") + a["start"]).alias("start"), (F.col("start") + a["end"]).alias("end"), a["kind"].alias("kind"), a["quote"].alias("quote"), M.let(own, lambda o: hint(o, F.lit(None).cast("string"))).alias("hint"),
             F.when(is_years, low).alias("years_min"), F.when(is_years, high).alias("years_max"), F.when(is_years, F.btrim(F.regexp_extract(tail, SCOPE, 0))).alias("scope"),
-            F.when(is_degree, level).alias("level"), F.when(is_degree, F.when(clause.rlike(AWARDED), "awarded").when(clause.rlike(EITHER), "either").otherwise("unknown")).alias("attainment"),
-            F.when(is_degree, fields).alias("fields"), F.when(is_degree, clause.rlike(r"(?iU)\bor equivalent\b")).alias("or_equivalent"),
-        )
+            g["level"].alias("level"), g["attainment"].alias("attainment"), g["fields"].alias("fields"), g["or_equivalent"].alias("or_equivalent"),
+        ))
 
-    return rows.withColumn("atoms", F.transform("__kept", described)).drop("__every", "__kept")
+    described_all = lambda all_: M.let(F.transform(all_, lambda o: o["start"]), lambda starts: F.transform(M.apart(all_, ATOM), lambda a: described(a, starts)))
+    return spans_.withColumn("atoms", M.let(every, described_all))
 
 
 def _tokens(text: Column, kept: Column, start: Column) -> Column:
