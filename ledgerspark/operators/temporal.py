@@ -17,9 +17,13 @@ def guaranteed(start: Column, end: Column) -> Column:
 
 
 def occupied_months(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """(keys, months): distinct months that the key's intervals touch, both ends included."""
-    each = rows.where(F.col(start) <= F.col(end)).select(*keys, F.explode(F.sequence(start, end)).alias("m")).distinct()
-    return each.groupBy(*keys).agg(F.count("*").alias("months"))
+    """(keys, months): distinct months that the key's intervals touch, both ends included.
+
+    Of each interval, in order of start, what lies behind the ends of those before it counts, so that no month is a row.
+    """
+    w = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    each = rows.where(F.col(start) <= F.col(end)).withColumn("__new", F.col(end) - F.greatest(F.col(start), F.max(end).over(w) + 1) + 1)
+    return each.groupBy(*keys).agg(F.sum(F.greatest("__new", F.lit(0)).cast("long")).alias("months"))
 
 
 def segments(active: DataFrame, keys: list[str], month: str = "month", members: str = "members") -> DataFrame:
