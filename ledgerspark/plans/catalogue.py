@@ -434,7 +434,9 @@ def month_segments(spark: SparkSession, d: str) -> DataFrame:
     """Runs of months in which the same orders are under way for certain: months strictly inside each."""
     line = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min(temporal.month(F.col("l_shipdate"))).alias("start"), F.max(temporal.month(F.col("l_shipdate"))).alias("end"))
     rows = table(spark, d, "orders").join(line, F.col("o_orderkey") == F.col("l_orderkey")).where(F.col("end") - F.col("start") >= 2)
-    inside = rows.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), F.explode(F.sequence(F.col("start") + 1, F.col("end") - 1)).alias("month"))
+    # dealt by customer before months are rows, so that only orders are shuffled
+    rows = rows.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), "start", "end").repartition("k")
+    inside = rows.select("k", "id", F.explode(F.sequence(F.col("start") + 1, F.col("end") - 1)).alias("month"))
     active = inside.groupBy("k", "month").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("members"))
     return temporal.segments(active, ["k"])
 
