@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerspark.operators import ledger, scores
 from ledgerspark.plans.catalogue import query, table
 from ledgerspark.sources import csv, paged, view
-from ledgerspark.sources.scratch import folder
+from ledgerspark.sources.scratch import folder, stored
 from ledgerspark.streaming import budget
 
 
@@ -216,7 +216,7 @@ def paged_scan(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "pages").select(F.split_part("url", F.lit("/"), F.lit(3)).alias("board"), "page_id", "url")
     place = F.row_number().over(Window.partitionBy("board").orderBy("page_id")) - 1
     listing = pages.select("board", place.cast("long").alias("place"), F.col("page_id").cast("string").alias("key"), F.col("url").alias("path"), F.lit(None).cast("string").alias("row"))
-    to, boards = folder(spark), pages.select("board")
+    to, boards = folder(spark), stored(pages.select("board").distinct())
     while paged.advance(spark, to, boards, paged.recorded(listing), "2026-03-01T08:00:00", pages=10):
         pass
     return paged.seen(spark, to).select(F.col("key").cast("long").alias("page_id"), "board", "run", "offset")

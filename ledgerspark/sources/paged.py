@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerspark.sources.scratch import stored
+
 STATES = ("new", "partial", "complete", "stalled", "failed")
 ENTRY = "struct<key:string,path:string,row:string>"
 PAGES = f"board string, offset long, total long, entries array<{ENTRY}>, error string"
@@ -27,10 +29,14 @@ Fetch = Callable[[DataFrame], DataFrame]
 def recorded(listing: DataFrame) -> Fetch:
     """Pages of a recorded listing (board, place from 0, key, path, row). A board that has nothing there has an empty page."""
 
+    totals = stored(listing.groupBy(F.col("board").alias("__b")).agg(F.count("*").alias("total")))
+    # by place, so that a window reads its own files and not the whole listing
+    every = stored(listing.select(F.col("board").alias("__b"), "place", F.struct("key", "path", "row").cast(ENTRY).alias("entry")).repartitionByRange("place").sortWithinPartitions("place"))
+
     def fetch(wanted: DataFrame) -> DataFrame:
-        totals = listing.groupBy(F.col("board").alias("__b")).agg(F.count("*").alias("total"))
         asked = wanted.join(totals, F.col("board") == F.col("__b"), "left").select("board", "start", "pages", "page_limit", F.coalesce("total", F.lit(0)).alias("total"))
-        rows = listing.select(F.col("board").alias("__b"), "place", F.struct("key", "path", "row").cast(ENTRY).alias("entry"))
+        low, high = wanted.agg(F.min("start"), F.max(F.col("start") + F.col("pages") * F.col("page_limit"))).first()
+        rows = every.where((F.col("place") >= F.lit(low).cast("long")) & (F.col("place") < F.lit(high).cast("long")))
         inside = (F.col("board") == F.col("__b")) & (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("pages") * F.col("page_limit"))
         page = F.col("start") + F.expr("(place - start) div page_limit") * F.col("page_limit")
         found = asked.join(rows, inside, "left").groupBy("board", F.coalesce(page, "start").alias("offset"), "total")
