@@ -10,9 +10,9 @@ identities.
 
 from __future__ import annotations
 
-import bisect
 import heapq
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,27 +33,50 @@ class _Group:
     """What a new member has to agree with: the group's destination, the strong requisition of those that share it, and, of members
     without a destination, one requisition and the ways in which it is theirs."""
 
+    __slots__ = ("identity", "destination", "strong", "requisition", "ways", "bound", "version")
+
     def __init__(self, identity: str) -> None:
-        self.identity, self.destination, self.strong = identity, "", ""
+        self.identity, self.destination, self.strong, self.version = identity, "", "", 0
         self.requisition: str | None = None  # that of all members; "" once they differ
-        self.ways: set[tuple] = set()  # of all members
-        self.bound: set[tuple] = set()  # of those without a destination
+        self.ways = self.bound = frozenset()  # of all members, and of those without a destination
 
-    def add(self, m, way: tuple) -> None:
+    def add(self, m, way: tuple) -> bool:
+        """Whether what later members have to agree with has changed."""
+        old = (self.destination, self.strong, self.requisition, self.ways, self.bound)
         self.requisition = m.requisition if self.requisition in (None, m.requisition) else ""
-        self.ways.add(way)
+        self.ways = self.ways if way in self.ways else self.ways | {way}
         if m.destination:
             self.destination = m.destination
             self.strong = self.strong or (m.requisition if m.strong else "")
-        else:
-            self.bound.add(way)
+        elif way not in self.bound:
+            self.bound = self.bound | {way}
+        return old != (self.destination, self.strong, self.requisition, self.ways, self.bound)
+
+
+class _Waiting:
+    """Groups, as heaps of (place, version), by what a member is asked; a group that has changed since is skipped. Those that would
+    answer alike are asked once, however many they are."""
+
+    def __init__(self, groups: list[_Group]) -> None:
+        self.groups = groups
+        self.by: dict = defaultdict(dict)
 
-    def takes(self, m, way: tuple) -> bool:
-        if not m.destination:  # it shares nothing but a requisition, so with all of them
-            return self.requisition == m.requisition != "" and all(_shared(way, w) for w in self.ways)
-        if m.strong and m.requisition and self.strong not in ("", m.requisition):
-            return False
-        return not self.bound or (self.requisition == m.requisition != "" and all(_shared(way, w) for w in self.bound))
+    def put(self, key: str, asked, at: int) -> None:
+        heapq.heappush(self.by[key].setdefault(asked, []), (at, self.groups[at].version))
+
+    def first(self, key: str, takes: Callable) -> int | None:
+        best, empty = None, []
+        heaps = self.by.get(key, {})
+        for asked, heap in heaps.items():
+            while heap and self.groups[heap[0][0]].version != heap[0][1]:
+                heapq.heappop(heap)
+            if not heap:
+                empty.append(asked)
+            elif (best is None or heap[0][0] < best) and takes(asked):
+                best = heap[0][0]
+        for asked in empty:
+            del heaps[asked]
+        return best
 
 
 def _shared(a: tuple, b: tuple) -> bool:
@@ -62,36 +85,51 @@ def _shared(a: tuple, b: tuple) -> bool:
     return bool((own and a[2] and a[1:3] == b[1:3]) or (not own and a[3] and a[3] == b[3]))
 
 
-def _grouped(g: pd.DataFrame) -> pd.DataFrame:
-    """The groups of one component's identities, in order of their best members.
+class _Component:
+    """The groups of one component's identities, which come best first.
 
-    A member can only join groups of its destination, and those without one that are of its requisition, so that groups are
-    looked up by these, and each is asked by what it keeps of its members rather than member by member.
+    A member can only join groups of its destination, and those without one that are of its requisition; a member without a
+    destination only those of its requisition.
     """
-    of_destination: dict[str, list[int]] = defaultdict(list)
-    of_requisition: dict[str, list[int]] = defaultdict(list)  # groups that had one requisition when they began
-    groups: list[_Group] = []
-    out = []
-    for m in g.sort_values("place").itertuples():
+
+    def __init__(self) -> None:
+        self.groups: list[_Group] = []
+        self.of_destination, self.open_, self.of_requisition = (_Waiting(self.groups) for _ in range(3))
+
+    def joined(self, m) -> str:
         way = (m.requisition_source == "external_id", m.source, m.board, m.employer)
-        led = of_requisition[m.requisition] if m.requisition else []
-        if m.destination:  # groups of its destination, and those that have none yet
-            open_ = (i for i in led if not groups[i].destination)
-            asked = heapq.merge(of_destination[m.destination], open_)
+        agrees = lambda ways: all(_shared(way, w) for w in ways)
+        if m.destination:
+            found = [self.of_destination.first(m.destination, lambda x: not (m.strong and m.requisition and x[0] not in ("", m.requisition)) and (not x[2] or (x[1] == m.requisition != "" and agrees(x[2]))))]
+            found += [self.open_.first(m.requisition, agrees)] if m.requisition else []
         else:
-            asked = led
-        at = next((i for i in asked if groups[i].takes(m, way)), None)
+            found = [self.of_requisition.first(m.requisition, agrees)]
+        at = min((i for i in found if i is not None), default=None)
         if at is None:
-            at = len(groups)
-            groups.append(_Group(m.identity))
-            if m.requisition:
-                of_requisition[m.requisition].append(at)
-        new = m.destination and groups[at].destination != m.destination
-        groups[at].add(m, way)
-        if new:
-            bisect.insort(of_destination[m.destination], at)
-        out.append((m.identity, groups[at].identity))
-    return pd.DataFrame(out, columns=["identity", "group"])
+            at = len(self.groups)
+            self.groups.append(_Group(m.identity))
+        g = self.groups[at]
+        if g.add(m, way):
+            g.version += 1
+            if g.destination:
+                self.of_destination.put(g.destination, (g.strong, g.requisition, g.bound), at)
+            if g.requisition:
+                self.of_requisition.put(g.requisition, g.ways, at)
+                if not g.destination:
+                    self.open_.put(g.requisition, g.ways, at)
+        return g.identity
+
+
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(identity, group) of identities that come component by component, the best first in each; what is kept is groups, not members."""
+    root, component = None, None
+    for b in batches:
+        out = []
+        for m in b.itertuples(index=False):
+            if m.root != root:
+                root, component = m.root, _Component()
+            out.append((m.identity, component.joined(m)))
+        yield pd.DataFrame(out, columns=["identity", "group"])
 
 
 def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -120,7 +158,7 @@ def duplicates(members: DataFrame, key: str, ranked: Column) -> DataFrame:
     # a component's identities are ranked by one number, as structs do not reach the workers in order
     place = F.concat_ws("|", F.lpad(F.col("r.a").cast("string"), 1, "0"), F.col("r.b").cast("string"), F.col("r.c").cast("string"), F.lpad(F.format_string("%.6f", F.col("r.d")), 24, "0"), F.lpad(F.col("r.e").cast("string"), 24, "0"))
     rows = best.join(root.withColumnRenamed("node", "identity"), "identity").select("root", "identity", place.alias("place"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c != "strong" else F.coalesce("strong", F.lit(False)).alias("strong") for c in IDENTITY))
-    groups = rows.groupBy("root").applyInPandas(lambda g: _grouped(g), "identity string, group string")
+    groups = rows.repartition("root").sortWithinPartitions("root", "place").mapInPandas(_grouped, "identity string, group string")
     winner = best.select(F.col("identity").alias("group"), F.col(key).alias("winner"))
     found = m.select(key, "identity").join(groups, "identity").join(winner, "group").select(F.col(key).alias("__k"), "winner")
     return members.select(key).join(found, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("winner", F.col(key)).alias("winner"))
