@@ -16,23 +16,33 @@ NIGHT = r"(?iU)\b(?:nights?|overnight|graveyard|third)\s+shifts?\b"
 RULED_OUT = {"weekdays_only": ("weekend", "night"), "no_weekends": ("weekend",), "no_nights": ("night",), "no_preference": ()}
 
 
-def _first(text: Column, pattern: str) -> Column:
-    """The first match that is neither a wish nor denied; null if there is none."""
-    stands = F.filter(M.matches(text, pattern), lambda m: ~authorization.denied(text, m["start"], m["quote"]))
-    both = F.struct(stands.alias("stands"), education.sections(text).alias("headings"))
-    first = M.let(both, lambda x: F.get(F.filter(x["stands"], lambda m: ~education.wished(text, m, x["headings"])), F.lit(0)))
-    return F.when(text.rlike(pattern), first)
+def _found(text: Column, pattern: str) -> Column:
+    """The matches of pattern; null if there is none."""
+    return F.when(text.rlike(pattern), M.matches(text, pattern))
+
+
+def _first(text: Column, found: Column, headings: Column) -> Column:
+    """The first of matches that is neither a wish nor denied, those behind it are not judged; null if there is none."""
+    stands = lambda m: ~authorization.denied(text, m["start"], m["quote"]) & ~education.wished(text, m, headings)
+    return F.aggregate(found, F.lit(None).cast(M.MATCH), lambda so_far, m: F.coalesce(so_far, F.when(stands(m), m)))
 
 
 def stated(title: Column, description: Column) -> Column:
     """(weekend, night): quotes with what stands around them, null where nothing is stated. description keeps its lines. A null is
     empty; a weekend in the title counts alone, one in the description beside a word for work."""
     quoted = lambda text, m: F.when(m.isNotNull(), F.concat(F.lit("'"), excerpt(text, m["start"], m["end"]), F.lit("'")))
-    said = lambda text, pattern: M.let(_first(text, pattern), lambda m: quoted(text, m))
+    said = lambda text, found, headings: M.let(_first(text, found, headings), lambda m: quoted(text, m))
 
     def read(x: Column) -> Column:
-        weekend = F.coalesce(said(x["text"], WEEKEND), said(x["title"], WEEKEND_TITLE))
-        return F.struct(weekend.alias("weekend"), said(x["text"], NIGHT).alias("night"))
+        text, title = x["text"], x["title"]
+        found = F.struct(_found(text, WEEKEND).alias("weekend"), _found(text, NIGHT).alias("night"))
+
+        def judged(f: Column, headings: Column) -> Column:
+            # a title is one line, so it has no headings
+            weekend = F.coalesce(said(text, f["weekend"], headings), said(title, _found(title, WEEKEND_TITLE), headings))
+            return F.struct(weekend.alias("weekend"), said(text, f["night"], headings).alias("night"))
+
+        return M.let(found, lambda f: M.let(F.when(f["weekend"].isNotNull() | f["night"].isNotNull(), education.sections(text)), lambda h: judged(f, h)))
 
     title, description = F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))
     return M.let(F.struct(title.alias("title"), F.concat(title, F.lit("\n"), description).alias("text")), read)

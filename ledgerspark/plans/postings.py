@@ -40,16 +40,20 @@ def _reworded(words: dict[str, str]) -> Callable[[Column], Column]:
     """Texts with each run of letters that is one of words, whatever its case, put in other words. In Python, as an array of a
     text's words costs a text more than all that is read in it."""
 
-    def reword(m: re.Match) -> str:
-        w = m[0]
-        if (new := words.get(w.lower())) is not None or w.isalpha():
-            return w if new is None else new
+    run, get = re.compile(r"([^\W\d_]+)"), words.get
+
+    def parted(w: str) -> str:
         # numbers that are no digits, as in "the²", part letters
-        return "".join(words.get(run.lower(), run) for run in ("".join(g) for _, g in itertools.groupby(w, str.isalpha)))
+        return "".join(get(x.lower(), x) for x in ("".join(g) for _, g in itertools.groupby(w, str.isalpha)))
+
+    def reword(t: str) -> str:
+        parts = run.split(t)  # what stands between runs, and each run behind it
+        parts[1::2] = [(w if w.isalpha() else parted(w)) if (new := get(w.lower())) is None else new for w in parts[1::2]]
+        return "".join(parts)
 
     @F.pandas_udf("string")
     def reworded(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: re.sub(r"[^\W\d_]+", reword, t), na_action="ignore")
+        return texts.map(reword, na_action="ignore")
 
     return reworded
 

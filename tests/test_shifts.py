@@ -1,8 +1,12 @@
 """Weekend and night shifts: wording, wishes, denials, titles, snippets."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerspark.functions import matches as M
+from ledgerspark.operators import education
 from ledgerspark.operators import shifts as S
 
 CASES = [
@@ -41,3 +45,25 @@ def test_shift_reasons(judged):
 def test_shift_preferences():
     with pytest.raises(KeyError):
         S.shift(F.col("said"), F.lit(False), "mornings")
+
+
+def test_shift_is_judged_to_the_first(spark):
+    """What stands behind the first match that counts is not judged: each judgement reads the text up to its match."""
+    title = F.lit("Technician")
+    text = F.array_join(F.array_repeat(F.lit("Requirements:\nA night shift, a weekend shift."), 6_000), "\n")
+    began = time.time()
+    got = [r["said"] for r in spark.range(4).select(S.stated(title, F.concat(text, F.col("id").cast("string"))).alias("said")).collect()]
+    assert all("night shift" in x["night"] and "weekend shift" in x["weekend"] for x in got) and time.time() - began < 30
+
+
+def test_sections_of_odd_lines(spark):
+    """Headings against a plain reading of all lines."""
+    heads = ["Requirements", " required  Skills::", "Preferred qualifications :", "Minimum experience", "nice to have", "Bonus points for:", " SKILLS\r", "Skills\r:", "my skills", "skills x", "x" * 90 + " skills", " " * 95 + "skills", "preferred", "experience"]
+    texts = ["\n".join(heads), "\n\n".join(reversed(heads)), "Required\nSkills", "skills\n", "\nskills", "", "\n", "a skills\nb\u0085skills", "\r\nSkills:\r\nx", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    label = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), ":+$", "")
+    lines = F.filter(M.matches(t, r"[^\n]+"), lambda m: (m["end"] - m["start"] < 100) & label(m["quote"]).rlike(education.SECTION))
+    plain = F.transform(lines, lambda m: F.struct(m["end"].alias("end"), m["quote"].rlike(education.PREFERENCE).alias("wish")))
+    rows = df.select(education.sections(t).alias("got"), plain.alias("want")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows] and len(rows[0]["got"]) > 5
