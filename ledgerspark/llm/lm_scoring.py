@@ -37,6 +37,7 @@ END_ID, END_HASH = 49407, 1
 DOCS_A_TASK, ROUNDS, BATCH = 640, 1, 32
 MEMORY, CACHE, MOST_KNOWN = 0.55, 0.15, 1 << 20
 RATE = 0.01
+SAFE = 60
 
 
 def rows_of(ids: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -59,9 +60,13 @@ def laid_out(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, np.flatnonzero(full)
 
 
-def mask() -> np.ndarray:
-    """A query at HALF + i sees keys up to HALF + i."""
-    return np.where(np.arange(2 * HALF) <= HALF + np.arange(HALF)[:, None], 0.0, -1e9).astype(np.float32)
+#: A query at HALF + i sees keys up to HALF + i.
+MASK = np.where(np.arange(2 * HALF) <= HALF + np.arange(HALF)[:, None], 0.0, -1e9).astype(np.float32)
+
+
+def extreme(x: np.ndarray) -> bool:
+    """Whether exp of x, and sums of it, could leave the range of floats; if not, no row's greatest need be taken off first."""
+    return len(x) > 0 and (x.max() > SAFE or x.min() < -SAFE)
 
 
 def fresh(seed: int = 0) -> dict[str, np.ndarray]:
@@ -78,12 +83,15 @@ def forward(p: dict, rows: np.ndarray, empty: np.ndarray) -> dict:
     q, k, v = (flat(xq) @ p["q"]).reshape(b, HALF, DIM), (flat(x) @ p["k"]).reshape(b, 2 * HALF, DIM), (flat(x) @ p["v"]).reshape(b, 2 * HALF, DIM)
     s = q @ k.transpose(0, 2, 1)
     s *= s.dtype.type(1 / math.sqrt(DIM))
-    s += p["near"] + mask()
+    s += p["near"]
+    far = extreme(s)
+    s += MASK
     some = np.flatnonzero(empty.any(axis=1))
     s[some] += (empty[some] * np.float32(-1e9))[:, None, :]
-    s -= s.max(axis=2, keepdims=True)
+    if far:
+        s -= s.max(axis=2, keepdims=True)
     a = np.exp(s, out=s)
-    a /= a.sum(axis=2, keepdims=True)
+    a /= (flat(a) @ np.ones(2 * HALF, a.dtype)).reshape(b, HALF, 1)
     o = a @ v
     z = flat(xq) @ p["x"]
     z += flat(o) @ p["o"]
@@ -91,7 +99,8 @@ def forward(p: dict, rows: np.ndarray, empty: np.ndarray) -> dict:
     np.maximum(z, 0, out=z)
     logits = z @ p["u"]
     logits += p["c"]
-    logits -= logits.max(axis=1, keepdims=True)
+    if extreme(logits):
+        logits -= logits.max(axis=1, keepdims=True)
     return {"x": x, "xq": xq, "q": q, "k": k, "v": v, "a": a, "o": o, "z": z, "logits": logits}
 
 
@@ -99,12 +108,13 @@ def gradients(p: dict, f: dict, rows: np.ndarray, classes: np.ndarray, counts: n
     """Of the mean cross entropy over the places where counts is 1; of E for `rows` only. Uses f's arrays up."""
     b, flat = len(rows), lambda a: a.reshape(-1, a.shape[-1])
     d = np.exp(f["logits"], out=f["logits"])
-    weight = counts.ravel() / max(counts.sum(), 1)
-    d *= (weight / d.sum(axis=1)).astype(d.dtype)[:, None]
-    d[np.arange(len(d)), classes.ravel()] -= weight.astype(d.dtype)
+    total = d @ np.ones(d.shape[1], d.dtype)
+    d[np.arange(len(d)), classes.ravel()] -= total
+    scale = (counts.ravel() / max(counts.sum(), 1) / total).astype(d.dtype)  # of d's rows, put on what is narrower than d
     z, o, xq, x = f["z"], flat(f["o"]), flat(f["xq"]), flat(f["x"])
-    g = {"u": z.T @ d, "c": d.sum(axis=0)}
+    g = {"u": (z * scale[:, None]).T @ d, "c": scale @ d}
     dz = d @ p["u"].T
+    dz *= scale[:, None]
     dz *= z > 0
     g |= {"x": xq.T @ dz, "o": o.T @ dz, "h": dz.sum(axis=0)}
     do = (dz @ p["o"].T).reshape(b, HALF, DIM)
@@ -117,7 +127,7 @@ def gradients(p: dict, f: dict, rows: np.ndarray, classes: np.ndarray, counts: n
     g |= {"q": xq.T @ dq, "k": x.T @ dk, "v": x.T @ dv}
     dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(b, 2 * HALF, DIM)
     dx[:, HALF:] += (dq @ p["q"].T + dz @ p["x"].T).reshape(b, HALF, DIM)
-    order = np.argsort(rows.ravel(), kind="stable")
+    order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")  # START fits
     r = rows.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     return g | {"E": np.add.reduceat(flat(dx)[order], first, axis=0), "rows": r[first]}
@@ -242,19 +252,23 @@ def _descended(p: dict, ids: np.ndarray, ends: np.ndarray, rank: np.ndarray, cla
     target, counts = np.zeros(rows.shape[0] * HALF, np.int64), np.zeros(rows.shape[0] * HALF, np.float32)
     target[at], counts[at] = classes[ids], 1
     target, counts = target.reshape(-1, HALF), counts.reshape(-1, HALF)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    names = [k for k in p if k != "E"]
+    dense = np.concatenate([p[k].ravel() for k in names])  # all but the embedding lie in one row, so that a step is few calls
+    cuts = np.cumsum([p[k].size for k in names])[:-1]
+    p = {"E": p["E"]} | {k: x.reshape(p[k].shape) for k, x in zip(names, np.split(dense, cuts))}
+    means = [(x, np.zeros_like(x), np.zeros_like(x)) for x in (dense, p["E"])]
     order = np.random.default_rng(turn).permutation(len(rows))
     for t, a in enumerate(range(0, len(order), BATCH)):
         b = order[a : a + BATCH]
         g = gradients(p, forward(p, rows[b], empty[b]), rows[b], target[b], counts[b])
         rate = RATE * (1 - 0.8 * a / len(order)) * math.sqrt(1 - 0.98 ** (t + 1)) / (1 - 0.9 ** (t + 1))
-        for k in p:
-            at = g["rows"] if k == "E" else slice(None)  # embeddings that a step does not meet keep their means
-            mk, vk = m[k][at], v[k][at]
-            mk += 0.1 * (g[k] - mk)
-            vk += 0.02 * (g[k] * g[k] - vk)
-            m[k][at], v[k][at] = mk, vk
-            p[k][at] -= np.float32(rate) * mk / (np.sqrt(vk) + np.float32(1e-6))
+        # embeddings that a step does not meet keep their means
+        for (x, m, v), at, gx in zip(means, (slice(None), g["rows"]), (np.concatenate([g[k].ravel() for k in names]), g["E"])):
+            mk, vk = m[at], v[at]
+            mk += 0.1 * (gx - mk)
+            vk += 0.02 * (gx * gx - vk)
+            m[at], v[at] = mk, vk
+            x[at] -= np.float32(rate) * mk / (np.sqrt(vk) + np.float32(1e-6))
     return p
 
 
@@ -266,7 +280,7 @@ def log_probabilities(model: dict, ids: np.ndarray, ends: np.ndarray, step: int
     out = []
     for a in range(0, len(rows), step):
         logits = forward(model["params"], rows[a : a + step], empty[a : a + step])["logits"]
-        out.append(logits[np.arange(len(logits)), target[a * HALF : a * HALF + len(logits)]] - np.log(np.exp(logits, out=logits).sum(axis=1)))
+        out.append(logits[np.arange(len(logits)), target[a * HALF : a * HALF + len(logits)]] - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)))
     return np.concatenate(out)[at].astype(float) + model["within"][ids] if out else np.zeros(0)
 
 
@@ -294,7 +308,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def earlier(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each word how often it comes, and how many words there are, before it among those of its owner."""
-    order = np.lexsort((np.arange(len(h)), h, owner))
+    order = np.lexsort((h, owner))  # keeps the order of what is equal
     new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])]) if len(h) else np.zeros(0, bool)
     at = np.arange(len(h))
     same = np.empty(len(h), np.int64)

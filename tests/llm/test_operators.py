@@ -586,6 +586,45 @@ def test_attention_gradients():
     assert np.allclose(lm_scoring.forward(p, rows, empty)["logits"].reshape(was.shape)[:, :-1], was[:, :-1])
 
 
+def test_descent_plainly():
+    """Steps over one row of all dense parameters are Adam's, parameter by parameter."""
+    M = lm_scoring
+    r = np.random.default_rng(4)
+    rank, classes = r.permutation(50000), r.integers(0, M.CLASSES, 50000)
+    ids, ends = r.integers(0, 300, 4000), np.array([700, 701, 2500, 4000])
+    got = M._descended(M.fresh(), ids, ends, rank, classes, 1)
+    rows, empty, at = M.windows(ids, ends, rank)
+    target, counts = np.zeros(len(rows) * M.HALF, int), np.zeros(len(rows) * M.HALF, np.float32)
+    target[at], counts[at] = classes[ids], 1
+    target, counts, order = target.reshape(-1, M.HALF), counts.reshape(-1, M.HALF), np.random.default_rng(1).permutation(len(rows))
+    p = M.fresh()
+    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    for t, a in enumerate(range(0, len(order), M.BATCH)):
+        b = order[a : a + M.BATCH]
+        g = M.gradients(p, M.forward(p, rows[b], empty[b]), rows[b], target[b], counts[b])
+        rate = M.RATE * (1 - 0.8 * a / len(order)) * math.sqrt(1 - 0.98 ** (t + 1)) / (1 - 0.9 ** (t + 1))
+        for k in p:
+            at = g["rows"] if k == "E" else slice(None)
+            m[k][at] = 0.9 * m[k][at] + 0.1 * g[k]
+            v[k][at] = 0.98 * v[k][at] + 0.02 * g[k] ** 2
+            p[k][at] -= rate * m[k][at] / (np.sqrt(v[k][at]) + 1e-6)
+    assert list(got) == list(p) and all(np.allclose(got[k], p[k], atol=1e-3) for k in p)
+    assert all(np.shares_memory(got[k], got["u"].base) for k in got if k != "E")
+
+
+@pytest.mark.parametrize("scale", [1, 3000])
+def test_log_probabilities_of_extremes(scale):
+    """Logits and attention scores beyond what exp takes give the probabilities of doubles."""
+    M = lm_scoring
+    r = np.random.default_rng(5)
+    p = {k: (x * scale if k in "uq" else x) for k, x in M.fresh(2).items()}
+    model = {"params": p, "rank": r.permutation(50000), "classes": r.integers(0, M.CLASSES, 50000), "within": np.zeros(50000)}
+    ids, ends = r.integers(0, 300, 500), np.array([1, 90, 500])
+    got = M.log_probabilities(model, ids, ends)
+    exact = M.log_probabilities(model | {"params": {k: x.astype(float) for k, x in p.items()}}, ids, ends)
+    assert np.isfinite(got).all() and (got < 1e-3).all() and np.allclose(got, exact, rtol=1e-2, atol=0.01 * scale)
+
+
 def test_training_order(spark, documents):
     n = 1000
     slots = training_order.permuted(np.arange(n), n, 5)
