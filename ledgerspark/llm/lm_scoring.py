@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import drop, drop_since, stored, summed, table, written
-from .minhash_dedup import Powers, chunks, hashed_words
+from .minhash_dedup import Powers, chunks, hashed_words, located_words
 from .tokens import coder, word_bpe
 
 DIM, HIDDEN, HALF, CLASSES = 16, 32, 16, 192
@@ -75,62 +75,71 @@ def fresh(seed: int = 0) -> dict[str, np.ndarray]:
     return {n: (r.normal(0, 0.3 if n == "E" else 1 / math.sqrt(s[0]), s) * (len(s) > 1 and n != "near")).astype(np.float32) for n, s in shape.items()}
 
 
+def flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
 def forward(p: dict, rows: np.ndarray, empty: np.ndarray) -> dict:
     """rows, empty: (windows, 2 * HALF), the embedding's row for each id's predecessor and whether there is none. logits: a row a place."""
-    b, flat = len(rows), lambda a: a.reshape(-1, a.shape[-1])
-    x = p["E"][rows]
+    x = p["E"].take(rows, axis=0)
     xq = np.ascontiguousarray(x[:, HALF:])
-    q, k, v = (flat(xq) @ p["q"]).reshape(b, HALF, DIM), (flat(x) @ p["k"]).reshape(b, 2 * HALF, DIM), (flat(x) @ p["v"]).reshape(b, 2 * HALF, DIM)
+    q, k, v = flat(xq) @ p["q"], flat(x) @ p["k"], flat(x) @ p["v"]
+    q *= q.dtype.type(1 / math.sqrt(DIM))
+    z = flat(xq) @ p["x"]
+    z += p["h"]
+    return {"x": x, "xq": xq} | attended(p, q.reshape(xq.shape), k.reshape(x.shape), v.reshape(x.shape), z, empty)
+
+
+def attended(p: dict, q: np.ndarray, k: np.ndarray, v: np.ndarray, z: np.ndarray, empty: np.ndarray) -> dict:
+    """The rest of forward(), from what its ids' rows are projected to: q (scaled), k, v, and z, the hidden layer's share of the id itself."""
     s = q @ k.transpose(0, 2, 1)
-    s *= s.dtype.type(1 / math.sqrt(DIM))
     s += p["near"]
     far = extreme(s)
     s += MASK
-    some = np.flatnonzero(empty.any(axis=1))
-    s[some] += (empty[some] * np.float32(-1e9))[:, None, :]
+    some = np.flatnonzero(empty @ np.ones(2 * HALF, empty.dtype))
+    if len(some):
+        s[some] += (empty[some] * np.float32(-1e9))[:, None, :]
     if far:
         s -= s.max(axis=2, keepdims=True)
     a = np.exp(s, out=s)
-    a /= (flat(a) @ np.ones(2 * HALF, a.dtype)).reshape(b, HALF, 1)
+    a /= (flat(a) @ np.ones(2 * HALF, a.dtype)).reshape(len(q), HALF, 1)
     o = a @ v
-    z = flat(xq) @ p["x"]
     z += flat(o) @ p["o"]
-    z += p["h"]
-    np.maximum(z, 0, out=z)
-    logits = z @ p["u"]
-    logits += p["c"]
+    top = np.ones((len(z), HIDDEN + 1), z.dtype)  # its last column takes c in
+    np.maximum(z, 0, out=top[:, :HIDDEN])
+    logits = top @ np.concatenate([p["u"], p["c"][None]])
     if extreme(logits):
         logits -= logits.max(axis=1, keepdims=True)
-    return {"x": x, "xq": xq, "q": q, "k": k, "v": v, "a": a, "o": o, "z": z, "logits": logits}
+    return {"q": q, "k": k, "v": v, "a": a, "o": o, "top": top, "logits": logits}
 
 
 def gradients(p: dict, f: dict, rows: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross entropy over the places where counts is 1; of E for `rows` only. Uses f's arrays up."""
-    b, flat = len(rows), lambda a: a.reshape(-1, a.shape[-1])
+    b = len(rows)
     d = np.exp(f["logits"], out=f["logits"])
     total = d @ np.ones(d.shape[1], d.dtype)
     d[np.arange(len(d)), classes.ravel()] -= total
     scale = (counts.ravel() / max(counts.sum(), 1) / total).astype(d.dtype)  # of d's rows, put on what is narrower than d
-    z, o, xq, x = f["z"], flat(f["o"]), flat(f["xq"]), flat(f["x"])
-    g = {"u": (z * scale[:, None]).T @ d, "c": scale @ d}
+    top, o, xq, x = f["top"], flat(f["o"]), flat(f["xq"]), flat(f["x"])
+    u = (top * scale[:, None]).T @ d
+    g = {"u": u[:-1], "c": u[-1]}
     dz = d @ p["u"].T
     dz *= scale[:, None]
-    dz *= z > 0
+    dz *= top[:, :-1] > 0
     g |= {"x": xq.T @ dz, "o": o.T @ dz, "h": dz.sum(axis=0)}
     do = (dz @ p["o"].T).reshape(b, HALF, DIM)
     ds = do @ f["v"].transpose(0, 2, 1)
     ds -= np.einsum("bij,bij->bi", ds, f["a"])[..., None]
     ds *= f["a"]
     g["near"] = ds.sum(axis=0)
-    ds *= ds.dtype.type(1 / math.sqrt(DIM))
-    dq, dk, dv = flat(ds @ f["k"]), flat(ds.transpose(0, 2, 1) @ f["q"]), flat(f["a"].transpose(0, 2, 1) @ do)
+    dq, dk, dv = flat(ds @ f["k"]) * ds.dtype.type(1 / math.sqrt(DIM)), flat(ds.transpose(0, 2, 1) @ f["q"]), flat(f["a"].transpose(0, 2, 1) @ do)
     g |= {"q": xq.T @ dq, "k": x.T @ dk, "v": x.T @ dv}
     dx = (dk @ p["k"].T + dv @ p["v"].T).reshape(b, 2 * HALF, DIM)
     dx[:, HALF:] += (dq @ p["q"].T + dz @ p["x"].T).reshape(b, HALF, DIM)
     order = np.argsort(rows.ravel().astype(np.uint16), kind="stable")  # START fits
     r = rows.ravel()[order]
     first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    return g | {"E": np.add.reduceat(flat(dx)[order], first, axis=0), "rows": r[first]}
+    return g | {"E": np.add.reduceat(flat(dx).take(order, axis=0), first, axis=0), "rows": r[first]}
 
 
 def windows(ids: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -148,9 +157,9 @@ def windows(ids: np.ndarray, ends: np.ndarray, rank: np.ndarray) -> tuple[np.nda
     return by(row), by(empty), where[place // HALF] * HALF + place % HALF
 
 
-def subwords(texts: list[bytes], tokenizer: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids of all texts with END_ID behind each, where each text's ids end, where each word's and end's ids end)."""
-    ids, sizes, first = coder(tokenizer).spans(texts)
+def subwords(texts: list[bytes], tokenizer: str, located: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts with END_ID behind each, where each text's ids end, where each word's and end's ids end); located: located_words() of the texts, if known."""
+    ids, sizes, first = coder(tokenizer).spans(texts, located)
     text_ends = np.concatenate([[0], np.cumsum(sizes)])[first[1:]]
     ids = np.insert(ids.astype(np.int64), text_ends, END_ID)
     of_unit = np.cumsum(np.insert(sizes, first[1:], 1))
@@ -277,10 +286,14 @@ def log_probabilities(model: dict, ids: np.ndarray, ends: np.ndarray, step: int
     rows, empty, at = windows(ids, ends, model["rank"])
     target = np.zeros(rows.shape[0] * HALF, np.int64)
     target[at] = model["classes"][ids]
-    out = []
+    p, out = model["params"], []
+    # each row of the embedding is projected once, not wherever it comes
+    q, z, k, v = p["E"] @ p["q"] * p["q"].dtype.type(1 / math.sqrt(DIM)), p["E"] @ p["x"] + p["h"], p["E"] @ p["k"], p["E"] @ p["v"]
     for a in range(0, len(rows), step):
-        logits = forward(model["params"], rows[a : a + step], empty[a : a + step])["logits"]
-        out.append(logits[np.arange(len(logits)), target[a * HALF : a * HALF + len(logits)]] - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)))
+        own, seen = np.ascontiguousarray(rows[a : a + step, HALF:]), rows[a : a + step]
+        logits = attended(p, q.take(own, axis=0), k.take(seen, axis=0), v.take(seen, axis=0), flat(z.take(own, axis=0)), empty[a : a + step])["logits"]
+        hit = logits[np.arange(len(logits)), target[a * HALF : a * HALF + len(logits)]]
+        out.append(hit - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype)))
     return np.concatenate(out)[at].astype(float) + model["within"][ids] if out else np.zeros(0)
 
 
@@ -336,8 +349,8 @@ def scored(docs: DataFrame, training: DataFrame, tokenizer: str | None = None) -
         model, words, uses = shared.value
         powers, row = Powers(), TaskContext.get().partitionId() << 40
         for ids, texts in chunks(batches):
-            hashed, first = hashed_words(texts, powers)
-            subs, text_ends, unit_ends = subwords(texts, tokenizer)
+            hashed, first = (located := located_words(texts, powers))[:2]
+            subs, text_ends, unit_ends = subwords(texts, tokenizer, located)
             logs = np.concatenate([[0.0], np.cumsum(log_probabilities(model, subs, text_ends))])
             unit = logs[unit_ends] - logs[np.concatenate([[0], unit_ends[:-1]])]
             # units are the words with the end behind each text's

@@ -106,16 +106,18 @@ class WordCoder:
         if len(plain):
             self._add(keys[plain], *self._encoded([words[i] for i in plain]))
 
-    def spans(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all words of all texts, how many each word has, each text's first word and the end)."""
+    def spans(self, texts: list[bytes], located: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words of all texts, how many each word has, each text's first word and the end); located: located_words() of the texts, if known."""
         if len(self.keys) > self.most_words:
             again = np.flatnonzero(self.met > 1)
             self._forget(again if len(again) <= self.most_words // 2 else again[:0])
-        return self._spans(texts)
+        return self._spans(texts, located)
 
-    def _spans(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        hashed, first, joined, starts, ends = located_words(texts, self.powers)
+    def _spans(self, texts: list[bytes], located: tuple | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hashed, first, joined, starts, ends = located or located_words(texts, self.powers)
         odd = np.unique(np.searchsorted(starts, [m.start() for m in self.special.finditer(joined)], "right") - 1) if self.special else np.zeros(0, int)
+        if len(odd):
+            hashed = hashed.copy()  # the caller's stay
         for i in odd.tolist():
             hashed[i] = int.from_bytes(hashlib.blake2b(joined[starts[i] : ends[i]], digest_size=8).digest())
         keys, some, back = np.unique(hashed, return_index=True, return_inverse=True)

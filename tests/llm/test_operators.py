@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -625,6 +626,33 @@ def test_log_probabilities_of_extremes(scale):
     assert np.isfinite(got).all() and (got < 1e-3).all() and np.allclose(got, exact, rtol=1e-2, atol=0.01 * scale)
 
 
+def test_log_probabilities_by_forward():
+    """What rows of the embedding are projected to beforehand gives what forward() gives window by window."""
+    M = lm_scoring
+    r = np.random.default_rng(6)
+    p = {k: x + r.normal(0, 0.1, x.shape).astype(np.float32) for k, x in M.fresh(4).items()}
+    model = {"params": p, "rank": r.permutation(50000), "classes": r.integers(0, M.CLASSES, 50000), "within": r.normal(0, 1, 50000)}
+    ids, ends = r.integers(0, 3000, 3000), np.array([1, 17, 900, 916, 3000])
+    rows, empty, at = M.windows(ids, ends, model["rank"])
+    logits = M.forward(p, rows, empty)["logits"].astype(float)[at]
+    want = logits[np.arange(len(ids)), model["classes"][ids]] - np.log(np.exp(logits).sum(axis=1)) + model["within"][ids]
+    for step in (3, 64):
+        assert np.allclose(M.log_probabilities(model, ids, ends, step), want, atol=1e-4)
+
+
+def test_subwords_of_located_words(monkeypatch):
+    """Words that are located already are not located again, and their hashes stay, special tokens' too."""
+    M, tokens = lm_scoring, sys.modules[lm_scoring.coder.__module__]
+    special = next(iter(M.coder(M.word_bpe()).tokenizer.get_added_tokens_decoder().values())).content
+    texts = [b"The cat, the dog", b"", f"a {special} b{special.upper()} cat".encode()]
+    want = M.subwords(texts, M.word_bpe())
+    located = tokens.located_words(texts, M.Powers())
+    before = located[0].copy()
+    monkeypatch.setattr(tokens, "located_words", None)
+    got = M.subwords(texts, M.word_bpe(), located)
+    assert all((a == b).all() for a, b in zip(got, want)) and (located[0] == before).all()
+
+
 def test_training_order(spark, documents):
     n = 1000
     slots = training_order.permuted(np.arange(n), n, 5)
