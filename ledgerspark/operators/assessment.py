@@ -1,14 +1,19 @@
 """How a posting fits a candidate: facts matched by an inverted index of their words, clauses that no fact covers, and a verdict.
 
 Contexts are texts of a posting (its title, what it requires, prefers or describes). A fact's variants, runs of its words,
-are rows, and so are the runs of a context's words; they meet in one equi-join on the run, so that neither facts nor
-variants are tried one by one. Of matches that overlap, the first and longest one stays.
+are rows; a context's runs of words meet them in a table that each task holds, where a candidate's variants are few enough
+for that, and else in one equi-join on the run, so that neither facts nor variants are tried one by one. Of matches that
+overlap, the first and longest one stays.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +39,14 @@ CLAUSES = r"(?iU)\s+(?:(?!and/or\b)and|as well as)\s+|,\s+(?:and\s+)?"
 CREDENTIAL = r"(?iU)\b(?:certificat(?:e|ion)|licen[cs]e|security clearance|export.control|U\.?S\.? persons?|citizenship|work authori[sz]ation)\b"
 TENURE = r"(?iU)\b(?:\d+(?:\.\d+)?|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\+?\s+(?:years?|months?)\b"
 
+#: The most variants that a task holds; beyond that contexts and variants are joined.
+MOST_HELD = 50_000
+#: WORD, CLAUSES and Java's \s for a text without underscores, and white space of all scripts.
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_WORD, _PARTS = re.compile(r"[\w+#]+(?:[-.'’][\w+#]+)*"), re.compile(r"([\w+#]+(?:[-.'’][\w+#]+)*)")
+_CLAUSES = re.compile(rf"{_WHITE}+(?:and|as well as){_WHITE}+|,{_WHITE}+(?:and{_WHITE}+)?", re.I)
+_GAP, _SPACED, _ODD = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"[\t\n\x0b\f\r]|  "), re.compile("[\u0130\u03a3]")
+
 FOUND = "struct<start:int,less:int,end:int,run:string,fact:string,kind:string>"
 
 
@@ -99,11 +112,98 @@ def assessed(contexts: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """
     none = F.array().cast(f"array<{FOUND}>")
     rows = contexts.join(found.withColumnRenamed(key, "__k").withColumnRenamed("context", "__c"), (F.col(key) == F.col("__k")) & (F.col("context") == F.col("__c")), "left").drop("__k", "__c")
-    rows = rows.withColumn("found", F.coalesce("found", none)).withColumn("asks_credential", F.col("text").rlike(CREDENTIAL))
+    rows = rows.withColumn("found", F.coalesce("found", none))
     covers = lambda c: F.exists("found", lambda f: F.greatest(f["start"], c["start"]) < F.least(f["end"], c["end"]))
-    gaps = F.transform(F.filter(clauses(F.col("text")), lambda c: ~covers(c)), lambda c: F.btrim(c["quote"]))
+    return _evident(rows.withColumn("gaps", F.transform(F.filter(clauses(F.col("text")), lambda c: ~covers(c)), lambda c: F.btrim(c["quote"]))))
+
+
+def _evident(rows: DataFrame) -> DataFrame:
     counts = lambda f: ~F.col("asks_credential") | (f["kind"] == "credential")
-    return rows.withColumn("evidence", F.exists("found", counts)).withColumn("gaps", gaps)
+    return rows.withColumn("asks_credential", F.col("text").rlike(CREDENTIAL)).withColumn("evidence", F.exists("found", counts))
+
+
+class _Held:
+    """Variants in a worker's memory: (run, n, fact, kind), tried where a text has their first two words, the longest first."""
+
+    def __init__(self, variants_: list[tuple[str, int, str, str]]) -> None:
+        self.facts: dict[str, tuple] = {}
+        lengths: dict[tuple[str, str], set[int]] = {}
+        self.single: set[str] = set()
+        for run, _, fact, kind in sorted(variants_, key=lambda v: [(x is not None, x or "") for x in v[2:]], reverse=True):
+            low = run.lower()
+            if words := _WORD.findall(low.replace("_", " ")):
+                self.facts[low] = (run, fact, kind)
+                if len(words) > 1:
+                    lengths.setdefault((words[0], words[1]), set()).add(len(words))
+                else:
+                    self.single.add(words[0])
+        self.pairs = {w: sorted(n, reverse=True) for w, n in lengths.items()}
+        self.lengths = sorted({n for _, n, *_ in variants_}, reverse=True)
+
+    def found(self, text: str) -> list[tuple]:
+        """The FOUND of a text."""
+        low = text.lower()
+        if odd := _ODD.search(text):  # a letter that becomes two marks, which part words otherwise, or one that becomes what those around it make of it
+            at = [m.span() for m in _WORD.finditer(text.replace("_", " "))]
+            tried = [(i, self.lengths) for i in range(len(at))]
+        else:
+            parts = _PARTS.split(low.replace("_", " "))
+            words = parts[1::2]
+            tried = [(i, self.pairs.get(p, ())) for i, p in enumerate(zip(words, [*words[1:], ""])) if p in self.pairs or p[0] in self.single]
+            if not tried:
+                return []
+            ends = list(accumulate(map(len, parts)))
+            at = list(zip(ends[::2], ends[1::2]))
+        spaced = _SPACED.search(text)
+        out, begin = [], 0
+        for i, lengths in tried:
+            start = at[i][0]
+            if start < begin:
+                continue
+            for n in (*lengths, 1):
+                if i + n > len(at):
+                    continue
+                end = at[i + n - 1][1]
+                quote = text[start:end].lower() if odd else low[start:end]
+                if fact := self.facts.get(_GAP.sub(" ", quote) if spaced else quote):
+                    out.append((start, -end, end, *fact))
+                    begin = end
+                    break
+        return out
+
+
+def _gaps(text: str, found: list[tuple]) -> list[str]:
+    """A text's clauses that none of found covers."""
+    out, begin = [], 0
+    for end, after in (*(m.span() for m in _CLAUSES.finditer(text)), (len(text), 0)):
+        if (said := text[begin:end].strip(" ")) and not any(max(f[0], begin) < min(f[2], end) for f in found):
+            out.append(said)
+        begin = after
+    return out
+
+
+_FOUND = pa.list_(pa.struct([("start", pa.int32()), ("less", pa.int32()), ("end", pa.int32()), ("run", pa.string()), ("fact", pa.string()), ("kind", pa.string())]))
+
+
+def fitted(contexts: DataFrame, index_: DataFrame, key: str, gaps: bool = True) -> DataFrame:
+    """assessed(contexts, matched(contexts, index_)) in one pass over contexts, without a shuffle of their texts, where variants are
+    at most MOST_HELD; without gaps there are none to know of."""
+    held = index_.groupBy("run", "n").agg(F.min(F.struct("fact", "kind")).alias("f")).select("run", "n", "f.*").limit(MOST_HELD + 1).collect()
+    if len(held) > MOST_HELD:
+        return assessed(contexts, matched(contexts, index_, key), key)
+    known = [tuple(r) for r in held]
+    names = [f.name for f in _FOUND.value_type]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        facts = _Held(known)
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = [facts.found(t) if t else [] for t in texts]
+            missing = [None if t is None else _gaps(t, f) for t, f in zip(texts, found)] if gaps else [None] * len(texts)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([[dict(zip(names, f)) for f in fs] for fs in found], _FOUND), pa.array(missing, pa.list_(pa.string()))], [*batch.schema.names, "found", "gaps"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contexts.schema)
+    return _evident(contexts.mapInArrow(read, f"{kinds}, found array<{FOUND}>, gaps array<string>"))
 
 
 def verdicts(postings: DataFrame, rows: DataFrame, key: str) -> DataFrame:

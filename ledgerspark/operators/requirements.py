@@ -2,14 +2,16 @@
 
 A text's lines under a heading of requirements, or with wording that obliges, are spans; in a span, years, degrees and
 credentials are atoms, and the words between them may join them to a tree of AND and OR. Everything is Columns, windows
-and joins, but for the tree of one span, which a small function in Arrow batches builds from a list of tokens.
+and joins, but for the walk down a text's lines and the tree of one span, which small functions in Arrow batches make.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +38,8 @@ DUTIES = (
 OTHER = r"(?iU)^(?:about (?:the role|us|the company)|position summary|pay (?:and|&) benefits|privacy notice)$"
 BREAK = "[section break]"
 HEADING_OR = r"(?iU)\s*(?:/|&|\band\b)\s*"
+#: White space of all scripts, as (?U)\s has it.
+WHITE = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 FIRM_HEADING = r"(?iU)\b(?:basic|required|minimum|essential)\b"
 #: Sentences on what the employer itself uses, unless they speak of candidates.
 EMPLOYER = (
@@ -85,7 +89,7 @@ def spans(each: DataFrame, key: str, marked: Column | None = None) -> DataFrame:
 
     A heading says what section its lines belong to until the next one; marked says which lines are headings by their
     markup. hint is required, preferred or unknown. Empty lines, lines on duties and on the employer's own tools are no
-    spans; a line of more than LONG_LINE characters is parted at sentence ends.
+    spans; a line of more than LONG_LINE characters is parted at sentence ends. text_spans does the same from whole texts.
     """
     shown = F.regexp_replace("line", r"(?U)^\s+|\s+$", "")
     label = F.rtrim(shown, F.lit(":"))
@@ -107,6 +111,143 @@ def spans(each: DataFrame, key: str, marked: Column | None = None) -> DataFrame:
     return rows.select(key, "span", "start", (F.col("start") + F.length("text")).alias("end"), "text", "heading", hint(F.col("text"), F.col("heading")).alias("hint"))
 
 
+def _compiled(pattern: str) -> re.Pattern:
+    """One of the patterns above, for what _plain makes of a text."""
+    return re.compile(pattern.removeprefix("(?iU)"), re.I)
+
+
+_PATTERNS = {name: _compiled(globals()[name]) for name in ("MANDATORY", "NEGATED", "PREFERRED", "ELIGIBILITY", "REQUIREMENTS", "DUTIES", "OTHER", "HEADING_OR", "FIRM_HEADING", "EMPLOYER", "CANDIDATE")}
+_SENTENCE = re.compile(SENTENCE, re.ASCII)
+#: What a text that a pattern matches holds, in lower case, or begins with: looked for first, as that is far cheaper.
+_HELD = {"MANDATORY": ("required", "must", "minimum", "need", "at least"), "NEGATED": ("required", "need not"), "PREFERRED": ("preferred", "desired", "nice to have", "bonus", "plus", "optional"), "ELIGIBILITY": ("contingent", "eligible for")}
+_BEGUN = {
+    "REQUIREMENTS": ("basic", "required", "minimum", "essential", "preferred", "desired", "requirement", "qualification", "skill", "education", "experience", "licen", "certification", "what", "who", "about"),
+    "DUTIES": ("key", "main", "your", "essential", "responsibilities", "duties", "what", "primary", "core", "job", "position", "additional"), "OTHER": ("about", "position", "pay", "privacy"), "EMPLOYER": ("our", "we", "the"),
+}
+
+_HEADINGS_BEGIN = (*_BEGUN["REQUIREMENTS"], *_BEGUN["DUTIES"], *_BEGUN["OTHER"], BREAK)
+
+
+def _word(c: str) -> bool:
+    """Whether a character is one of Java's (?U)\\w."""
+    kind = unicodedata.category(c)
+    return kind[0] in "LM" or kind in ("Nd", "Nl", "Pc") or c in "\u200c\u200d" or any(a <= c <= b for a, b in ("Ⓐⓩ", "🄰🅉", "🅐🅩", "🅰🆉"))
+
+
+class _Alike(dict):
+    """Of characters that Java's patterns take otherwise than Python's, others that Python takes as Java takes these; the rest as they are."""
+
+    def __missing__(self, i: int) -> str:
+        c = chr(i)
+        same = _word(c) == (c.isalnum() or c == "_")
+        new = "\n" if c in "\r\x85\u2028\u2029" else "\0" if 0x1C <= i < 0x20 else c if same else "_" if _word(c) else "\0"
+        self[i] = new
+        return new
+
+
+_ALIKE = _Alike()
+#: Characters that may be taken otherwise; most texts have none.
+_OTHERWISE = re.compile("[^\t\n\x0b\f -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u02c1\u2010-\u2027]")
+
+
+def _plain(text: str) -> str:
+    return text.translate(_ALIKE) if _OTHERWISE.search(text) else text
+
+
+class _Read:
+    """A text that patterns are asked of, each after the words that it needs."""
+
+    def __init__(self, text: str) -> None:
+        self.raw, self.low = text, text.lower()
+        if not text.isascii():  # letters that patterns in any case take for s and i
+            self.low = self.low.replace("\u017f", "s").replace("\u0131", "i").replace("i\u0307", "i")
+
+    @cached_property
+    def text(self) -> str:
+        return _plain(self.raw)
+
+    def has(self, name: str) -> bool:
+        if name in _BEGUN:
+            return self.low.startswith(_BEGUN[name]) and _PATTERNS[name].search(self.text) is not None
+        for w in _HELD.get(name, ("",)):
+            if w in self.low:
+                return _PATTERNS[name].search(self.text) is not None
+        return False
+
+    def asks(self) -> bool:
+        """Whether a label is a heading of requirements."""
+        return self.low.startswith(_BEGUN["REQUIREMENTS"]) and all(_PATTERNS["REQUIREMENTS"].search(p) for p in _PATTERNS["HEADING_OR"].split(self.text))
+
+    def obliges(self) -> bool:
+        return self.has("MANDATORY") and (not self.has("NEGATED") or bool(_PATTERNS["MANDATORY"].search(_PATTERNS["NEGATED"].sub(" ", self.text))))
+
+
+def _hint(read: _Read, obliges: bool, heading: str | None) -> str:
+    """hint, of one text."""
+    if obliges:
+        return "required"
+    if read.has("PREFERRED") or read.has("NEGATED") or heading is not None and _Read(heading).has("PREFERRED"):
+        return "preferred"
+    return "required" if heading is not None and _PATTERNS["FIRM_HEADING"].search(_plain(heading)) else "unknown"
+
+
+def _walked(text: str) -> Iterator[tuple[int, str, str | None, str]]:
+    """The (start, text, heading, hint) of a text's spans."""
+    heading, asks, duties, at = None, False, False, 0
+    for line in text.split("\n"):
+        begin, at = at, at + len(line) + 1
+        if not (shown := line.strip(WHITE)):
+            continue
+        read = _Read(shown)
+        if read.low.startswith(_HEADINGS_BEGIN):
+            label = shown.rstrip(":")
+            named = read if label == shown else _Read(label)
+            wanted, work = named.asks(), named.has("DUTIES")
+            if wanted or work or shown == BREAK or named.has("OTHER"):
+                heading, asks, duties = None if shown == BREAK else label, wanted or shown.endswith(":") and named.has("PREFERRED"), work
+                continue
+        if duties or not ((obliges := read.obliges()) or asks or read.has("ELIGIBILITY")) or read.has("EMPLOYER") and not read.has("CANDIDATE"):
+            continue
+        if len(line) <= LONG_LINE:
+            yield begin + line.index(shown), shown, heading, _hint(read, obliges, heading)
+            continue
+        cut = 0
+        for a, e in (*((m.start(), m.end()) for m in _SENTENCE.finditer(line)), (len(line), cut + len(line) + LEAST_PART)):
+            if e - cut >= LEAST_PART:
+                part, begins, cut = line[cut:a], cut, e
+                if said := part.strip(WHITE):
+                    read = _Read(said)
+                    yield begin + begins + part.index(said), said, heading, _hint(read, read.obliges(), heading)
+
+
+def text_spans(docs: DataFrame, key: str, text: str, title: bool = False) -> DataFrame:
+    """The spans of docs' texts, as spans(lines(docs)) has them, without a shuffle: Arrow batches walk down the lines of a text. With
+    title, span 0 is a text's first line as it stands, without a hint; that of a null text is null."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], [key, "span", "start", "text", "heading", "hint"])
+
+        for batch in batches:
+            at, rows = [], []
+            for i, said in enumerate(batch.column(1)):
+                said = said.as_py()
+                if title:
+                    rows.append((0, 0, said and said.partition("\n")[0], None, None))
+                if said is not None:
+                    rows += [(n, *r) for n, r in enumerate(_walked(said), 1)]
+                at += [i] * (len(rows) - len(at))
+                if len(rows) >= M.RUNS:
+                    yield flush()
+                    at, rows = [], []
+            yield flush()
+
+    rows = docs.select(key, text).mapInArrow(walk, f"`{key}` {docs.schema[key].dataType.simpleString()}, span int, start int, text string, heading string, hint string")
+    return rows.select(key, "span", "start", (F.col("start") + F.length("text")).alias("end"), "text", "heading", "hint")
+
+
 def _parts(line: Column) -> Column:
     """The (start, end) that a line is parted into: itself, or at sentence ends behind LEAST_PART characters or more."""
     whole = F.array(F.struct(F.lit(0).alias("start"), F.length(line).alias("end")))

@@ -31,16 +31,22 @@ WORDS = {
 
 def posting(text: Column, words: dict[str, str] = WORDS) -> Column:
     """A document's text with the words of postings."""
-    out = F.regexp_replace(_reworded(words)(text), r"\. +", ".\n")
-    lines = F.transform(F.split(out, "\n", -1), lambda line: F.when(line.rlike(r"^[^ ]+\.$"), "Requirements:").when(line.rlike(r"^[^ ]+ [^ ]+\.$"), "Responsibilities:").otherwise(line))
-    return F.array_join(lines, "\n")
+    return _reworded(words)(text)
+
+
+#: How many pieces of text a task remembers, and the longest of them.
+PIECES, PIECE = 100_000, 40
+_MARKS = (".", ",", ";", ":", "!", "?", ")")
+#: What a line may end with behind its last full stop.
+_BREAKS = "\r\x85\u2028\u2029"
 
 
 def _reworded(words: dict[str, str]) -> Callable[[Column], Column]:
-    """Texts with each run of letters that is one of words, whatever its case, put in other words. In Python, as an array of a
-    text's words costs a text more than all that is read in it."""
+    """Texts with each run of letters that is one of words, whatever its case, put in other words, a line for each sentence, and
+    headings for lines of one and two words. In Python, as an array of a text's words costs a text more than all that is read
+    in it; what stands between two spaces is reworded by itself, and remembered."""
 
-    run, get = re.compile(r"([^\W\d_]+)"), words.get
+    run, get, ends = re.compile(r"([^\W\d_]+)"), words.get, re.compile(r"\. +")
 
     def parted(w: str) -> str:
         # numbers that are no digits, as in "the²", part letters
@@ -51,9 +57,27 @@ def _reworded(words: dict[str, str]) -> Callable[[Column], Column]:
         parts[1::2] = [(w if w.isalpha() else parted(w)) if (new := get(w.lower())) is None else new for w in parts[1::2]]
         return "".join(parts)
 
+    class Known(dict):
+        def __missing__(self, piece: str) -> str:
+            word, mark = (piece[:-1], piece[-1]) if piece[-1:] in _MARKS else (piece, "")
+            new = get(word.lower(), word) + mark if word.isalpha() else reword(piece)
+            if len(piece) <= PIECE and len(self) < PIECES:
+                self[piece] = new
+            return new
+
+    def line(t: str) -> str:
+        spaces = t.count(" ")
+        if spaces > 1 or not (said := t[:-1] if t[-1:] in _BREAKS else t).endswith("."):
+            return t
+        if not spaces:
+            return "Requirements:" if len(said) > 1 else t
+        at = said.index(" ")
+        return "Responsibilities:" if 0 < at < len(said) - 2 else t
+
     @F.pandas_udf("string")
     def reworded(texts: pd.Series) -> pd.Series:
-        return texts.map(reword, na_action="ignore")
+        known = Known()
+        return texts.map(lambda t: "\n".join(map(line, ends.sub(".\n", " ".join(map(known.__getitem__, t.split(" ")))).split("\n"))), na_action="ignore")
 
     return reworded
 
@@ -124,7 +148,7 @@ def rules_work_auth(spark: SparkSession, d: str) -> DataFrame:
 
 def requirement_nodes(spark: SparkSession, d: str) -> DataFrame:
     docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", posting(F.col("text")).alias("text"))
-    return requirements.nodes(requirements.atoms(requirements.spans(requirements.lines(docs, "doc_id", "text"), "doc_id"), "doc_id"), "doc_id")
+    return requirements.nodes(requirements.atoms(requirements.text_spans(docs, "doc_id", "text"), "doc_id"), "doc_id")
 
 
 @query(None)
@@ -154,7 +178,7 @@ def requirement_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Of each posting with spans: flags on authorisation, whether sponsorship is a conflict, first days and graduations that
     fit, and the first spans on recent graduates and on grades."""
     docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", posting(F.col("text")).alias("text"))
-    s = requirements.spans(requirements.lines(docs, "doc_id", "text"), "doc_id")
+    s = requirements.text_spans(docs, "doc_id", "text")
     text = F.col("text")
     begins, ends = requirements.availability(text, CANDIDATE)
     s = s.select("doc_id", "span", requirements.authorization_flags(text).alias("flags"), begins.alias("begins"), ends.alias("ends"), text.rlike(requirements.RECENT).alias("recent"), text.rlike(requirements.GRADES).alias("grades"))
@@ -260,9 +284,8 @@ def fit_facts(spark: SparkSession, d: str) -> DataFrame:
 def fit_contexts(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, context, source, text): context 0 is the title, the others are the spans of requirements."""
     docs = dealt(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", posting(F.col("text")).alias("text"))
-    spans = requirements.spans(requirements.lines(docs, "doc_id", "text"), "doc_id")
-    title = docs.select("doc_id", F.lit(0).alias("context"), F.lit("title").alias("source"), F.substring_index("text", "\n", 1).alias("text"))
-    return title.union(spans.select("doc_id", "span", F.when(F.col("hint") == "preferred", "preferred").otherwise("required"), "text"))
+    source = F.when(F.col("span") == 0, "title").when(F.col("hint") == "preferred", "preferred").otherwise("required")
+    return requirements.text_spans(docs, "doc_id", "text", title=True).select("doc_id", F.col("span").alias("context"), source.alias("source"), "text")
 
 
 def fit_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -274,9 +297,8 @@ def fit_postings(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def fit_rows(spark: SparkSession, d: str) -> DataFrame:
-    contexts = fit_contexts(spark, d)
-    return A.assessed(contexts, A.matched(contexts, A.index(fit_facts(spark, d)), "doc_id"), "doc_id")
+def fit_rows(spark: SparkSession, d: str, gaps: bool = True) -> DataFrame:
+    return A.fitted(fit_contexts(spark, d), A.index(fit_facts(spark, d)), "doc_id", gaps)
 
 
 @query(None)
