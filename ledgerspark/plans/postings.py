@@ -311,7 +311,7 @@ def assessment(spark: SparkSession, d: str) -> DataFrame:
 @query(None)
 def assessment_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Where in a posting which fact is met."""
-    found = fit_rows(spark, d).select("doc_id", "context", "source", F.explode("found").alias("f"))
+    found = fit_rows(spark, d, gaps=False).select("doc_id", "context", "source", F.explode("found").alias("f"))
     return found.select("doc_id", "context", "source", "f.start", "f.end", "f.run", "f.fact", "f.kind")
 
 

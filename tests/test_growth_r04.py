@@ -63,6 +63,18 @@ def test_contexts_shuffle_texts_once(spark):
     assert text.count("Exchange") == 1 and not any(step in text for step in ("Window", "Join", "Generate", "Sort"))
 
 
+def test_evidence_reads_no_clauses(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(A, "fitted", lambda contexts, index, key, gaps=True: asked.append(gaps) or fitted(contexts, index, key, gaps))
+    text = plan(postings.assessment_evidence(spark, D))
+    assert asked == [False] and text.count("Exchange") == 1 and "Join" not in text and "Window" not in text
+    contexts, index = fits(spark)
+    assert fitted(contexts, index, "key", gaps=False).where("gaps is not null").count() == 0
+
+
+fitted = A.fitted
+
+
 def test_postings_by_pieces(spark):
     """What stands between spaces is reworded by itself, and lines are those of the native patterns."""
     texts = ["The cat. of The²the. a  THE,of;", "that.\r", " that.", "that. ", ".", "x.", "a b.", "a b.  of", " b.", "a .", "a b.\x85", "a\rb.\r", "a b.\x85\r", "", "of\nthe. \n.", "no-the. the_of ofthe é.", None]
