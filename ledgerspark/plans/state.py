@@ -217,8 +217,7 @@ def paged_scan(spark: SparkSession, d: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("board").orderBy("page_id")) - 1
     listing = pages.select("board", place.cast("long").alias("place"), F.col("page_id").cast("string").alias("key"), F.col("url").alias("path"), F.lit(None).cast("string").alias("row"))
     to, boards = folder(spark), stored(pages.select("board").distinct())
-    while paged.advance(spark, to, boards, paged.recorded(listing), "2026-03-01T08:00:00", pages=10):
-        pass
+    paged.scan(spark, to, boards, paged.recorded(listing), "2026-03-01T08:00:00", pages=10)
     return paged.seen(spark, to).select(F.col("key").cast("long").alias("page_id"), "board", "run", "offset")
 
 

@@ -2,11 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import assessment as A
 from ledgerspark.operators import requirements as R
-from ledgerspark.plans import postings
+from ledgerspark.plans import postings, state
+from ledgerspark.sources import paged
 
 D = "/root/testdata/sf0.001"
 
@@ -83,3 +85,58 @@ def test_postings_by_pieces(spark):
     lines = F.transform(F.split(F.regexp_replace(F.array_join(parts, ""), r"\. +", ".\n"), "\n", -1), lambda x: F.when(x.rlike(r"^[^ ]+\.$"), "Requirements:").when(x.rlike(r"^[^ ]+ [^ ]+\.$"), "Responsibilities:").otherwise(x))
     df = spark.createDataFrame([(t,) for t in [*texts, *odd_texts(2000)]], "t string")
     assert df.select(postings.posting(F.col("t")).alias("got"), F.array_join(lines, "\n").alias("want")).where("not got <=> want").collect() == []
+
+
+def listing(spark, boards):
+    """Boards of entries, by place; None is an entry without a key, a place that is not there is a gap."""
+    rows = [(b, n, k, f"/{k}", None) for b, keys in boards.items() for n, k in enumerate(keys) if k != "gap"]
+    return spark.createDataFrame(rows, "board string, place long, key string, path string, row string")
+
+
+def runs_one_by_one(spark, path, boards, fetch, limit, pages):
+    while paged.advance(spark, path, boards, fetch, "t", limit, pages):
+        pass
+
+
+@pytest.mark.parametrize("ahead", [1, 2, 16])
+def test_runs_at_once(spark, tmp_path, ahead):
+    keys = lambda n, first=0: [f"k{i}" for i in range(first, first + n)]
+    boards = {"whole": keys(13), "even": keys(8), "short": keys(1), "stalls": keys(4) + keys(2, 2) + keys(9, 50), "again": keys(5) + keys(1) * 2, "blank": keys(6) + [None, " "] + keys(7, 6), "gap": keys(5) + ["gap"] + keys(9, 5), "hole": keys(4) + ["gap"] * 8 + keys(3, 4)}
+    names = spark.createDataFrame([(b,) for b in [*boards, "nothing", "short", None]], "board string")
+    fetch = paged.recorded(listing(spark, boards))
+    one, many = f"file://{tmp_path}/one", f"file://{tmp_path}/many"
+    runs_one_by_one(spark, one, names, fetch, 2, 2)
+    paged.scan(spark, many, names, fetch, "t", 2, 2, ahead)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(paged.seen(spark, many)) == rows(paged.seen(spark, one)) and rows(paged.cursors(spark, many)) == rows(paged.cursors(spark, one))
+    assert len({r["status"] for r in paged.cursors(spark, one).collect()}) > 2 and paged.seen(spark, one).agg(F.max("run")).first()[0] >= 3
+    before = rows(paged.seen(spark, many))
+    paged.scan(spark, many, names.where("board = 'whole'"), fetch, "t", 2, 2)  # read to its end: left alone
+    assert rows(paged.seen(spark, many)) == before
+
+
+def test_runs_at_once_that_die(spark, tmp_path):
+    path, names = f"file://{tmp_path}/scan", spark.createDataFrame([("b",)], "board string")
+    fetch = paged.recorded(listing(spark, {"b": [f"k{i}" for i in range(30)]}))
+    paged.advance(spark, path, names, fetch, "t", 2, 2)
+    paged.scan(spark, path, names, fetch, "t", 2, 2)
+    assert sorted(p.name for p in tmp_path.glob("scan/*")) == ["run=0", "runs=1-7"] and paged.cursors(spark, path).first()["status"] == "complete"
+    (tmp_path / "scan" / "runs=1-7" / "_SUCCESS").unlink()
+    assert paged.cursors(spark, path).first()["next_offset"] == 4 and paged.seen(spark, path).count() == 4
+    paged.scan(spark, path, names, fetch, "t", 2, 2, ahead=3)
+    assert paged.seen(spark, path).groupBy("run").count().count() == 8 and paged.seen(spark, path).count() == 30
+
+
+def test_paged_scan_is_few_rounds(spark, tmp_path, monkeypatch):
+    """However many runs a listing needs, it is written once and read in few rounds."""
+    spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", F.lit("http://one.example.com/x").alias("url")).write.parquet(f"{tmp_path}/pages.parquet")
+    listings, rounds = [], []
+
+    def counted(df, recorded=paged.recorded):
+        listings.append(1)
+        fetch = recorded(df)
+        return lambda wanted: rounds.append(1) or fetch(wanted)
+
+    monkeypatch.setattr(paged, "recorded", counted)
+    got = state.paged_scan(spark, str(tmp_path))
+    assert got.agg(F.count("*"), F.countDistinct("page_id"), F.max("run")).first()[:] == (2500, 2500, 12) and (len(listings), len(rounds)) == (1, 1)
